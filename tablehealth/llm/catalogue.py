@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from tablehealth.llm import quality
+from tablehealth.llm import encode, packing, quality, token_files
 from tablehealth.llm.common import documents
 
 
+def op1_token_files(spark, sf_dir):
+    """Every document's place, length and checksum, read back from packed token files."""
+    return token_files.write_and_read(documents(spark, sf_dir), encode.vocabulary_path("word_bpe_49k.json"))
+
+
 def op2_quality_rules(spark, sf_dir):
     """Base rules and host verdicts of every document."""
     return quality.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_best_fit_packing(spark, sf_dir):
+    """Every piece of every document with its sequence and offset."""
+    return packing.pack_documents(documents(spark, sf_dir), encode.vocabulary_path("byte_bpe_50k.json"))
+
+
 def queries():
     return {
+        "op1_token_files": op1_token_files,
         "op2_quality_rules": op2_quality_rules,
+        "op9_best_fit_packing": op9_best_fit_packing,
     }
 
 
