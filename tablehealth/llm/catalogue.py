@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablehealth.llm import encode, packing, quality, token_files
+from tablehealth.llm import encode, mixing, packing, quality, token_files, topk
 from tablehealth.llm.common import documents
 
 
@@ -16,6 +16,26 @@ def op2_quality_rules(spark, sf_dir):
     return quality.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_source_mix(spark, sf_dir):
+    """Size, target and taken words of every document."""
+    return mixing.taken(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_exact_top_k(spark, sf_dir):
+    """The five best inner products of every fiftieth vector."""
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+     s AS (SELECT q.vec_id query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) AS BIGINT) score
+           FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id AND len(q.e) = len(v.e)),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op9_best_fit_packing(spark, sf_dir):
     """Every piece of every document with its sequence and offset."""
     return packing.pack_documents(documents(spark, sf_dir), encode.vocabulary_path("byte_bpe_50k.json"))
@@ -25,9 +45,13 @@ def queries():
     return {
         "op1_token_files": op1_token_files,
         "op2_quality_rules": op2_quality_rules,
+        "op3_source_mix": op3_source_mix,
+        "op4_exact_top_k": op4_exact_top_k,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op4_exact_top_k": OP4_SQL,
+    }

@@ -26,7 +26,7 @@ from tablehealth.llm import common, encode
 SEQUENCE_TOKENS = 1024
 END_ID = 2
 GROUP_PIECES = 2048
-OPEN_BINS = 256
+OPEN_BINS = 1024
 
 PIECES = "doc_id long, _key long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
