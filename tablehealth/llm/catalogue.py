@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablehealth.llm import encode, mixing, packing, quality, token_files, topk
+from tablehealth.llm import byte_dedup, encode, mixing, packing, quality, substring_dedup, token_files, topk
 from tablehealth.llm.common import documents
 
 
@@ -36,6 +36,16 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op5_byte_dedup(spark, sf_dir):
+    """Bytes of every document that lie in a repeated 200-byte string."""
+    return byte_dedup.digest(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op10_substring_dedup(spark, sf_dir):
+    """Words of every document that a smaller doc_id holds in a run of 50."""
+    return substring_dedup.digest(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_best_fit_packing(spark, sf_dir):
     """Every piece of every document with its sequence and offset."""
     return packing.pack_documents(documents(spark, sf_dir), encode.vocabulary_path("byte_bpe_50k.json"))
@@ -47,7 +57,9 @@ def queries():
         "op2_quality_rules": op2_quality_rules,
         "op3_source_mix": op3_source_mix,
         "op4_exact_top_k": op4_exact_top_k,
+        "op5_byte_dedup": op5_byte_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
