@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablehealth.llm import byte_dedup, encode, mixing, packing, quality, substring_dedup, token_files, topk
+from tablehealth.llm import byte_dedup, encode, jaccard, mixing, packing, quality, substring_dedup, token_files, topk
 from tablehealth.llm.common import documents
 
 
@@ -46,6 +46,11 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_jaccard_join(spark, sf_dir):
+    """Set size and component of every document at Jaccard 0.75 on 5-word shingles."""
+    return jaccard.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_best_fit_packing(spark, sf_dir):
     """Every piece of every document with its sequence and offset."""
     return packing.pack_documents(documents(spark, sf_dir), encode.vocabulary_path("byte_bpe_50k.json"))
@@ -58,6 +63,7 @@ def queries():
         "op3_source_mix": op3_source_mix,
         "op4_exact_top_k": op4_exact_top_k,
         "op5_byte_dedup": op5_byte_dedup,
+        "op7_jaccard_join": op7_jaccard_join,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_substring_dedup": op10_substring_dedup,
     }
