@@ -7,8 +7,10 @@ against whole-text encoding.  Texts with unusual white space are encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -18,7 +20,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHE_PIECES = 1_000_000
 
 _ENCODERS: dict[str, Encoder] = {}
-_UNUSUAL = re.compile(r"(?:^|\s)\s|\s$|[^\S \n]")
+#: Stands for "no space before" in front of a mark that was parted from its word.
+_CLOSING = "\x00"
+_DOUBLE = re.compile(r"[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff][,.](?:[ \n]|$)")
 
 
 class Encoder:
@@ -36,6 +40,10 @@ class Encoder:
         self.newline = self._ids("\n").astype("<u2").tobytes()
         # A tokenizer that drops white space gives a piece the same ids wherever it stands.
         self.drops_space = not self.newline and not len(self._ids(" "))
+        kind = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
+        if not any(x["type"] == "ByteLevel" for x in kind.get("pretokenizers", [kind])):
+            raise ValueError(f"{path}: not a byte-level model")
+        self.closing = {_CLOSING + m: self._ids(m).astype("<u2").tobytes() for m in ",."}
         self.mark = "\x01" if self.drops_space else "\n"
         mark = self._ids(self.mark)
         self.mark_id = int(mark[0]) if len(mark) == 1 else None
@@ -44,13 +52,22 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, pieces: set[str], known: dict[str, bytes], lead: str) -> None:
-        """Encode pieces in batches, a mark of its own id between any two, and cut at the marks."""
-        new = [p for p in pieces if p not in known]
+        """Encode pieces that are not known yet.
+
+        A word of Latin letters is one piece for the tokenizer too, and goes to its model at
+        once.  Others are encoded in batches, a mark of its own id between any two, and cut there.
+        """
+        new = list(pieces.difference(known))
         if not new:
             return
         if len(known) + len(new) > CACHE_PIECES:
             known.clear()
             new = list(pieces)
+        tokenize, cover = self.tokenizer.model.tokenize, lead.translate(_BYTE_LEVEL)
+        for p in new:
+            if p.isalpha() and (p.isascii() or p <= "\u0100" and max(p) < "\u0100") and (not self.drops_space or p == p.lower()):
+                known[p] = array("H", [x.id for x in tokenize(cover + (p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LEVEL)))]).tobytes()
+        new = [p for p in new if p not in known]
         odd = [p for p in new if self.mark in p or "<|" in p] if self.mark_id is not None else new
         for p in odd:
             known[p] = self._ids(lead + p).astype("<u2").tobytes()
@@ -79,17 +96,18 @@ class Encoder:
         return np.frombuffer(b"".join(raw), "<u2").astype(np.uint32), np.array([len(x) // 2 for x in raw], np.int64)
 
     def _spaced(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self._learn({p for x in pieces for p in x} - {""}, self.spaced, "")
+        pieces = [_folded(t or "").replace("\n", " ").split(" ") for t in texts]
+        self._learn(set().union(*pieces) - {""}, self.spaced, "")
         self.spaced[""] = b""
         look = self.spaced.__getitem__
         return [b"".join(map(look, x)) for x in pieces]
 
     def _lined(self, texts: list[str | None]) -> list[bytes]:
-        unusual = [bool(t and _UNUSUAL.search(t)) for t in texts]
-        lines = [[] if odd else [line.split(" ") for line in (t or "").split("\n")] for t, odd in zip(texts, unusual, strict=True)]
+        unusual = [_unusual(t) for t in texts]
+        lines = [[] if odd else [line.split(" ") for line in _parted(t or "", " " + _CLOSING).split("\n")] for t, odd in zip(texts, unusual, strict=True)]
         self._learn({line[0] for x in lines for line in x}, self.opening, "")
-        self._learn({p for x in lines for line in x for p in line[1:]}, self.spaced, " ")
+        self._learn(set().union(*(line[1:] for x in lines for line in x)) - self.closing.keys(), self.spaced, " ")
+        self.spaced |= self.closing
         look, first = self.spaced.__getitem__, self.opening
         return [
             self._ids(t).astype("<u2").tobytes() if odd else self.newline.join([first[x[0]] + b"".join(map(look, x[1:])) for x in own])
@@ -97,6 +115,41 @@ class Encoder:
         ]
 
 
+def _byte_level() -> dict[int, str]:
+    """How byte-level models spell bytes: printable Latin-1 as itself, the others from U+0100 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_BYTE_LEVEL = _byte_level()
+
+
+def _unusual(text: str | None) -> bool:
+    """White space other than single spaces and newlines between words."""
+    return bool(text) and (_CLOSING in text or text.split() != text.replace("\n", " ").split(" "))
+
+
+def _parted(text: str, gap: str) -> str:
+    """``gap`` before each comma or full stop that ends a word, where tokenizers cut anyway.
+
+    Left alone are texts in which such a mark follows another mark: those two may be one token.
+    """
+    if _CLOSING in text or _DOUBLE.search(text):
+        return text
+    for mark in ",.":
+        text = text.replace(mark + " ", f"{gap}{mark} ").replace(mark + "\n", f"{gap}{mark}\n")
+    return text
+
+
+def _folded(text: str) -> str:
+    """The text as a tokenizer sees it that lower-cases: within Latin-1, both agree letter by letter."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _parted(text, " ")
+    return _parted(text.lower(), " ")
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
     if path not in _ENCODERS:
