@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablehealth.llm import common, quality
+from tablehealth.llm import common, encode, jaccard, mixing, packing, quality, substring_dedup
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +15,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of near duplicates."""
+    return jaccard.keep_first(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes passages of 50 words and more out that an earlier document holds."""
+    return substring_dedup.remove(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents so that sources meet their target shares."""
+    return mixing.repeat(docs)
+
+
+def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the mix into sequences of at most 1024 tokens: one row per piece."""
+    return packing.pack_documents(docs, encode.vocabulary_path("byte_bpe_50k.json"))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("jaccard_join", jaccard_join),
+    ("substring_dedup", substrings),
+    ("source_mix", source_mix),
+    ("best_fit_packing", best_fit),
 ]
 
 #: Hashing, prefix filters and packing are beyond SQL; the tests hold each stage against brute force.

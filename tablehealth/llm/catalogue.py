@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablehealth.llm import byte_dedup, encode, jaccard, mixing, packing, quality, substring_dedup, token_files, topk
+from tablehealth.llm import byte_dedup, encode, jaccard, licences, mixing, packing, quality, substring_dedup, token_files, topk, toxicity
 from tablehealth.llm.common import documents
 
 
@@ -51,6 +51,16 @@ def op7_jaccard_join(spark, sf_dir):
     return jaccard.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_toxicity(spark, sf_dir):
+    """Toxicity score of every document."""
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_licence_scan(spark, sf_dir):
+    """Known licence sentences and licences of every document."""
+    return licences.scan(documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark, sf_dir):
     """Every piece of every document with its sequence and offset."""
     return packing.pack_documents(documents(spark, sf_dir), encode.vocabulary_path("byte_bpe_50k.json"))
@@ -63,7 +73,9 @@ def queries():
         "op3_source_mix": op3_source_mix,
         "op4_exact_top_k": op4_exact_top_k,
         "op5_byte_dedup": op5_byte_dedup,
+        "op6_toxicity": op6_toxicity,
         "op7_jaccard_join": op7_jaccard_join,
+        "op8_licence_scan": op8_licence_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_substring_dedup": op10_substring_dedup,
     }
@@ -72,4 +84,5 @@ def queries():
 def oracle_sql():
     return {
         "op4_exact_top_k": OP4_SQL,
+        "op8_licence_scan": licences.duckdb_sql(),
     }

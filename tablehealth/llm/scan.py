@@ -89,16 +89,16 @@ class Slice:
     def codes(self, which: int = 0) -> np.ndarray:
         return _CODES[which][self.data]
 
-    def words(self) -> Words:
-        return Words(self)
+    def words(self, separators: np.ndarray = _SPACE) -> Words:
+        return Words(self, separators)
 
 
 class Words:
     """Words of a slice: ``start``/``end`` byte positions, ``offsets`` of each document's words."""
 
-    def __init__(self, s: Slice):
+    def __init__(self, s: Slice, separators: np.ndarray = _SPACE):
         self.slice = s
-        inside = ~_SPACE[s.data]
+        inside = ~separators[s.data]
         edge = np.ones(len(s.data) + 1, bool)  # a word may begin here: after a separator or a document's start
         np.logical_not(inside, out=edge[1:])
         edge[s.offsets] = True
