@@ -27,10 +27,10 @@ from tablehealth.llm import common, scan
 BITS = 20
 SHARDS = 8
 SHARD_ROWS = 2048
-ROUNDS = 4
+ROUNDS = 6
 CHUNK = 1 << 16
 
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 1.0
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.1
 
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
