@@ -75,3 +75,36 @@ def statistics(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def analyze(df: DataFrame, segment: Column, segments: int | None = None) -> DataFrame:
     """Skew of one table as one row."""
     return statistics(segment_counts(df, segment, segments))
+
+
+def analyze_many(tables: dict[str, tuple], failed: dict[str, str] | None = None) -> DataFrame:
+    """One row per named (frame, segment): all tables in one plan.
+
+    A table that cannot be resolved gives a FAILED row with its error and does not stop
+    the others.  Frames may be given as functions, so that opening one can fail too.
+    """
+    frames, errors, spark = [], dict(failed or {}), None
+    for name, (frame, segment) in tables.items():
+        try:
+            df = frame() if callable(frame) else frame
+            one = analyze(df, segment).withColumn("table_name", F.lit(name)).withColumn("error", F.lit(None).cast("string"))
+            one.schema  # resolves the plan
+            frames.append(one)
+            spark = df.sparkSession
+        except Exception as error:  # the row carries the failure
+            errors[name] = str(error).splitlines()[0]
+    from pyspark.sql import SparkSession
+
+    spark = spark or SparkSession.active()
+    columns = "table_name string, total_rows long, segment_count long, avg_rows double, max_rows long, min_rows long, skew_ratio double, empty_segments long, status string, error string"
+    bad = spark.createDataFrame([(name, *[None] * 7, "FAILED", text) for name, text in errors.items()], columns)
+    for one in frames:
+        bad = bad.unionByName(one)
+    return bad
+
+
+def with_segments(df: DataFrame, segment: Column, segments: int | None = None) -> DataFrame:
+    """The statistics of ``analyze`` with all segments nested in order."""
+    counts = segment_counts(df, segment, segments)
+    nested = counts.agg(F.array_sort(F.collect_list(F.struct("segment_id", "row_count"))).alias("segments"))
+    return statistics(counts).join(F.broadcast(nested), F.lit(True))
