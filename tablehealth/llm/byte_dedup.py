@@ -38,5 +38,5 @@ def digest(docs: DataFrame, rule: repeats.Rule = RULE) -> DataFrame:
                 out[c].append(v)
         yield out | {"doc_id": batch["doc_id"], "starts": batch["_starts"], "ends": batch["_ends"]}
 
-    joined = repeats.attach(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), found)
-    return common.arrow_map(joined.drop("_key"), rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
+    joined = repeats.attach(docs.select(common.row_key().alias("_row_key"), F.col("doc_id").cast("long"), F.col("text").cast("string")), found)
+    return common.arrow_map(joined.drop("_row_key"), rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")

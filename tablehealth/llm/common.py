@@ -52,6 +52,16 @@ def row_key() -> F.Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
+def coded(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named by position, so that none clashes, and ``_row_key``."""
+    return docs.select(row_key().alias("_row_key"), *[F.col(f"`{c}`").alias(f"_column_{i}") for i, c in enumerate(docs.columns)])
+
+
+def decoded(frame: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again."""
+    return frame.select(*[F.col(f"_column_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch | dict]], schema: str) -> DataFrame:
     """mapInArrow over ``df``; ``function`` yields column dicts for each incoming batch."""
     from pyspark.sql.types import StructType

@@ -351,9 +351,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     joined = common.stage(join(docs), "components")
     staying = joined.where(F.col("_key") == F.col("first_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"))
     staying = common.stage(staying, "staying")
-    keyed = docs.withColumn("_row_key", common.row_key())
-    kept = keyed.join(common.small(staying, 24), F.col("_row_key") == F.col("_key"))
+    kept = common.coded(docs).join(common.small(staying, 24), F.col("_row_key") == F.col("_key"))
     once = kept.where(F.col("_rows") == 1)
     if not staying.where(F.col("_rows") > 1).isEmpty():
         once = once.unionByName(kept.where(F.col("_rows") > 1).dropDuplicates(["_row_key"]))
-    return once.select(*docs.columns)
+    return common.decoded(once, docs)

@@ -267,9 +267,9 @@ def _merge(found: DataFrame) -> DataFrame:
     return common.arrow_map(grouped, rows, "_key long, starts array<long>, ends array<long>")
 
 
-def attach(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with starts and ends of its cuts (null: none), joined by content key."""
+def attach(keyed_docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with ``_row_key`` and their cuts beside them: _starts and _ends (null: none)."""
     runs, n = found.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0)), F.count(F.lit(1))).first()
-    found = found.select(F.col("_key").alias("_cut_key"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
+    found = found.select("_key", F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
     found = F.broadcast(found) if runs * 16 + n * 96 <= common.BROADCAST_BYTES else found
-    return docs.withColumn("_key", common.row_key()).join(found, F.col("_key") == F.col("_cut_key"), "left").drop("_cut_key")
+    return keyed_docs.join(found, F.col("_row_key") == F.col("_key"), "left").drop("_key")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,8 @@ def digest(docs: DataFrame, rule: repeats.Rule = RULE) -> DataFrame:
                 out[c].append(v)
         yield out | {"doc_id": batch["doc_id"], "starts": batch["_starts"], "ends": batch["_ends"]}
 
-    joined = repeats.attach(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), found)
-    return common.arrow_map(joined.drop("_key"), rows, "doc_id long, n_words long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>")
+    joined = repeats.attach(docs.select(common.row_key().alias("_row_key"), F.col("doc_id").cast("long"), F.col("text").cast("string")), found)
+    return common.arrow_map(joined.drop("_row_key"), rows, "doc_id long, n_words long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>")
 
 
 def remove(docs: DataFrame, rule: repeats.Rule = RULE) -> DataFrame:
@@ -50,14 +51,16 @@ def remove(docs: DataFrame, rule: repeats.Rule = RULE) -> DataFrame:
 
     Rows without repeats stay as they are, white space included.
     """
-    found = repeats.cuts(docs, rule)
-    joined = repeats.attach(docs, found)
+    joined = repeats.attach(common.coded(docs), repeats.cuts(docs, rule))
+    text, n_chars = (f"_column_{docs.columns.index(c)}" if c in docs.columns else None for c in ("text", "n_chars"))
 
     @F.pandas_udf("string")
-    def kept(text, starts, ends):
-        return text.combine(starts.combine(ends, lambda a, b: (a, b)), lambda t, cut: t if t is None or cut[0] is None else _kept(t, list(cut[0]), list(cut[1]))[2])
-
-    touched = joined.withColumn("_text", F.when(F.col("_starts").isNotNull(), kept("text", "_starts", "_ends")).otherwise(F.col("text")))
-    touched = touched.where(F.col("_starts").isNull() | (F.col("_text") != ""))
-    columns = [F.col("_text").alias(c) if c == "text" else F.when(F.col("_starts").isNull(), F.col(c)).otherwise(F.length("_text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return touched.select(*columns)
+    def kept(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([_kept(t, list(a), list(b))[2] if a is not None and t is not None else t for t, a, b in zip(text, starts, ends, strict=True)])
+
+    cut = F.col("_starts").isNotNull()
+    joined = joined.withColumn("_text", F.when(cut, kept(text, "_starts", "_ends")).otherwise(F.col(text)))
+    joined = joined.where(~cut | (F.col("_text") != "")).withColumn(text, F.col("_text"))
+    if n_chars:
+        joined = joined.withColumn(n_chars, F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n_chars)))
+    return common.decoded(joined, docs)
