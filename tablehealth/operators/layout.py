@@ -28,6 +28,8 @@ def write_layout(df: DataFrame, table: str, kind: str, columns: list[str] | None
         df.coalesce(1).write.format(format_).saveAsTable(table)
     else:
         raise ValueError(f"Unknown distribution type: {kind}")
+    # one file alone does not tell a replicated table from a small one
+    df.sparkSession.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('distribution' = '{kind}')")
 
 
 def _swap(spark: SparkSession, table: str, staging: str) -> None:

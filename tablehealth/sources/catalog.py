@@ -43,10 +43,11 @@ def describe(spark: SparkSession, table: str) -> dict:
         return {}
     found = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
     columns = [c.strip().strip("`") for c in found.get("Bucket Columns", "[]").strip("[]").split(",") if c.strip()]
+    replicated = "distribution=REPLICATED" in found.get("Table Properties", "")
     return {
         "provider": found.get("Provider"),
         "location": found.get("Location"),
-        "distribution": "HASH" if columns else "RANDOM",
+        "distribution": "REPLICATED" if replicated else "HASH" if columns else "RANDOM",
         "columns": columns,
         "buckets": int(found["Num Buckets"]) if "Num Buckets" in found else None,
         "statistics": found.get("Statistics"),
@@ -74,7 +75,7 @@ def from_spark(spark: SparkSession) -> Catalog:
             columns = spark.catalog.listColumns(name)
             numbers = {c.name: i for i, c in enumerate(columns, 1)}
             rows["attributes"] += [(oid, i, c.name, c.dataType, not c.nullable, False) for i, c in enumerate(columns, 1)]
-            rows["distribution"].append((oid, "p", [numbers[c] for c in info.get("columns", [])]))
+            rows["distribution"].append((oid, "r" if info.get("distribution") == "REPLICATED" else "p", [numbers[c] for c in info.get("columns", [])]))
     return Catalog.of(spark, rows)
 
 
