@@ -1,7 +1,7 @@
 """Licence scans by sentence rules, in DataFrame expressions alone.
 
-A text is cut into sentences, each is normalised, known ones become identifiers, and the
-sequence of a text's identifiers is matched against rules: a licence is found where its
+A text is cut into sentences (and unknown ones into their lines), each is normalised,
+known ones become identifiers, and the sequence of a text's identifiers is matched against rules: a licence is found where its
 sentences follow one another, unknown sentences between them notwithstanding.  The tables
 of sentences and rules are parameters; ``KNOWN`` and ``RULES`` hold common public ones.
 
@@ -68,15 +68,25 @@ _OTHER = "[^a-z0-9]+"
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences: cut behind . ! ? ; : and at blank lines, letters and digits alone, in lower case."""
-    parted = F.regexp_replace(F.translate(text, _UPPER, _LOWER), _STOP, "$1\n\n")
-    return F.transform(F.split(parted, _GAP), lambda s: F.trim(F.regexp_replace(s, _OTHER, " ")))
+    """Sentences in lower case: cut behind . ! ? ; : and at blank lines."""
+    return F.split(F.regexp_replace(F.translate(text, _UPPER, _LOWER), _STOP, "$1\n\n"), _GAP)
+
+
+def normalised(sentence: Column) -> Column:
+    """Letters and digits alone."""
+    return F.trim(F.regexp_replace(sentence, _OTHER, " "))
 
 
 def identifiers(text: Column, known: dict[str, str]) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+    """Identifiers of the known sentences of a text, in order.
+
+    A sentence that is unknown as a whole is looked at line by line: what stands before a
+    licence line need not end in a full stop.
+    """
     table = F.create_map(*chain.from_iterable((F.lit(s), F.lit(i)) for i, s in known.items()))
-    found = F.filter(F.transform(sentences(text), lambda s: F.try_element_at(table, s)), lambda i: i.isNotNull())
+    look = lambda s: F.try_element_at(table, normalised(s))
+    lines = lambda s: F.when(look(s).isNotNull(), F.array(look(s))).otherwise(F.transform(F.split(s, "\n"), look))
+    found = F.filter(F.flatten(F.transform(sentences(text), lines)), lambda i: i.isNotNull())
     return F.when(F.lower(text).rlike("|".join(HINTS)), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -99,10 +109,11 @@ def scan(docs: DataFrame, known: dict[str, str] = KNOWN, rules: dict[str, tuple]
 def duckdb_sql(known: dict[str, str] = KNOWN, rules: dict[str, tuple] = RULES) -> str:
     """The same scan as DuckDB SQL over ``documents``."""
     table = ", ".join(f"'{s}': '{i}'" for i, s in known.items())
+    look = lambda x: f"(MAP {{{table}}})[trim(regexp_replace({x}, '{_OTHER}', ' ', 'g'))]"
     hits = ", ".join(f"CASE WHEN {' OR '.join(f"contains(c, ',{','.join(v)},')" for v in variants)} THEN '{name}' END" for name, variants in rules.items())
     return f"""
 WITH parted AS (SELECT doc_id, string_split_regex(regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_STOP}', E'\\\\1\\n\\n', 'g'), '{_GAP}') s FROM documents),
-     named AS (SELECT doc_id, list_filter(list_transform(s, lambda x: (MAP {{{table}}})[trim(regexp_replace(x, '{_OTHER}', ' ', 'g'))]), lambda i: i IS NOT NULL) ids FROM parted),
+     named AS (SELECT doc_id, list_filter(flatten(list_transform(s, lambda x: CASE WHEN {look("x")} IS NOT NULL THEN [{look("x")}] ELSE list_transform(string_split(x, E'\\n'), lambda y: {look("y")}) END)), lambda i: i IS NOT NULL) ids FROM parted),
      joined AS (SELECT doc_id, CAST(len(ids) AS INTEGER) n_known, array_to_string(ids, ',') sentence_ids, ',' || array_to_string(ids, ',') || ',' c FROM named)
 SELECT doc_id, n_known, sentence_ids, concat_ws(',', {hits}) licences FROM joined
 """

@@ -132,7 +132,7 @@ LICENCES = [
     (2, "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file\nexcept in compliance with the License. More."),
     (3, "Permission is hereby granted. The end."),
     (4, "A: Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Other words! Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    (5, None), (6, ""), (7, "licence license"), (8, "LICENSED UNDER CC BY-NC 4.0.\n\nlicensed under cc by 4.0"), (8, "LICENSED UNDER CC BY-NC 4.0.\n\nlicensed under cc by 4.0"), (None, "This work is licensed under the GNU General Public License, version 3."),
+    (30, "no full stop here\nReleased under the MIT License.\nand on"), (5, None), (6, ""), (7, "licence license"), (8, "LICENSED UNDER CC BY-NC 4.0.\n\nlicensed under cc by 4.0"), (8, "LICENSED UNDER CC BY-NC 4.0.\n\nlicensed under cc by 4.0"), (None, "This work is licensed under the GNU General Public License, version 3."),
 ]
 
 
@@ -140,7 +140,7 @@ def test_licences(spark, nothing):
     docs = spark.createDataFrame([(d, t, "x") for d, t in LICENCES], "doc_id long, text string, licences string")
     found = brute.order(tuple(r) for r in licences.scan(docs).collect())
     by = {r[0]: r[3] for r in found}
-    assert by == {1: "MIT", 2: "Apache-2.0", 3: "", 4: "BSD-2-Clause", 5: "", 6: "", 7: "", 8: "CC-BY-4.0,CC-BY-NC-4.0", None: "GPL-3.0-only"}
+    assert by == {1: "MIT", 2: "Apache-2.0", 3: "", 4: "BSD-2-Clause", 5: "", 6: "", 7: "", 30: "MIT", 8: "CC-BY-4.0,CC-BY-NC-4.0", None: "GPL-3.0-only"}
     assert licences.scan(nothing).count() == 0
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
