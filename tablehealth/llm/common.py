@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,27 +15,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A join side is broadcast up to this many bytes (rows times ``ROW_BYTES`` unless measured); beyond, it is shuffled.
-BROADCAST_BYTES = 32 << 20
-ROW_BYTES = 64
+#: A join side is broadcast up to this many bytes, by its counted rows; beyond, it is shuffled.
+BROADCAST_BYTES = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a folder of the driver's takes its place.
+    Only where that is unset another one takes its place: on one machine a temporary
+    folder, removed at the end, and on a cluster one in the warehouse.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="stages-")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="stages-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return _LOCAL[0]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -42,9 +51,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, row_bytes: int = ROW_BYTES, limit: int = BROADCAST_BYTES) -> DataFrame:
+def row_bytes(df: DataFrame) -> int:
+    """What a row takes in a broadcast table, hash table included; strings are taken for short names."""
+    width = {"string": 64, "binary": 64}
+    return 64 + sum(width.get(kind, 8 if "<" not in kind else 64) for _, kind in df.dtypes)
+
+
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Mark a staged frame for broadcast if its counted rows prove it small; else leave the join to shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    return F.broadcast(df) if fits(df, limit) else df
+
+
+def fits(df: DataFrame, limit: int | None = None) -> bool:
+    return df.count() * row_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
 
 
 def row_key() -> F.Column:
@@ -62,20 +81,43 @@ def decoded(frame: DataFrame, docs: DataFrame) -> DataFrame:
     return frame.select(*[F.col(f"_column_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch | dict]], schema: str) -> DataFrame:
-    """mapInArrow over ``df``; ``function`` yields column dicts for each incoming batch."""
+def short_batches(spark: SparkSession) -> None:
+    """Whole texts travel to Python: a thousand at a time, unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def give_back() -> None:
+    """Freed memory of this worker to the system, as far as its allocators can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, tokens: bool = False) -> DataFrame:
+    """mapInArrow over ``df``; ``function`` yields column dicts for each incoming batch.
+
+    Workers are reused: work without ``tokens`` drops what tokenizers have cached, and
+    each task gives freed memory back.
+    """
     from pyspark.sql.types import StructType
 
     kinds = StructType.fromDDL(schema)
+    short_batches(df.sparkSession)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(kinds)
-        for batch in batches:
-            if batch.num_rows:
-                for columns in function(batch):
-                    yield pa.RecordBatch.from_arrays([cast(columns[f.name], f.type) for f in target], schema=target)
+        if not tokens and (encode := sys.modules.get("tablehealth.llm.encode")):
+            encode.forget()
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    for columns in function(batch):
+                        yield pa.RecordBatch.from_arrays([cast(columns[f.name], f.type) for f in target], schema=target)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -17,7 +17,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of a worker's piece cache; it starts afresh when full.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
 
 _ENCODERS: dict[str, Encoder] = {}
 #: Stands for "no space before" in front of a mark that was parted from its word.
@@ -157,6 +157,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Drop all encoders and their caches."""
+    _ENCODERS.clear()
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 

@@ -12,8 +12,8 @@ class and one representative stands for it, so copies are never expanded into pa
    subclass of c tokens covers c - 1 misses, so the prefix is extended by one token for
    each subclass.  Partners share a signature whatever else differs.
 3. ``link``: in each signature's bucket candidates are verified against hubs, first one
-   for the bucket, then one for each component met in it, then whatever pairs of different
-   components are left.  Buckets inside one component need no more pairs, which is what
+   for the bucket, then another of that one's component, then one for each component met in
+   it, then whatever pairs of different components are left.  Buckets inside one component need no more pairs, which is what
    keeps a group of thousands of near copies from being squared.
 
 Empty texts have no set and no links; texts of fewer than five words have one token, the
@@ -34,7 +34,7 @@ SHINGLE = 5
 #: Tokens in this many representatives or more are frequent; more of them than ``DICTIONARY`` raise it.
 FREQUENT = 64
 DICTIONARY = 1 << 20
-RANGE_TOKENS = 1 << 22
+RANGE_TOKENS = 1 << 21
 #: From this set size on frequent tokens are combined.
 COMBINE_FROM = 16
 
@@ -77,7 +77,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """One row for each of ``keys``, in an order that a rerun repeats."""
-    near = keys.count() * 16 <= common.BROADCAST_BYTES
+    near = common.fits(keys)
     found = _keyed(docs).join(F.broadcast(keys) if near else keys, "_key", "left_semi")
     return found if near else found.sortWithinPartitions("_key")
 
@@ -89,7 +89,7 @@ def token_counts(texts: DataFrame, total: int) -> DataFrame:
     ranges = 1 << bits
 
     def deal(batch):
-        for s in scan.slices(batch["text"], 4 * scan.SLICE_BYTES):
+        for s in scan.slices(batch["text"], 1 << 20):
             tokens, at = token_sets(s)
             n, owner = len(s), np.repeat(np.arange(len(s)), np.diff(at))
             place = (tokens >> np.uint64(64 - bits)).astype(np.int64)
@@ -216,21 +216,22 @@ def prefix_signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def signatures(texts: DataFrame, scores: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
-    """sig, _key, n, score: the signatures of each surviving representative."""
-    held = texts.sparkSession.sparkContext.broadcast(frequent)  # at most DICTIONARY tokens of 8 bytes
+def signatures(tokens: DataFrame, scores: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
+    """sig, _key, n, score: the signatures of each surviving representative, out of its packed set."""
+    held = tokens.sparkSession.sparkContext.broadcast(frequent)  # at most DICTIONARY tokens of 8 bytes
 
     def rows(batch):
         known = held.value
-        for s in scan.slices(batch["text"]):
-            tokens, at = token_sets(s)
-            top = tokens >> np.uint64(32 - bits)
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets_ = [np.frombuffer(x, np.uint64) for x in part["tokens"].to_pylist()]
+            top = np.concatenate(sets_) >> np.uint64(32 - bits)
             often = known[np.minimum(np.searchsorted(known, top), len(known) - 1)] == top if len(known) else np.zeros(len(top), bool)
-            sigs = [prefix_signatures(tokens[a:b], often[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            owner = pa.array(np.repeat(np.arange(len(s)), [len(x) for x in sigs]) + s.first)
-            yield {"sig": np.concatenate(sigs), "_key": batch["_key"].take(owner)}
+            often = np.split(often, np.cumsum([len(x) for x in sets_])[:-1])
+            sigs = [prefix_signatures(x, f) for x, f in zip(sets_, often, strict=True)]
+            yield {"sig": np.concatenate(sigs), "_key": part["_key"].take(pa.array(np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])))}
 
-    return common.arrow_map(texts, rows, "sig long, _key long").join(common.small(scores, 32), "_key")
+    return common.arrow_map(tokens.select("_key", "tokens"), rows, "sig long, _key long").join(common.small(scores), "_key")
 
 
 def packed_sets(texts: DataFrame) -> DataFrame:
@@ -265,49 +266,73 @@ def verify(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """_key, comp: the smallest key that each linked key reaches (staged).
 
-    Large-star and small-star rounds: each node passes its smallest neighbour on, until
-    every edge leads to the smallest of its component.
+    Wherever the two ends of a link have different labels, the larger label is hooked to
+    the smallest one met, and all keys follow the hooks a few steps; labels only ever
+    fall and stay within their component, so when no link has two labels they are its
+    smallest key.  Each round is one shuffle of labels that still differ.
     """
-    edges = common.stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).distinct()
+    labels = common.stage(ends.select(F.col("a").alias("_key"), F.col("a").alias("comp")), "labels")
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = common.stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = both.join(common.small(least, 32), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = common.stage(large.where(F.col("u") != F.col("v")).distinct(), "large-star")
-        least = common.stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(common.small(least, 32), "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        following = common.stage(small.where(F.col("u") != F.col("v")).distinct(), "small-star")
-        same = following.exceptAll(edges).isEmpty() and edges.exceptAll(following).isEmpty()
-        edges = following
-        if same:
-            return edges.select(F.col("u").alias("_key"), F.col("v").alias("comp"))
+        known = common.small(labels)
+        at = {e: known.select(F.col("_key").alias(e), F.col("comp").alias(f"{e}_comp")) for e in ("a", "b")}
+        apart = links.join(at["a"], "a").join(at["b"], "b").where(F.col("a_comp") != F.col("b_comp"))
+        hooks = apart.groupBy(F.greatest("a_comp", "b_comp").alias("_from")).agg(F.min(F.least("a_comp", "b_comp")).alias("_to"))
+        hooks = common.stage(hooks, "hooks")
+        if hooks.isEmpty():
+            return labels
+        hooks = common.small(hooks)
+        for _ in range(3):
+            labels = labels.join(hooks, F.col("comp") == F.col("_from"), "left").select("_key", F.coalesce("_to", "comp").alias("comp"))
+        labels = common.stage(labels, "labels")
+
+
+def _of_the_hubs_component(placed: DataFrame) -> DataFrame:
+    """A partner per bucket from the component of its hub, another one in every bucket.
+
+    A member that the hub itself did not link meets as many of the component as it has
+    signatures; in a group of near copies that is enough for nearly all.
+    """
+    by_chance = F.struct(F.xxhash64("sig", "_key").alias("_chance"), "_key", "n")
+    # hubs have the smallest score; of the component, a member by chance
+    chosen = placed.groupBy("sig", "comp").agg(F.min(F.struct("score", "_key")).alias("_first"), F.min(by_chance).alias("h"))
+    best = chosen.groupBy("sig").agg(F.min(F.struct("_first", "comp", "h")).alias("b"))
+    return best.select("sig", F.col("b.h._key").alias("hub"), F.col("b.h.n").alias("n_hub"), F.col("b.comp").alias("hub_comp"))
+
+
+def _of_each_component(placed: DataFrame) -> DataFrame:
+    """The hub of each component that meets in a bucket."""
+    hubs = placed.groupBy("sig", "comp").agg(F.min(F.struct("score", "_key", "n")).alias("h"))
+    return hubs.select("sig", F.col("h._key").alias("hub"), F.col("h.n").alias("n_hub"), F.col("comp").alias("hub_comp"))
+
+
+def _all_members(placed: DataFrame) -> DataFrame:
+    """Every member: what is still apart is tried pair by pair."""
+    return placed.select("sig", F.col("_key").alias("hub"), F.col("n").alias("n_hub"), F.col("comp").alias("hub_comp"))
 
 
 def link(sigs: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links found between representatives (staged), and (_key, comp) of those linked."""
     shared = common.stage(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("_many")).where(F.col("_many") > 1).select("sig"), "shared-signatures")
-    held = common.stage(sigs.join(common.small(shared, 16), "sig", "left_semi"), "signatures")
+    held = common.stage(sigs.join(common.small(shared), "sig", "left_semi"), "signatures")
     near = (F.col("n") * 4 >= F.col("n_hub") * 3) & (F.col("n_hub") * 4 >= F.col("n") * 3)
     pair = [F.least("_key", "hub").alias("a"), F.greatest("_key", "hub").alias("b")]
 
     hubs = common.stage(held.groupBy("sig").agg(F.min(F.struct("score", "_key", "n")).alias("h")).select("sig", F.col("h._key").alias("hub"), F.col("h.n").alias("n_hub")), "hubs")
-    tried = common.stage(held.join(common.small(hubs, 32), "sig").where((F.col("_key") != F.col("hub")) & near).select(*pair).distinct(), "pairs")
+    tried = common.stage(held.join(common.small(hubs), "sig").where((F.col("_key") != F.col("hub")) & near).select(*pair).distinct(), "pairs")
     links = common.stage(verify(tried, tokens), "links")
     comps = components(links)
 
-    for last in (False, True):
+    for partners in (_of_the_hubs_component, _of_each_component, _all_members):
         # members of buckets in which different components meet
-        placed = held.join(common.small(comps, 32), "_key", "left").withColumn("comp", F.coalesce("comp", "_key"))
-        placed = common.stage(placed, "placed")
+        placed = common.stage(held.join(common.small(comps), "_key", "left").withColumn("comp", F.coalesce("comp", "_key")), "placed")
         open_ = common.stage(placed.groupBy("sig").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where(F.col("_a") != F.col("_b")).select("sig"), "open-signatures")
-        held = common.stage(placed.join(common.small(open_, 16), "sig", "left_semi").drop("comp"), "open")
-        placed = placed.join(common.small(open_, 16), "sig", "left_semi")
-        if last:
-            others = placed.select("sig", F.col("_key").alias("hub"), F.col("n").alias("n_hub"), F.col("comp").alias("hub_comp"))
-        else:
-            others = placed.groupBy("sig", "comp").agg(F.min(F.struct("score", "_key", "n")).alias("h")).select("sig", F.col("h._key").alias("hub"), F.col("h.n").alias("n_hub"), F.col("comp").alias("hub_comp"))
-        others = common.stage(others, "hubs")
-        pairs = placed.join(common.small(others, 48), "sig").where((F.col("comp") != F.col("hub_comp")) & near).select(*pair).distinct()
+        if open_.isEmpty():
+            break
+        open_ = common.small(open_)
+        held, placed = (x.join(open_, "sig", "left_semi") for x in (placed.drop("comp"), placed))
+        others = common.small(common.stage(partners(placed), "partners"))
+        pairs = placed.join(others, "sig").where((F.col("comp") != F.col("hub_comp")) & near).select(*pair).distinct()
         pairs = common.stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
@@ -335,13 +360,13 @@ def join(docs: DataFrame) -> DataFrame:
     texts = _texts_of(docs, scores.select("_key")).dropDuplicates(["_key"])
     frequent, bits = dictionary(counted)
     tokens = common.stage(packed_sets(texts), "packed-sets")
-    _, comps = link(signatures(texts, scores, frequent, bits), tokens)
+    _, comps = link(signatures(tokens, scores, frequent, bits), tokens)
 
-    labelled = classes.join(common.small(comps, 32), F.col("rep") == F.col("_key"), "left").select("c0", "c1", "rep", "first", F.coalesce("comp", "rep").alias("comp"))
+    labelled = classes.join(common.small(comps), F.col("rep") == F.col("_key"), "left").select("c0", "c1", "rep", "first", F.coalesce("comp", "rep").alias("comp"))
     labelled = common.stage(labelled, "labelled")
     lowest = common.stage(labelled.groupBy("comp").agg(F.min("first").alias("lowest")), "lowest")
-    labelled = labelled.join(common.small(lowest, 48), "comp").select("c0", "c1", F.col("rep").alias("class_key"), F.col("lowest.doc_id").alias("component_id"), F.col("lowest._key").alias("first_key"))
-    labelled = common.small(common.stage(labelled, "components"), 64)
+    labelled = labelled.join(common.small(lowest), "comp").select("c0", "c1", F.col("rep").alias("class_key"), F.col("lowest.doc_id").alias("component_id"), F.col("lowest._key").alias("first_key"))
+    labelled = common.small(common.stage(labelled, "components"))
     alone = measured.where(F.col("n") == 0).select("_key", "doc_id", F.col("n").alias("n_shingles"), F.col("_key").alias("class_key"), F.col("doc_id").alias("component_id"), F.col("_key").alias("first_key"))
     return filled.join(labelled, ["c0", "c1"]).select("_key", "doc_id", F.col("n").alias("n_shingles"), "class_key", "component_id", "first_key").unionByName(alone)
 
@@ -351,7 +376,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     joined = common.stage(join(docs), "components")
     staying = joined.where(F.col("_key") == F.col("first_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"))
     staying = common.stage(staying, "staying")
-    kept = common.coded(docs).join(common.small(staying, 24), F.col("_row_key") == F.col("_key"))
+    kept = common.coded(docs).join(common.small(staying), F.col("_row_key") == F.col("_key"))
     once = kept.where(F.col("_rows") == 1)
     if not staying.where(F.col("_rows") > 1).isEmpty():
         once = once.unionByName(kept.where(F.col("_rows") > 1).dropDuplicates(["_row_key"]))

@@ -146,5 +146,5 @@ def repeat(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mix as documents: each row of ``docs`` as often as the mix takes it, to the nearest whole."""
     times = taken(docs, block_words).where(F.col("size") > 0).groupBy("_key").agg((F.sum("taken") / F.sum("size")).alias("_times"))
     times = common.stage(times.select("_key", F.floor(F.col("_times") + 0.5).cast("int").alias("_times")).where(F.col("_times") > 0), "times")
-    repeated = common.coded(docs).join(common.small(times, 24), F.col("_row_key") == F.col("_key")).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    repeated = common.coded(docs).join(common.small(times), F.col("_row_key") == F.col("_key")).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return common.decoded(repeated, docs)

@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, vocabulary_file: str, most: int = SEQUENCE_TOKENS, e
                 "ids_crc32": [zlib.crc32(raw[4 * (b - n) : 4 * b]) for b, n in zip(end.tolist(), length.tolist(), strict=True)],
             }
 
-    return common.arrow_map(docs.select(F.col("doc_id").cast("long"), common.row_key().alias("_key"), F.col("text").cast("string")), rows, PIECES)
+    return common.arrow_map(docs.select(F.col("doc_id").cast("long"), common.row_key().alias("_key"), F.col("text").cast("string")), rows, PIECES, tokens=True)
 
 
 def best_fit(lengths: list[int], most: int, open_bins: int) -> tuple[list[int], list[int]]:

@@ -141,4 +141,4 @@ def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
 def keep(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns of ``docs``."""
     out = common.stage(judge(docs, host_limit).where(~F.col("kept")).select("_key").distinct(), "rejected")
-    return common.decoded(common.coded(docs).join(common.small(out, 16), F.col("_row_key") == F.col("_key"), "left_anti"), docs)
+    return common.decoded(common.coded(docs).join(common.small(out), F.col("_row_key") == F.col("_key"), "left_anti"), docs)

@@ -147,7 +147,7 @@ def cuts(docs: DataFrame, rule: Rule) -> DataFrame:
     """_key, starts, ends: for each row with repeats, its maximal runs of units to remove (staged)."""
     every = blocks(docs, rule)
     anchors = common.stage(_repeated(every.groupBy("anchor"), rule).select("anchor"), "anchors")
-    held = common.stage(every.join(common.small(anchors, 16), "anchor", "left_semi"), "blocks")
+    held = common.stage(every.join(common.small(anchors), "anchor", "left_semi"), "blocks")
 
     spans = held.groupBy("anchor", "h0", "h1").agg(
         F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "_key", "at", "n")).alias("first"), F.max("doc_id").alias("_high")
@@ -160,11 +160,11 @@ def cuts(docs: DataFrame, rule: Rule) -> DataFrame:
     else:
         again = spans.where(F.col("doc_id") < F.col("_high")).select("h0", "h1", F.col("doc_id").alias("_doc"))
     again = common.stage(again, "settled-spans")
-    settled = held.join(common.small(again, 32), ["h0", "h1"]).where(F.col("doc_id") > F.col("_doc")).select("_key", F.col("at").alias("start"), (F.col("at") + F.col("n") + (rule.window - 1)).alias("end"))
+    settled = held.join(common.small(again), ["h0", "h1"]).where(F.col("doc_id") > F.col("_doc")).select("_key", F.col("at").alias("start"), (F.col("at") + F.col("n") + (rule.window - 1)).alias("end"))
 
     # anchors in different spans: one representative of each
     mixed = common.stage(spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("_spans")).where(F.col("_spans") > 1), "mixed-anchors")
-    reps = spans.join(common.small(mixed, 24), "anchor").withColumn("hot", F.col("_spans") > BUCKET_SPANS)
+    reps = spans.join(common.small(mixed), "anchor").withColumn("hot", F.col("_spans") > BUCKET_SPANS)
     cut = common.stage(_cut_out(docs, reps, rule), "representatives")
     found = settled.unionByName(_within_tasks(cut.where(~F.col("hot")), rule)).unionByName(_by_rows(cut.where(F.col("hot")), rule))
     return common.stage(_merge(found), "cuts")
@@ -173,7 +173,7 @@ def cuts(docs: DataFrame, rule: Rule) -> DataFrame:
 def _cut_out(docs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     """The bytes of each representative span, with its bucket, weight, doc_id and place."""
     wanted = common.stage(reps.groupBy("_key").agg(F.collect_list(F.struct("at", "n", "anchor", "weight", "hot")).alias("spans")), "wanted")
-    texts = keyed(docs).join(common.small(wanted.select("_key"), 16), "_key", "left_semi").dropDuplicates(["_key"])
+    texts = keyed(docs).join(common.small(wanted.select("_key")), "_key", "left_semi").dropDuplicates(["_key"])
 
     def rows(batch):
         for i in range(batch.num_rows):
@@ -211,7 +211,7 @@ def _within_tasks(cut: DataFrame, rule: Rule) -> DataFrame:
             anchor = table["anchor"].to_numpy()
             begin = 0
             for to in [*(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(anchor)]:
-                if held and size > scan.SLICE_BYTES and anchor[begin] != held[-1]["anchor"][-1].as_py():
+                if held and size > 4 * scan.SLICE_BYTES and anchor[begin] != held[-1]["anchor"][-1].as_py():
                     yield resolve(pa.concat_tables(held))
                     held, size = [], 0
                 held.append(table.slice(begin, to - begin))
@@ -220,6 +220,7 @@ def _within_tasks(cut: DataFrame, rule: Rule) -> DataFrame:
         if held:
             yield resolve(pa.concat_tables(held))
 
+    common.short_batches(cut.sparkSession)
     ordered = cut.select("anchor", "at", "weight", "_key", "doc_id", "span").repartition("anchor").sortWithinPartitions("anchor")
     return ordered.mapInArrow(run, "_key long, start long, end long")
 
@@ -242,7 +243,7 @@ def _by_rows(cut: DataFrame, rule: Rule) -> DataFrame:
         groups = groups.where(F.col("_weight") > 1).select("w0", "w1", F.lit(-1).cast("long").alias("_doc"))
     else:
         groups = groups.where(F.col("_low") < F.col("_high")).select("w0", "w1", F.col("_low").alias("_doc"))
-    groups = common.small(common.stage(groups, "window-groups"), 32)
+    groups = common.small(common.stage(groups, "window-groups"))
     return windows.join(groups, ["w0", "w1"]).where(F.col("doc_id") > F.col("_doc")).select("_key", "start", (F.col("start") + rule.window).alias("end"))
 
 
@@ -271,5 +272,5 @@ def attach(keyed_docs: DataFrame, found: DataFrame) -> DataFrame:
     """Rows with ``_row_key`` and their cuts beside them: _starts and _ends (null: none)."""
     runs, n = found.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0)), F.count(F.lit(1))).first()
     found = found.select("_key", F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
-    found = F.broadcast(found) if runs * 16 + n * 96 <= common.BROADCAST_BYTES else found
+    found = F.broadcast(found) if runs * 16 + n * common.row_bytes(found) <= common.BROADCAST_BYTES else found
     return keyed_docs.join(found, F.col("_row_key") == F.col("_key"), "left").drop("_key")

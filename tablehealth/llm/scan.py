@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 #: Fixed: the word separators \x20 and \x09-\x0D.
 _SPACE = np.zeros(256, bool)

@@ -110,6 +110,7 @@ def write(docs: DataFrame, path: str, vocabulary_file: str, end_id: int = END_ID
         if doc_ids:
             yield block(doc_ids, np.concatenate(counts), np.concatenate(ids))
 
+    common.short_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, kinds).write.option("compression", "zstd").parquet(path)
 

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tablehealth.llm import common, scan
 
 BITS = 20
-SHARDS = 8
-SHARD_ROWS = 2048
+SHARDS = 4
+SHARD_ROWS = 4096
 ROUNDS = 6
 CHUNK = 1 << 16
 
@@ -49,6 +49,15 @@ def features(s: scan.Slice) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(owners)
 
 
+def packed(coordinates: np.ndarray) -> bytes:
+    """Ascending coordinates as steps, byte by byte: mostly zeros, which shuffles compress away."""
+    return np.diff(coordinates, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.int64)
+
+
 def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     """FTRL-proximal weights of a state: zero wherever |z| is within the L1 term."""
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
@@ -79,14 +88,14 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shards = min(SHARDS, max(1, -(-known // SHARD_ROWS)))
     order = F.xxhash64("doc_id")
     chosen = marked.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col("doc_id").alias("_doc"), (F.col("toxic") > 0).cast("int").alias("label"), F.pmod(F.shiftright(order, 20), F.lit(shards)).cast("int").alias("shard"))
-    chosen = common.small(common.stage(chosen, "labelled"), 32)
+    chosen = common.small(common.stage(chosen, "labelled"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(chosen, F.col("doc_id") == F.col("_doc")).select("shard", "label", "doc_id", "text")
 
     def rows(batch):
         for s in scan.slices(batch["text"]):
             at, owner = features(s)
             key = np.unique(owner << BITS | at)
-            yield {c: batch[c].slice(s.first, len(s)) for c in ("shard", "label", "doc_id")} | {"features": scan.binary((key & ((1 << BITS) - 1)).astype(np.uint32), np.searchsorted(key >> BITS, np.arange(len(s) + 1)))}
+            yield {c: batch[c].slice(s.first, len(s)) for c in ("shard", "label", "doc_id")} | {"features": [packed(x) for x in np.split(key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(1, len(s))))]}
 
     return common.stage(common.arrow_map(texts, rows, "shard int, label int, doc_id long, features binary"), "features")
 
@@ -100,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
         def run(table: pa.Table) -> pa.Table:
             own_z, own_n = (x.astype(np.float64) for x in state.value)
             table = table.sort_by([("doc_id", "ascending"), ("label", "ascending")])
-            rows = [(np.append(np.frombuffer(x, np.uint32), 1 << BITS).astype(np.int64), y) for x, y in zip(table["features"].to_pylist(), table["label"].to_pylist(), strict=True)]
+            rows = [(np.append(unpacked(x), 1 << BITS), y) for x, y in zip(table["features"].to_pylist(), table["label"].to_pylist(), strict=True)]
             order = np.random.Generator(np.random.PCG64(number)).permutation(len(rows))
             train(own_z, own_n, [rows[i] for i in order])
             starts = range(0, len(own_z), CHUNK)
