@@ -11,6 +11,7 @@ Runs of windows with one anchor form a block, and the work proceeds by buckets:
    out of its text and its windows are compared: in tasks that hold whole buckets, or,
    for an anchor with more than ``BUCKET_SPANS`` different spans, as rows grouped by
    window hash.  Both give the same verdicts; no bucket is bounded by dropping.
+   Where the document of a representative holds its span again, the verdicts hold there too.
 
 A rule decides which windows of equal content go.  ``SEEN_ELSEWHERE``: content that
 starts at two positions or more, everywhere it stands.  ``SEEN_EARLIER``: content that a
@@ -166,8 +167,24 @@ def cuts(docs: DataFrame, rule: Rule) -> DataFrame:
     mixed = common.stage(spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("_spans")).where(F.col("_spans") > 1), "mixed-anchors")
     reps = spans.join(common.small(mixed), "anchor").withColumn("hot", F.col("_spans") > BUCKET_SPANS)
     cut = common.stage(_cut_out(docs, reps, rule), "representatives")
-    found = settled.unionByName(_within_tasks(cut.where(~F.col("hot")), rule)).unionByName(_by_rows(cut.where(F.col("hot")), rule))
-    return common.stage(_merge(found), "cuts")
+    found = _within_tasks(cut.where(~F.col("hot")), rule).unionByName(_by_rows(cut.where(F.col("hot")), rule))
+    if rule.seen == SEEN_EARLIER:
+        found = common.stage(found, "runs")
+        found = found.unionByName(_at_other_places(found, held, reps))
+    return common.stage(_merge(settled.unionByName(found.drop("at"))), "cuts")
+
+
+def _at_other_places(found: DataFrame, held: DataFrame, reps: DataFrame) -> DataFrame:
+    """The runs of a representative at the other places of its span in its own document.
+
+    Elsewhere a span that stands twice goes as a whole; here the first document that holds
+    it keeps it, and may hold it several times.
+    """
+    many = common.stage(reps.where(F.col("weight") > 1).select("anchor", "h0", "h1", F.col("doc_id").alias("_doc"), F.col("_key").alias("_rep"), F.col("at").alias("_at")), "repeated-spans")
+    twins = held.join(common.small(many), ["anchor", "h0", "h1"]).where((F.col("doc_id") == F.col("_doc")) & ((F.col("_key") != F.col("_rep")) | (F.col("at") != F.col("_at"))))
+    twins = common.stage(twins.select("_rep", "_at", F.col("_key").alias("_twin"), (F.col("at") - F.col("_at")).alias("_shift")), "other-places")
+    moved = found.join(common.small(twins), (F.col("_key") == F.col("_rep")) & (F.col("at") == F.col("_at")))
+    return moved.select(F.col("_twin").alias("_key"), (F.col("at") + F.col("_shift")).alias("at"), (F.col("start") + F.col("_shift")).alias("start"), (F.col("end") + F.col("_shift")).alias("end"))
 
 
 def _cut_out(docs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
@@ -202,7 +219,7 @@ def _within_tasks(cut: DataFrame, rule: Rule) -> DataFrame:
         owner, at = _refine(scan.Slice(data, offsets), rule, table["weight"].to_numpy(), table["doc_id"].to_numpy())
         owner, start, end = _runs(owner, at, rule.window)
         base = table["at"].to_numpy()[owner]
-        return pa.RecordBatch.from_arrays([pa.array(table["_key"].to_numpy()[owner]), pa.array(base + start), pa.array(base + end)], names=["_key", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(table["_key"].to_numpy()[owner]), pa.array(base), pa.array(base + start), pa.array(base + end)], names=["_key", "at", "start", "end"])
 
     def run(batches):
         held, size = [], 0
@@ -222,7 +239,7 @@ def _within_tasks(cut: DataFrame, rule: Rule) -> DataFrame:
 
     common.short_batches(cut.sparkSession)
     ordered = cut.select("anchor", "at", "weight", "_key", "doc_id", "span").repartition("anchor").sortWithinPartitions("anchor")
-    return ordered.mapInArrow(run, "_key long, start long, end long")
+    return ordered.mapInArrow(run, "_key long, at long, start long, end long")
 
 
 def _by_rows(cut: DataFrame, rule: Rule) -> DataFrame:
@@ -234,9 +251,9 @@ def _by_rows(cut: DataFrame, rule: Rule) -> DataFrame:
             starts = np.flatnonzero(scan.whole_windows(offsets, rule.window, len(first.sums) - 1))
             owner = np.searchsorted(offsets, starts, "right") - 1
             own = batch.slice(s.first, len(s)).take(pa.array(owner))
-            yield {"w0": first.ranges(starts, starts + rule.window), "w1": second.ranges(starts, starts + rule.window), "weight": own["weight"], "doc_id": own["doc_id"], "_key": own["_key"], "start": own["at"].to_numpy() + starts - offsets[owner]}
+            yield {"w0": first.ranges(starts, starts + rule.window), "w1": second.ranges(starts, starts + rule.window), "weight": own["weight"], "doc_id": own["doc_id"], "_key": own["_key"], "at": own["at"], "start": own["at"].to_numpy() + starts - offsets[owner]}
 
-    windows = common.arrow_map(cut.select("weight", "doc_id", "_key", "at", "span"), rows, "w0 long, w1 long, weight long, doc_id long, _key long, start long")
+    windows = common.arrow_map(cut.select("weight", "doc_id", "_key", "at", "span"), rows, "w0 long, w1 long, weight long, doc_id long, _key long, at long, start long")
     windows = common.stage(windows, "windows")
     groups = windows.groupBy("w0", "w1").agg(F.sum("weight").alias("_weight"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
     if rule.seen == SEEN_ELSEWHERE:
@@ -244,7 +261,7 @@ def _by_rows(cut: DataFrame, rule: Rule) -> DataFrame:
     else:
         groups = groups.where(F.col("_low") < F.col("_high")).select("w0", "w1", F.col("_low").alias("_doc"))
     groups = common.small(common.stage(groups, "window-groups"))
-    return windows.join(groups, ["w0", "w1"]).where(F.col("doc_id") > F.col("_doc")).select("_key", "start", (F.col("start") + rule.window).alias("end"))
+    return windows.join(groups, ["w0", "w1"]).where(F.col("doc_id") > F.col("_doc")).select("_key", "at", "start", (F.col("start") + rule.window).alias("end"))
 
 
 def _merge(found: DataFrame) -> DataFrame:

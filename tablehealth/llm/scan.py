@@ -146,11 +146,15 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
 
 
 def winnow(grams: np.ndarray, w: int) -> np.ndarray:
-    """For every window of w grams, the index of its smallest gram, the leftmost of equals."""
+    """For every window of w grams, the index of its smallest gram, the leftmost of equals.
+
+    Grams are compared by their upper halves, whatever their number: equal windows must pick
+    the same gram in every slice.
+    """
     n = len(grams)
     if n < w:
         return np.zeros(0, np.int64)
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(32)
     packed = ((grams >> bits) << bits) | np.arange(n, dtype=np.uint64)
     return (sliding_min(packed, w) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -5,6 +7,7 @@ from hypothesis import strategies as st
 
 from tablehealth.llm import byte_dedup, jaccard, quality, repeats, scan, substring_dedup
 from tests.llm import brute
+from tests.llm.conftest import prose
 
 
 def rows(df, *columns):
@@ -58,6 +61,21 @@ def test_substring_dedup_by_rows_and_by_shuffle(docs, pairs, monkeypatch):
     assert rows(substring_dedup.digest(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.order(brute.word_repeats(pairs))
 
 
+@pytest.mark.parametrize("bucket_spans", [0, repeats.BUCKET_SPANS])
+def test_a_document_that_holds_a_passage_twice_loses_both(spark, monkeypatch, bucket_spans):
+    """The passage stands in one setting in document 1, and twice in another one in document 2."""
+    monkeypatch.setattr(repeats, "BUCKET_SPANS", bucket_spans)
+    rng = random.Random(2)
+    pairs = []
+    for i in range(0, 60, 3):
+        passage, *around = (prose(rng, n) for n in (70, 90, 90, 40))
+        other = f"{around[0]} {passage} {around[1]}"
+        pairs += [(i, f"{prose(rng, 80)} {passage} {prose(rng, 80)}"), (i + 1, f"{other} {around[2]} {other}"), (i + 2, f"{passage} {prose(rng, 9)} {passage}")]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert rows(substring_dedup.digest(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.order(brute.word_repeats(pairs))
+    assert rows(byte_dedup.digest(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.order(brute.byte_repeats(pairs))
+
+
 def test_substring_removal_keeps_columns_and_untouched_texts(docs, edges):
     out = substring_dedup.remove(docs)
     assert out.columns == docs.columns
