@@ -3,9 +3,9 @@
 Tokens are distinct 5-word shingles, as 64-bit hashes.  Documents with equal sets form a
 class and one representative stands for it, so copies are never expanded into pairs.
 
-1. ``token_counts``: in how many representatives each token occurs.  Tokens travel packed
-   in binary blobs by hash range, four bytes each.  More than a quarter of tokens of its
-   own leaves a representative without any partner: it drops out here, exactly.
+1. ``token_counts``: in how many rows each token occurs.  Tokens travel packed in binary
+   blobs by hash range, four bytes each; texts do not move.  More than a quarter of tokens
+   of its own leaves a representative without any partner: it drops out here, exactly.
 2. ``signatures``: tokens are ordered rare first.  A prefix takes tokens until more than a
    quarter of the set must miss for a partner to share nothing of it.  Rare tokens are
    indexed one by one.  Frequent ones, by hashed subclasses, in combinations of two: a
@@ -23,8 +23,11 @@ id unless all are null; an empty table gives no rows; other columns are not read
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +87,11 @@ def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def token_counts(texts: DataFrame, total: int) -> DataFrame:
     """Staged rows of two kinds: per slice of documents, keys and own-token counts by range;
-    per range, frequent tokens (the top bits of their hash) with counts."""
+    per range, frequent tokens (the top bits of their hash) with counts.
+
+    A token that occurs in several texts of a slice leaves it once, with its count, so that
+    tokens which stand in a large share of all texts do not gather in one range's task.
+    """
     bits = max(6, (max(1, total) // RANGE_TOKENS).bit_length())
     ranges = 1 << bits
 
@@ -92,6 +99,15 @@ def token_counts(texts: DataFrame, total: int) -> DataFrame:
         for s in scan.slices(batch["text"], 1 << 20):
             tokens, at = token_sets(s)
             n, owner = len(s), np.repeat(np.arange(len(s)), np.diff(at))
+            order = np.argsort(tokens, kind="stable")
+            opens = np.flatnonzero(np.append(True, tokens[order][1:] != tokens[order][:-1]))[: len(tokens)]
+            many = np.diff(np.append(opens, len(tokens)))
+            several, times = tokens[order[opens[many > 1]]], many[many > 1].astype(np.uint32)
+            edges = np.searchsorted((several >> np.uint64(64 - bits)).astype(np.int64), np.arange(ranges + 1)).tolist()
+            several = (several >> np.uint64(32 - bits)).astype(np.uint32)
+            once = np.zeros(len(tokens), bool)
+            once[order[opens[many == 1]]] = True
+            tokens, owner = tokens[once], owner[once]
             place = (tokens >> np.uint64(64 - bits)).astype(np.int64)
             order = np.argsort(place, kind="stable")
             low = (tokens[order] >> np.uint64(32 - bits)).astype(np.uint32)
@@ -101,20 +117,24 @@ def token_counts(texts: DataFrame, total: int) -> DataFrame:
             keys = batch["_key"].slice(s.first, n).to_numpy()
             yield {
                 "range": np.arange(ranges, dtype=np.int32),
-                "slice": np.full(ranges, keys[0]),
+                "slice": np.full(ranges, xxhash.xxh3_64_intdigest(keys.tobytes()), np.uint64),
                 "keys": [keys.tobytes()] + [None] * (ranges - 1),
                 "counts": [x.astype(width).tobytes() for x in counts],
                 "wide": np.full(ranges, width is np.uint32),
                 "tokens": [low[a:b].tobytes() for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)],
+                "several": [several[a:b].tobytes() for a, b in pairwise(edges)],
+                "times": [times[a:b].tobytes() for a, b in pairwise(edges)],
             }
 
     def count(key, table):
         blobs = [np.frombuffer(x, np.uint32) for x in table["tokens"].to_pylist()]
         sizes = [np.frombuffer(x, np.uint32 if w else np.uint8).astype(np.int64) for x, w in zip(table["counts"].to_pylist(), table["wide"].to_pylist(), strict=True)]
-        tokens = np.concatenate(blobs)
+        tokens = np.concatenate(blobs + [np.frombuffer(x, np.uint32) for x in table["several"].to_pylist()])
+        times = np.concatenate([np.frombuffer(x, np.uint32) for x in table["times"].to_pylist()])
         order = np.argsort(tokens, kind="stable")
         opens = np.flatnonzero(np.append(True, tokens[order][1:] != tokens[order][:-1]))[: len(tokens)]
-        many = np.diff(np.append(opens, len(tokens)))
+        times = np.append(np.ones(len(tokens) - len(times), np.int64), times)
+        many = np.add.reduceat(times[order], opens) if len(tokens) else times
         alone = np.zeros(len(tokens) + 1, np.int64)
         alone[order[opens[many == 1]] + 1] = 1
         alone = np.cumsum(alone)
@@ -132,12 +152,12 @@ def token_counts(texts: DataFrame, total: int) -> DataFrame:
             "bits": pa.array([bits] * (len(per) + 1), pa.int32()),
         })
 
-    dealt = common.arrow_map(texts, deal, "range int, slice long, keys binary, counts binary, wide boolean, tokens binary")
+    dealt = common.arrow_map(texts, deal, "range int, slice long, keys binary, counts binary, wide boolean, tokens binary, several binary, times binary")
     return common.stage(dealt.groupBy("range").applyInArrow(count, "slice long, keys binary, own binary, tokens binary, often binary, bits int"), "token-counts")
 
 
 def own_tokens(counted: DataFrame) -> DataFrame:
-    """_key, own: how many tokens only this representative has."""
+    """_key, own: how many tokens only this row has."""
 
     def add(table: pa.Table) -> pa.Table:
         keys = next(x for x in table["keys"].to_pylist() if x is not None)
@@ -217,7 +237,7 @@ def prefix_signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def signatures(tokens: DataFrame, scores: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
-    """sig, _key, n, score: the signatures of each surviving representative, out of its packed set."""
+    """sig, _key, n, m: the signatures of each surviving representative, out of its packed set."""
     held = tokens.sparkSession.sparkContext.broadcast(frequent)  # at most DICTIONARY tokens of 8 bytes
 
     def rows(batch):
@@ -287,38 +307,48 @@ def components(links: DataFrame) -> DataFrame:
         labels = common.stage(labels, "labels")
 
 
+def _first() -> F.Column:
+    """Hubs are those with the smallest share of tokens of their own."""
+    return F.struct((-F.col("m") / F.col("n")).alias("score"), "_key", "n", "m")
+
+
+def _hub() -> list[F.Column]:
+    return [F.col("h._key").alias("hub"), F.col("h.n").alias("n_hub"), F.col("h.m").alias("m_hub")]
+
+
 def _of_the_hubs_component(placed: DataFrame) -> DataFrame:
     """A partner per bucket from the component of its hub, another one in every bucket.
 
     A member that the hub itself did not link meets as many of the component as it has
     signatures; in a group of near copies that is enough for nearly all.
     """
-    by_chance = F.struct(F.xxhash64("sig", "_key").alias("_chance"), "_key", "n")
-    # hubs have the smallest score; of the component, a member by chance
-    chosen = placed.groupBy("sig", "comp").agg(F.min(F.struct("score", "_key")).alias("_first"), F.min(by_chance).alias("h"))
+    by_chance = F.struct(F.xxhash64("sig", "_key").alias("_chance"), "_key", "n", "m")
+    # hubs come first; of the component, a member by chance
+    chosen = placed.groupBy("sig", "comp").agg(F.min(_first()).alias("_first"), F.min(by_chance).alias("h"))
     best = chosen.groupBy("sig").agg(F.min(F.struct("_first", "comp", "h")).alias("b"))
-    return best.select("sig", F.col("b.h._key").alias("hub"), F.col("b.h.n").alias("n_hub"), F.col("b.comp").alias("hub_comp"))
+    return best.select("sig", F.col("b.h._key").alias("hub"), F.col("b.h.n").alias("n_hub"), F.col("b.h.m").alias("m_hub"), F.col("b.comp").alias("hub_comp"))
 
 
 def _of_each_component(placed: DataFrame) -> DataFrame:
     """The hub of each component that meets in a bucket."""
-    hubs = placed.groupBy("sig", "comp").agg(F.min(F.struct("score", "_key", "n")).alias("h"))
-    return hubs.select("sig", F.col("h._key").alias("hub"), F.col("h.n").alias("n_hub"), F.col("comp").alias("hub_comp"))
+    hubs = placed.groupBy("sig", "comp").agg(F.min(_first()).alias("h"))
+    return hubs.select("sig", *_hub(), F.col("comp").alias("hub_comp"))
 
 
 def _all_members(placed: DataFrame) -> DataFrame:
     """Every member: what is still apart is tried pair by pair."""
-    return placed.select("sig", F.col("_key").alias("hub"), F.col("n").alias("n_hub"), F.col("comp").alias("hub_comp"))
+    return placed.select("sig", F.col("_key").alias("hub"), F.col("n").alias("n_hub"), F.col("m").alias("m_hub"), F.col("comp").alias("hub_comp"))
 
 
 def link(sigs: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links found between representatives (staged), and (_key, comp) of those linked."""
     shared = common.stage(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("_many")).where(F.col("_many") > 1).select("sig"), "shared-signatures")
     held = common.stage(sigs.join(common.small(shared), "sig", "left_semi"), "signatures")
-    near = (F.col("n") * 4 >= F.col("n_hub") * 3) & (F.col("n_hub") * 4 >= F.col("n") * 3)
+    # 4 * intersection >= 3 * union, and no more can be shared than what is not a set's own
+    near = F.least("m", "m_hub") * 7 >= (F.col("n") + F.col("n_hub")) * 3
     pair = [F.least("_key", "hub").alias("a"), F.greatest("_key", "hub").alias("b")]
 
-    hubs = common.stage(held.groupBy("sig").agg(F.min(F.struct("score", "_key", "n")).alias("h")).select("sig", F.col("h._key").alias("hub"), F.col("h.n").alias("n_hub")), "hubs")
+    hubs = common.stage(held.groupBy("sig").agg(F.min(_first()).alias("h")).select("sig", *_hub()), "hubs")
     tried = common.stage(held.join(common.small(hubs), "sig").where((F.col("_key") != F.col("hub")) & near).select(*pair).distinct(), "pairs")
     links = common.stage(verify(tried, tokens), "links")
     comps = components(links)
@@ -349,13 +379,15 @@ def join(docs: DataFrame) -> DataFrame:
     """
     measured = common.stage(sets(docs), "token-sets")
     filled = measured.where(F.col("n") > 0)
-    classes = filled.groupBy("c0", "c1").agg(F.min("_key").alias("rep"), F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("doc_id"), F.col("_key"))).alias("first"), F.max("n").alias("n"))
+    classes = filled.groupBy("c0", "c1").agg(F.min("_key").alias("rep"), F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("doc_id"), F.col("_key"))).alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     classes = common.stage(classes, "classes")
 
-    reps = classes.select(F.col("rep").alias("_key"), "n")
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counted = token_counts(_texts_of(docs, reps.select("_key")), total)
-    scores = own_tokens(counted).join(reps, "_key").where(F.col("own") <= F.floor(F.col("n") / 4)).select("_key", "n", (F.col("own") / F.col("n")).alias("score"))
+    reps = classes.select(F.col("rep").alias("_key"), "n", "rows")
+    total = filled.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counted = token_counts(_keyed(docs), total)
+    # tokens are counted over all rows: a class of several copies has none that occurs once
+    own = F.when(F.col("rows") == 1, F.col("own")).otherwise(0)
+    scores = own_tokens(counted).join(reps, "_key").where(own <= F.floor(F.col("n") / 4)).select("_key", F.col("n").cast("int"), (F.col("n") - own).cast("int").alias("m")).dropDuplicates(["_key"])
     scores = common.stage(scores, "survivors")
     texts = _texts_of(docs, scores.select("_key")).dropDuplicates(["_key"])
     frequent, bits = dictionary(counted)
