@@ -4,6 +4,11 @@ A text is cut into sentences (and unknown ones into their lines), each is normal
 known ones become identifiers, and the sequence of a text's identifiers is matched against rules: a licence is found where its
 sentences follow one another, unknown sentences between them notwithstanding.  The tables
 of sentences and rules are parameters; ``KNOWN`` and ``RULES`` hold common public ones.
+A known sentence is one piece of the scan's own cutting, so what official wording spreads
+over several pieces is several known sentences in a row.
+
+Rules are judged each by itself: a text under BSD-3-Clause holds all of BSD-2-Clause too,
+and both are named.
 
 One narrow pass without a shuffle; texts in which no known sentence can stand, because
 they lack every hint, skip the cutting.  Null and empty texts have no sentences and no
@@ -29,12 +34,19 @@ KNOWN = {
     "apache-condition": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
     "gpl3-name": "this work is licensed under the gnu general public license version 3",
+    "apache-copy-at": "you may obtain a copy of the license at",
+    "apache-url": "http www apache org licenses license 2 0",
     "gpl3-or-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl-free": "this program is free software",
+    "gpl3-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-copy": "you should have received a copy of the gnu general public license along with this program",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "mpl2-header": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "cc-by-name": "licensed under cc by 4 0",
@@ -46,9 +58,10 @@ KNOWN = {
 # Licences as ordered sentence identifiers.
 RULES = {
     "MIT": (("mit-name",), ("mit-grant", "mit-notice", "as-is")),
-    "Apache-2.0": (("apache-name",), ("apache-header", "apache-condition"), ("apache-condition", "apache-copy")),
+    "Apache-2.0": (("apache-name",), ("apache-header", "apache-condition"), ("apache-condition", "apache-copy"), ("apache-condition", "apache-copy-at", "apache-url")),
     "GPL-3.0-only": (("gpl3-name",),),
-    "GPL-3.0-or-later": (("gpl3-or-later", "gpl-warranty", "gpl-copy"), ("gpl3-or-later", "gpl-warranty")),
+    "GPL-3.0-or-later": (("gpl3-or-later", "gpl-warranty", "gpl-copy"), ("gpl3-or-later", "gpl-warranty"), ("gpl-free", "gpl3-terms", "gpl-hope", "gpl-implied")),
+    "BSD-3-Clause": (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"),),
     "BSD-2-Clause": (("bsd-grant", "bsd-source", "bsd-binary"),),
     "ISC": (("isc-grant",),),
     "MPL-2.0": (("mpl2-header",),),
@@ -59,16 +72,17 @@ RULES = {
 }
 
 #: Every known sentence holds one of these, whatever the case.
-HINTS = ("licen", "copyright", "warrant", "permi", "redistribut")
+HINTS = ("licen", "copyright", "warrant", "permi", "redistribut", "free software")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_STOP = r"([.!?;:])[\x20\x09-\x0D]+"
-_GAP = r"\n[\x20\x09-\x0D]*\n"
+# "v. 2.0" holds no end of a sentence, but may be one
+_STOP = r"(\bv[.][\x20\x09-\x0D#*/]+[0-9][0-9.]*|[.!?;:][\x20\x09-\x0D])[\x20\x09-\x0D]*"
+_GAP = r"\n[\x20\x09-\x0D#*/;%!<>-]*\n"
 _OTHER = "[^a-z0-9]+"
 
 
 def sentences(text: Column) -> Column:
-    """Sentences in lower case: cut behind . ! ? ; : and at blank lines."""
+    """Sentences in lower case: cut behind . ! ? ; : and at lines that are blank or hold comment marks alone."""
     return F.split(F.regexp_replace(F.translate(text, _UPPER, _LOWER), _STOP, "$1\n\n"), _GAP)
 
 

@@ -148,6 +148,115 @@ def test_licences(spark, nothing):
     assert brute.order(con.sql(licences.duckdb_sql()).fetchall()) == found
 
 
+OFFICIAL = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 A. Holder
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM.""",
+    "Apache-2.0": """Copyright 2020 A. Holder
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS.""",
+    "GPL-3.0-or-later": """Copyright (C) 2020 A. Holder
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "BSD-2-Clause": """Copyright (c) 2020, A. Holder
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".""",
+    "ISC": """Copyright 2020 A. Holder
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3.",
+    "CC-BY-4.0": "This photo: Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
+    "CC0-1.0": """To the extent possible under law, the author has waived all copyright and
+related or neighboring rights to this work.""",
+}
+OFFICIAL["BSD-3-Clause"] = OFFICIAL["BSD-2-Clause"].replace("THIS SOFTWARE", """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE""")
+
+
+def test_official_licence_texts(spark):
+    assert set(OFFICIAL) == set(licences.RULES)
+    rows, expected = [], {}
+    for mark in ("", "# ", " * ", "// ", "-- "):
+        for name, text in OFFICIAL.items():
+            # each rule is judged by itself, and the three clauses hold the two
+            expected[len(rows)] = "BSD-3-Clause,BSD-2-Clause" if name == "BSD-3-Clause" else name
+            rows.append((len(rows), "\n".join((mark + line).rstrip() for line in text.split("\n"))))
+    more = [
+        (OFFICIAL["GPL-3.0-or-later"].replace("software: you", "software; you"), "GPL-3.0-or-later"),
+        ("This program is free software; it costs nothing.", ""),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "MPL-2.0"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 3.0.", ""),
+        (" * This Source Code Form is subject to the terms of the Mozilla Public License, v.\n * 2.0. If", "MPL-2.0"),
+        ("See section v. Released under the MIT License. v. 2.0. Licensed under CC BY 4.0.", "MIT,CC-BY-4.0"),
+        ("See the code.\nYou may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0.", "Apache-2.0"),
+    ]
+    for text, name in more:
+        expected[len(rows)] = name
+        rows.append((len(rows), text))
+    found = [tuple(r) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert {r[0]: r[3] for r in found} == expected
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert brute.order(con.sql(licences.duckdb_sql()).fetchall()) == brute.order(found)
+
+
 def test_licence_scan_is_native(spark, docs):
     plan = licences.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange hash" not in plan
