@@ -11,7 +11,7 @@ score cuts most of the tree from the start.
 Queries are rows of a table, sent in blocks to every shard; no pair of rows is ever a row
 of a join.  Vectors that are null or empty or hold null or non-finite components take no
 part; vectors are compared with those of their own length; equal scores go to the smaller
-id; repeated ids are all kept.  Other columns are not read.
+id; repeated ids are all kept, and none is compared with rows of its own id.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ class Tree:
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
     def search(self, query_id: int, query: np.ndarray, bounds: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
-        """The k best (score, id), the query's own row left out, given that k scores of at least ``floor`` exist elsewhere."""
+        """The k best (score, id), rows of the query's own id left out, given that k scores of at least ``floor`` exist elsewhere."""
         best: list[tuple] = []  # a heap of (score, -id): its first is the k-th so far
         nodes = [(-bounds[0], 0)]
         while nodes:
@@ -82,12 +82,11 @@ class Tree:
                 continue
             scores = self.vectors[rows] @ query
             worth = np.flatnonzero(scores >= (max(floor, best[0][0]) if len(best) == k else floor))
+            worth = worth[self.ids[rows[worth]] != query_id]  # all of the query's own, before any is cut off
             if len(worth) > 2 * k:  # rows are in id order: a stable sort keeps the smaller ids
-                worth = worth[np.argsort(-scores[worth], kind="stable")[: k + 1]]
+                worth = worth[np.argsort(-scores[worth], kind="stable")[:k]]
             for i in worth.tolist():
                 found = (scores[i].item(), -int(self.ids[rows[i]]))
-                if found[1] == -query_id:
-                    continue
                 if len(best) < k:
                     heapq.heappush(best, found)
                 elif found > best[0]:

@@ -85,6 +85,32 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shard_rows):
     assert {tuple(r) for r in topk.top_k(table).collect()} == expected_top(rows)
 
 
+def expected_top_of_repeated(rows, k=5, every=50):
+    """As the SQL has it: the rows of one id are one query, each with a score of its own for every other row."""
+    sound = [(i, v) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    whole = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in sound]
+    scores = {}
+    for qi, q in whole:
+        if qi % every == 0:
+            scores.setdefault(qi, []).extend((-sum(a * b for a, b in zip(q, v, strict=True)), i) for i, v in whole if i != qi and len(v) == len(q))
+    return sorted((qi, n, i, -s) for qi, found in scores.items() for n, (s, i) in enumerate(sorted(found)[:k], 1))
+
+
+@pytest.mark.parametrize("shard_rows", [40, topk.SHARD_ROWS])
+@pytest.mark.parametrize("copies", [1, 6, 7, 70])
+def test_top_k_of_repeated_ids(spark, monkeypatch, shard_rows, copies):
+    monkeypatch.setattr(topk, "SHARD_ROWS", shard_rows)
+    rows = vectors() + [(100, [9.0] * 6), (200, [-3.0, 2.0, 0.5, 0.0, 1.0, -8.0])] * copies
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.top_k(table).collect()) == expected_top_of_repeated(rows)
+
+
+def test_top_k_of_one_leaf_with_copies(spark):
+    rows = [(0, [5.0, 5.0])] * 6 + [(i, [i / 10, 1.0]) for i in range(1, 20)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(tuple(r) for r in found) == expected_top_of_repeated(rows) and len(found) == 5
+
+
 def test_top_k_of_nothing_and_of_few(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(none).count() == 0
