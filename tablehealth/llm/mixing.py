@@ -1,8 +1,9 @@
 """Mixing sources to target weights along a low-discrepancy schedule.
 
 Every source's documents are put in a hashed order and cut into blocks of equal word
-counts.  Slot j of the schedule maps the golden-ratio point frac(j * phi) through the
-cumulative target shares to a source, and the k-th slot of a source takes its block
+counts, give or take a word, and at most ``BLOCK_WORDS``.  Slot j of the schedule maps the
+golden-ratio point frac(j * phi) through the cumulative slots due to a source, which are its
+target by the mean length of its blocks, and the k-th slot of a source takes its block
 k mod n, so a source is gone through again only after all its blocks were used.  The
 schedule is made by ``range``: a chunk of slots per row, ranks within the chunk at once,
 the ranks before a chunk from the chunks' counts.  Positions within a source come from
@@ -15,6 +16,8 @@ occur; an empty table has an empty mix; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +29,7 @@ WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
 
 BLOCK_WORDS = 128
+SPARE_SLOTS = 4  # of a source at its limit: the schedule may deal it fewer than are due
 CHUNK_SLOTS = 1 << 14
 BUCKETS = 512
 _PHI = np.uint64(0x9E3779B97F4A7C15)  # 2**64 / golden ratio
@@ -98,9 +102,13 @@ def prepare(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame,
     names = sorted((x for x in totals if x is not None), key=lambda x: [ord(c) for c in x]) + [None] * (None in totals)
     weights = [float(WEIGHTS[i % len(WEIGHTS)]) for i in range(len(names))]
     goals = targets([totals[x] for x in names], weights)
-    sources = [{"_source": i, "source": x, "source_size": totals[x], "target": g, "blocks": -(-totals[x] // block_words)} for i, (x, g) in enumerate(zip(names, goals, strict=True))]
+    sources = []
+    for i, (x, g) in enumerate(zip(names, goals, strict=True)):
+        blocks = -(-totals[x] // block_words)
+        short, longer = divmod(totals[x], blocks) if blocks else (1, 0)  # the first ``longer`` blocks have a word more
+        sources.append({"_source": i, "source": x, "source_size": totals[x], "target": g, "blocks": blocks, "_short": short, "_longer": longer})
     spark = docs.sparkSession
-    table = spark.createDataFrame([tuple(s.values()) for s in sources], "_source long, _name string, source_size long, target double, blocks long")
+    table = spark.createDataFrame([tuple(s.values()) for s in sources], "_source long, _name string, source_size long, target double, blocks long, _short long, _longer long")
     sized = sized.join(common.small(table), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
 
     sized = sized.withColumn("_order", F.xxhash64("_key", "doc_id")).withColumn("_bucket", F.pmod(F.col("_order"), F.lit(BUCKETS)))
@@ -108,10 +116,10 @@ def prepare(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame,
     buckets = sized.groupBy("_source", "_bucket").agg(F.sum("size").alias("n")).select("_source", "_bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_opens"))
     within = Window.partitionBy("_source", "_bucket").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.where(F.col("size") > 0).join(common.small(common.stage(buckets, "buckets")), ["_source", "_bucket"]).withColumn("_at", F.col("_opens") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    b = F.lit(block_words)
-    first, last = F.expr(f"_at div {block_words}"), F.expr(f"(_at + size - 1) div {block_words}")
-    parts = placed.select("doc_id", "_key", "_source", "size", "_at", F.explode(F.sequence(first, last)).alias("_block"))
-    begin, end = F.greatest(F.col("_at"), F.col("_block") * b), F.least(F.col("_at") + F.col("size"), (F.col("_block") + 1) * b)
+    block = lambda at: F.expr(f"CASE WHEN {at} < _longer * (_short + 1) THEN ({at}) div (_short + 1) ELSE _longer + ({at} - _longer * (_short + 1)) div _short END")
+    opens = lambda b: b * F.col("_short") + F.least(b, F.col("_longer"))
+    parts = placed.select("doc_id", "_key", "_source", "size", "_at", "_short", "_longer", F.explode(F.sequence(block("_at"), block("_at + size - 1"))).alias("_block"))
+    begin, end = F.greatest(F.col("_at"), opens(F.col("_block"))), F.least(F.col("_at") + F.col("size"), opens(F.col("_block") + 1))
     return sized, parts.select("doc_id", "_key", "_source", "_block", (begin - F.col("_at")).alias("word_start"), (end - begin).alias("n_words")), sources
 
 
@@ -122,11 +130,12 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, Dat
     """
     sized, parts, sources = prepare(docs, block_words)
     spark = docs.sparkSession
-    total = sum(s["source_size"] for s in sources)
-    slots = schedule(spark, [s["target"] for s in sources] or [1.0], -(-total // block_words))
+    due = [s["target"] * s["blocks"] / s["source_size"] if s["blocks"] else 0.0 for s in sources]
+    due = [x + SPARE_SLOTS if s["blocks"] and s["target"] >= MOST_TIMES * s["source_size"] else x for x, s in zip(due, sources, strict=True)]
+    slots = schedule(spark, due or [1.0], math.ceil(sum(due)))
     blocks = spark.createDataFrame([(s["_source"], s["blocks"]) for s in sources], "_source long, blocks long")
     used = slots.join(common.small(blocks), "_source").where(F.col("blocks") > 0).withColumn("epoch", F.expr("rank div blocks")).withColumn("_block", F.col("rank") % F.col("blocks"))
-    # the schedule may overshoot a capped source by a slot or two: its blocks are used up then
+    # a source at its limit is dealt spare slots: its blocks are used up then
     used = used.where(F.col("epoch") < MOST_TIMES)
     return sized, used.join(parts, ["_source", "_block"]).select("slot", "epoch", "_source", "_block", "doc_id", "_key", "word_start", "n_words")
 

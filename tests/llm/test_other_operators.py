@@ -51,6 +51,40 @@ def test_mix_meets_targets_and_limits(docs, edges):
     assert brute.order(map(tuple, again)) == brute.order(map(tuple, found))
 
 
+@pytest.mark.parametrize(("small", "target"), [(20, 60), (40, 120), (130, 390)])
+def test_small_source_beside_large_ones_gets_its_target(spark, small, target):
+    rows = [(i, " ".join(["w"] * 500), s) for s in ("b", "c") for i in range(40)] + [(99, " ".join(["v"] * small), "a")]
+    found = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert [(r.target, r.taken) for r in found if r.doc_id == 99] == [(target, target)]
+    assert sum(r.taken for r in found) == pytest.approx(40_000 + small, abs=256)
+
+
+def test_long_tail_of_small_sources_shares_all_words(spark):
+    sizes = [20 + 37 * i % 241 for i in range(600)]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), f"s{i:03}") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    found = mixing.taken(docs).collect()
+    assert sum(r.taken for r in found) == pytest.approx(sum(sizes), rel=0.02)
+    at_limit = [r for r in found if r.target >= 3 * r.source_size]
+    assert at_limit and all(r.taken == 3 * r.size for r in at_limit)
+    assert all(abs(r.taken - r.target) < 2 * 128 for r in found)
+
+
+def test_blocks_of_a_source_are_of_equal_length(spark):
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), "ab"[i % 2]) for i, n in enumerate((7, 130, 1, 400, 0, 129, 33))], "doc_id long, text string, source string")
+    sized, parts, sources = mixing.prepare(docs)
+    rows = parts.collect()
+    for s in sources:
+        words = {}
+        for r in rows:
+            if r._source == s["_source"]:
+                words[r._block] = words.get(r._block, 0) + r.n_words
+        assert sorted(words) == list(range(s["blocks"])) and sum(words.values()) == s["source_size"]
+        assert max(words.values()) <= 128 and max(words.values()) - min(words.values()) <= 1
+    for d in sized.collect():
+        spans = sorted((r.word_start, r.n_words) for r in rows if r.doc_id == d.doc_id)
+        assert [a for a, _ in spans] == [sum(n for _, n in spans[:i]) for i in range(len(spans))] and sum(n for _, n in spans) == d.size
+
+
 def test_mix_as_documents(docs, nothing):
     out = mixing.repeat(docs, 4)
     assert out.columns == docs.columns
