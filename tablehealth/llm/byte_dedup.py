@@ -1,9 +1,10 @@
-"""Suffix-array style deduplication of bytes by bucket-pointer refinement.
+"""Deduplication of repeated byte strings by hashes of windows round winnowed anchors.
 
-Suffixes start in buckets of equal q-grams, taken at winnowed positions so that one in
-about seventy is enough; ``repeats`` drops buckets of one, splits the others by the
-identifiers of later offsets, and reuses the new identifiers at twice the depth until
-``WINDOW`` bytes are covered.  Every byte within a window that starts anywhere else goes.
+Windows start in buckets of equal q-grams, taken at winnowed positions so that one in
+about seventy is enough; ``repeats`` drops buckets of one, settles equal spans, and splits
+the others by content hashes until ``WINDOW`` bytes are covered.  This takes the place of
+bucket-pointer refinement: no identifier of another offset is looked up.  Every byte
+within a window that starts anywhere else goes.
 Edge cases are those of ``repeats``.
 """
 

@@ -117,9 +117,9 @@ def _hit(h0: np.ndarray, h1: np.ndarray, weight: np.ndarray, doc: np.ndarray, ru
 def _refine(s: scan.Slice, rule: Rule, weight: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Repeating windows of the spans in a slice: (span, window within the span).
 
-    Windows start in the buckets of their first quarter.  A bucket is split by the
-    identifiers of the bucket one depth further on, the new identifiers serve the next
-    round at twice the depth, and windows that are alone leave after each round.
+    Windows start in the buckets of their first quarter.  A bucket is split by the hash of
+    the window's own text one depth further on, and windows that are alone leave after each
+    round.
     """
     first, second, offsets = rule.sequences(s)
     starts = np.flatnonzero(scan.whole_windows(offsets, rule.window, len(first.sums) - 1))

@@ -1,9 +1,10 @@
-"""Substring deduplication of words by seed and extend.
+"""Substring deduplication of words by hashes of windows round winnowed anchors.
 
-Seeds are winnowed word-grams shared by documents.  ``repeats`` extends each seed both
-ways, over the whole span around it where spans agree and window by window where they do
-not, and joins what is left to maximal repeats of at least ``WINDOW`` words.  The copy in
-the document with the smallest doc_id stays.  Edge cases are those of ``repeats``.
+Anchors are winnowed word-grams shared by documents.  ``repeats`` compares the span of
+windows round an anchor as a whole where spans agree and window by window where they do
+not, and joins repeating windows to maximal repeats of at least ``WINDOW`` words.  This
+takes the place of seed and extend: no match is extended.  The copy in the document with
+the smallest doc_id stays.  Edge cases are those of ``repeats``.
 """
 
 from __future__ import annotations
