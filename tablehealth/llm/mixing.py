@@ -152,8 +152,19 @@ def taken(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def repeat(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The mix as documents: each row of ``docs`` as often as the mix takes it, to the nearest whole."""
-    times = taken(docs, block_words).where(F.col("size") > 0).groupBy("_key").agg((F.sum("taken") / F.sum("size")).alias("_times"))
-    times = common.stage(times.select("_key", F.floor(F.col("_times") + 0.5).cast("int").alias("_times")).where(F.col("_times") > 0), "times")
-    repeated = common.coded(docs).join(common.small(times), F.col("_row_key") == F.col("_key")).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    """The mix as documents: each row of ``docs`` as often as the mix takes all of it.
+
+    What the mix takes beyond that are a row's first words, as blocks are used in order; they
+    come as one more document, n_chars to match, so that every source has the words it takes.
+    """
+    each = taken(docs, block_words).where(F.col("size") > 0).groupBy("_key").agg(F.expr("sum(taken) div count(1)").alias("_each"), F.max("size").alias("_size"))
+    times = common.stage(each.where(F.col("_each") > 0).select("_key", F.expr("_each div _size").cast("int").alias("_times"), (F.col("_each") % F.col("_size")).alias("_rest")), "times")
+    text, n_chars = (f"_column_{docs.columns.index(c)}" if c in docs.columns else None for c in ("text", "n_chars"))
+    lengths = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("_times")), F.when(F.col("_rest") > 0, F.array("_rest")).otherwise(F.array().cast("array<long>")))
+    repeated = common.coded(docs).join(common.small(times), F.col("_row_key") == F.col("_key")).withColumn("_words", F.explode(lengths))
+    cut = F.col("_words") >= 0
+    words = F.regexp_extract_all(F.col(text).cast("string"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    repeated = repeated.withColumn(text, F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), "")).otherwise(F.col(text)))
+    if n_chars:
+        repeated = repeated.withColumn(n_chars, F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n_chars)))
     return common.decoded(repeated, docs)

@@ -92,6 +92,24 @@ def test_mix_as_documents(docs, nothing):
     assert mixing.repeat(nothing).count() == 0 and mixing.taken(nothing).count() == 0
 
 
+def test_mix_as_documents_keeps_the_words_of_a_source(spark):
+    sizes = {"a": [40] * 20, "b": [9000, 30, 50], "c": [7000, 7000, 1, 90]}
+    rows = [(100 * k + i, "  ".join(f"{s}{j}\n" for j in range(n)), s, 0) for k, (s, ns) in enumerate(sizes.items()) for i, n in enumerate(ns)]
+    rows += rows[-1:] * 2  # copies of a row share its words
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    texts = {r[0]: r[1] for r in rows}
+    goals, words = {}, {}
+    for r in mixing.taken(docs).collect():
+        s = "abc"[r.doc_id // 100]
+        goals[s] = goals.get(s, 0) + r.taken
+    for r in mixing.repeat(docs).collect():
+        words[r.source] = words.get(r.source, 0) + len(brute.WORD.findall(r.text))
+        assert texts[r.doc_id].startswith(r.text) and (r.text == texts[r.doc_id] or r.n_chars == len(r.text))
+    assert min(goals.values()) > 0
+    for s, goal in goals.items():
+        assert words[s] == pytest.approx(goal, abs=3)
+
+
 def vectors():
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=6).round(3).tolist()) for i in range(300)]
