@@ -326,12 +326,11 @@ _SCANNED = {"orders": "o_orderkey", "lineitem": None, "customer": "c_custkey", "
 UNION ALL SELECT 'customer', CASE WHEN count(*) = count(DISTINCT c_custkey) THEN 'c_custkey' END FROM customer
 UNION ALL SELECT 'supplier', CASE WHEN count(*) = count(DISTINCT s_suppkey) THEN 's_suppkey' END FROM supplier UNION ALL SELECT 'lineitem', NULL""")
 def unique_scan(spark, sf_dir):
-    """The first unique column of each table, all columns tried in order (string keys of lineitem: none)."""
+    """The first unique column of each table, all columns tried in order."""
     rows = []
     for name in _SCANNED:
         df = _table(spark, sf_dir, name)
-        ordered = [c for c in profile.eligible(df) if not c.startswith("l_") or c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
-        hit = profile.find_unique_column(df, ordered)
+        hit = profile.find_unique_column(df, profile.eligible(df))
         rows.append((name, hit["column"] if hit else None))
     return spark.createDataFrame(rows, "table_name string, source_column string")
 

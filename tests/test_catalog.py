@@ -106,3 +106,15 @@ def test_layouts_and_upkeep(spark):
     assert "lay.t" in {r.full_name for r in tree.collect()}
     size = catalog.table_bytes(spark.table("lay.t")).first()
     assert size.files == 1 and size.total_bytes > 0
+
+
+def test_data_scan_tries_every_column_of_lineitem(spark, sf_dir, tmp_path):
+    from tablehealth.plans import catalogue
+
+    for name in ("orders", "customer", "supplier"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    assert profile.find_unique_column(lines, [c for c in lines.columns if c != "l_comment"]) is None
+    lines.withColumn("l_comment", F.concat(F.lit("line "), F.monotonically_increasing_id())).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = {r.table_name: r.source_column for r in catalogue.queries()["unique_scan"](spark, str(tmp_path)).collect()}
+    assert found == {"orders": "o_orderkey", "lineitem": "l_comment", "customer": "c_custkey", "supplier": "s_suppkey"}
