@@ -32,6 +32,7 @@ from tablehealth.llm import common, encode
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
+RANGE_CHARS = 256  # of the text, for ranges within one doc_id: sampled to the driver
 BLOCKS = "shard int, block int, base long, bits int, n_ids long, first_doc long, last_doc long, doc_ids array<long>, offsets array<long>, payload binary"
 
 
@@ -62,7 +63,8 @@ def unpack(payload: bytes, bits: int, start: int, n: int) -> np.ndarray:
 def write(docs: DataFrame, path: str, vocabulary_file: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Encode every text, append ``end_id``, and write the blocks under ``path``.
 
-    Texts are range-partitioned by doc_id before they are encoded: one shuffle of the raw
+    Texts are range-partitioned by doc_id and, as an id may stand for many rows, by how they
+    begin, before they are encoded: one shuffle of the raw
     text, after which encoding, packing and writing happen in one stage, batch by batch.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -111,7 +113,7 @@ def write(docs: DataFrame, path: str, vocabulary_file: str, end_id: int = END_ID
             yield block(doc_ids, np.concatenate(counts), np.concatenate(ids))
 
     common.short_batches(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, kinds).write.option("compression", "zstd").parquet(path)
 
 

@@ -109,13 +109,19 @@ def _matrix(column) -> np.ndarray:
     return flat.astype(np.float64) if most * most * flat.shape[1] < 2**53 else flat
 
 
+def deal(every_vector: DataFrame, shards: int) -> DataFrame:
+    """_shard of each row, by its number: an id may stand for many rows."""
+    return every_vector.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int"))
+
+
 def top_k(table: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id divisible by ``every``, its k best others."""
-    every_vector = common.stage(vectors(table, scale), "vectors")
+    # the number is staged with the row, so that a row is dealt alike each time
+    every_vector = common.stage(vectors(table, scale).withColumn("_row", F.monotonically_increasing_id()), "vectors")
     n = every_vector.count()
     shards = max(1, -(-n // SHARD_ROWS))
-    dealt = every_vector.withColumn("_shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    queries = every_vector.where(F.col("vec_id") % every == 0).withColumn("_home", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int"))
+    dealt = deal(every_vector, shards)
+    queries = every_vector.where(F.col("vec_id") % every == 0).withColumn("_home", F.pmod(F.xxhash64("_row", F.lit(1)), F.lit(shards)).cast("int"))
 
     def run(key, rows: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
@@ -135,15 +141,15 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE) ->
     def search(asked: DataFrame) -> DataFrame:
         # a shard's queries come in blocks too, so that no task holds all queries
         parts = max(1, -(-n // every // (QUERY_BLOCK * 16)))
-        asked = asked.withColumn("_part", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(parts)).cast("int"))
+        asked = asked.withColumn("_part", F.pmod(F.xxhash64("_row", F.lit(2)), F.lit(parts)).cast("int"))
         held = dealt.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         keys = ["_shard", "_length", "_part"]
         asked = asked.select(*[F.col(c).alias(f"{c}_asked") for c in asked.columns])
         return held.groupBy(*keys).cogroup(asked.groupBy(*[f"{c}_asked" for c in keys])).applyInArrow(run, FOUND)
 
-    first = common.stage(search(queries.select("vec_id", "_vector", "_length", F.col("_home").alias("_shard"), F.lit(None).cast("long").alias("_floor"))), "home")
+    first = common.stage(search(queries.select("vec_id", "_row", "_vector", "_length", F.col("_home").alias("_shard"), F.lit(None).cast("long").alias("_floor"))), "home")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     floors = first.groupBy("query_id").agg(F.min("score").alias("_least"), F.count(F.lit(1)).alias("_n")).select(F.col("query_id").alias("vec_id"), F.when(F.col("_n") >= k, F.col("_least")).alias("_floor"))
     others = queries.join(floors, "vec_id", "left").withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("_shard") != F.col("_home"))
-    rest = search(others.select("vec_id", "_vector", "_length", "_shard", "_floor"))
+    rest = search(others.select("vec_id", "_row", "_vector", "_length", "_shard", "_floor"))
     return first.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -157,6 +157,17 @@ def test_top_k_of_repeated_ids(spark, monkeypatch, shard_rows, copies):
     assert sorted(tuple(r) for r in topk.top_k(table).collect()) == expected_top_of_repeated(rows)
 
 
+def test_shards_are_bounded_when_an_id_repeats(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    dealt, deal = [], topk.deal
+    monkeypatch.setattr(topk, "deal", lambda *given: dealt.append(deal(*given)) or dealt[-1])
+    rows = [(3, [1.0, float(i % 20)]) for i in range(400)] + [(50, [1.0, 2.0])] * 100
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(tuple(r) for r in found) == expected_top_of_repeated(rows)
+    sizes = [r["count"] for r in dealt[0].groupBy("_shard").count().collect()]
+    assert sum(sizes) == 500 and max(sizes) <= 80
+
+
 def test_top_k_of_one_leaf_with_copies(spark):
     rows = [(0, [5.0, 5.0])] * 6 + [(i, [i / 10, 1.0]) for i in range(1, 20)]
     found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()

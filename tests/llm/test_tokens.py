@@ -56,6 +56,21 @@ def test_token_files(docs, pairs, tmp_path, block_ids):
     assert brute.order((r.doc_id, r.ids) for r in some) == brute.order((d, [*whole(WORD, texts[d]), 2]) for d in (3, 4, 5, 6, 6))
 
 
+def test_rows_of_one_id_are_encoded_in_several_tasks(spark, tmp_path):
+    rows = [(None, f"{i:03} word {i}") for i in range(400)] + [(7, f"{i:03} other") for i in range(400)] + [(8, "end")]
+    path = str(tmp_path / "tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # would join so few rows again
+    try:
+        token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, WORD)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = token_files.read(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in found] == [r[0] for r in rows]
+    assert [r.ids_crc32 for r in found] == [brute.crc([*whole(WORD, t), token_files.END_ID]) for _, t in rows]
+    for doc_id in (None, 7):
+        assert len({r.shard for r in found if r.doc_id == doc_id}) > 1
+
+
 def test_cut():
     assert packing.cut(5, 4).tolist() == [1, 4]
     assert packing.cut(8, 4).tolist() == [4, 4]
