@@ -1,25 +1,58 @@
-"""Deduplication of repeated byte strings by hashes of windows round winnowed anchors.
-
-Windows start in buckets of equal q-grams, taken at winnowed positions so that one in
-about seventy is enough; ``repeats`` drops buckets of one, settles equal spans, and splits
-the others by content hashes until ``WINDOW`` bytes are covered.  This takes the place of
-bucket-pointer refinement: no identifier of another offset is looked up.  Every byte
-within a window that starts anywhere else goes.
-Edge cases are those of ``repeats``.
+"""Deduplication of repeated byte strings by bucket-pointer refinement.
+
+``repeats`` finds the places worth sorting: initial buckets of equal q-grams at winnowed
+positions, buckets of one dropped, copies of a span taken once.  Within a bucket the
+positions of all spans are sorted as a suffix array is by bucket pointers: they start in
+buckets by their first eight bytes, and a round sorts the bucket identifiers of each
+position together with that of the position as far on as the bucket is deep.  So every
+round doubles the depth with the identifiers of the last, and no text is looked at again;
+positions that are alone in their bucket leave, and with them all that would point at them.
+At depth ``WINDOW`` a bucket holds equal strings.  Every byte within a string that starts
+anywhere else goes.  Edge cases are those of ``repeats``.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablehealth.llm import common, repeats
+from tablehealth.llm import common, repeats, scan
 
 WINDOW = 200
 GRAM = 64
-RULE = repeats.Rule("byte", WINDOW, GRAM, repeats.SEEN_ELSEWHERE)
+#: Bytes of the initial buckets.
+FIRST_DEPTH = 8
+
+
+def refine(pool: repeats.Pool, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(span, window within it) of the windows that start at two positions or more."""
+    data, offsets = pool.spans.data, pool.spans.offsets
+    n, depth = len(data), min(FIRST_DEPTH, window)
+    blocks = np.ndarray(n + 1, "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    at = np.flatnonzero(scan.whole_windows(offsets, depth, n))
+    _, bucket = np.unique(blocks[at] & np.uint64((1 << 8 * depth) - 1), return_inverse=True)
+    pointers = np.full(n + window, -1, np.int64)
+    while True:
+        several = np.bincount(bucket)[bucket] > 1 if len(bucket) else np.zeros(0, bool)
+        pointers[:] = -1
+        at = at[several]
+        pointers[at] = bucket[several]
+        if depth == window:
+            break
+        step = min(depth, window - depth)
+        whole = scan.whole_windows(offsets, depth + step, n)
+        at = at[at < len(whole)]
+        at = at[whole[at] & (pointers[at + step] >= 0)]
+        _, bucket = np.unique(pointers[at] * (n + 1) + pointers[at + step], return_inverse=True)
+        depth += step
+    owner = np.searchsorted(offsets, at, "right") - 1
+    return owner, at - offsets[owner]
+
+
+RULE = repeats.Rule("byte", WINDOW, GRAM, repeats.SEEN_ELSEWHERE, refine)
 
 
 def digest(docs: DataFrame, rule: repeats.Rule = RULE) -> DataFrame:
@@ -39,5 +72,5 @@ def digest(docs: DataFrame, rule: repeats.Rule = RULE) -> DataFrame:
                 out[c].append(v)
         yield out | {"doc_id": batch["doc_id"], "starts": batch["_starts"], "ends": batch["_ends"]}
 
-    joined = repeats.attach(docs.select(common.row_key().alias("_row_key"), F.col("doc_id").cast("long"), F.col("text").cast("string")), found)
-    return common.arrow_map(joined.drop("_row_key"), rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
+    joined = repeats.attach(docs.select(*common.row_id(), F.col("doc_id").cast("long"), F.col("text").cast("string")), found)
+    return common.arrow_map(joined.drop(*common.ROW), rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import shutil
 import sys
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A join side is broadcast up to this many bytes, by its counted rows; beyond, it is shuffled.
+#: A join side is broadcast, by its counted rows, up to the session's
+#: ``spark.sql.autoBroadcastJoinThreshold`` and never beyond this; else it is shuffled.
 BROADCAST_BYTES = 16 << 20
 
 
@@ -43,11 +46,33 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+_SCRATCH = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables staged within are deleted at the end, but for those staged with ``keep``."""
+    outer, _SCRATCH.paths = getattr(_SCRATCH, "paths", None), []
+    try:
+        yield
+    finally:
+        done, _SCRATCH.paths = _SCRATCH.paths, outer
+        for path in done:
+            drop(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if not keep and getattr(_SCRATCH, "paths", None) is not None:
+        _SCRATCH.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,23 +82,44 @@ def row_bytes(df: DataFrame) -> int:
     return 64 + sum(width.get(kind, 8 if "<" not in kind else 64) for _, kind in df.dtypes)
 
 
+def broadcast_limit(spark: SparkSession) -> int:
+    """Bytes up to which a side is broadcast: the session's own threshold, within ``BROADCAST_BYTES``."""
+    threshold = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return min(BROADCAST_BYTES, max(0, threshold))
+
+
 def small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Mark a staged frame for broadcast if its counted rows prove it small; else leave the join to shuffle."""
     return F.broadcast(df) if fits(df, limit) else df
 
 
 def fits(df: DataFrame, limit: int | None = None) -> bool:
-    return df.count() * row_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
+    return df.count() * row_bytes(df) <= (broadcast_limit(df.sparkSession) if limit is None else limit)
+
+
+#: In the place of a null doc_id: larger than any other.
+LAST_ID = (1 << 63) - 1
 
 
 def row_key() -> F.Column:
-    """Identity of a row by content: repeated rows share it, so they share every decision."""
+    """Hash of a row's id and text."""
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
+def row_id() -> list[F.Column]:
+    """Identity of a row by content, _doc and _key: repeated rows share it, so they share every decision.
+
+    The id beside the hash: only rows of one doc_id could ever be mistaken for each other.
+    """
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_doc"), row_key().alias("_key")]
+
+
+ROW = ["_doc", "_key"]
+
+
 def coded(docs: DataFrame) -> DataFrame:
-    """``docs`` with its columns named by position, so that none clashes, and ``_row_key``."""
-    return docs.select(row_key().alias("_row_key"), *[F.col(f"`{c}`").alias(f"_column_{i}") for i, c in enumerate(docs.columns)])
+    """``docs`` with its columns named by position, so that none clashes, and its ``row_id``."""
+    return docs.select(*row_id(), *[F.col(f"`{c}`").alias(f"_column_{i}") for i, c in enumerate(docs.columns)])
 
 
 def decoded(frame: DataFrame, docs: DataFrame) -> DataFrame:

@@ -161,7 +161,7 @@ def repeat(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     times = common.stage(each.where(F.col("_each") > 0).select("_key", F.expr("_each div _size").cast("int").alias("_times"), (F.col("_each") % F.col("_size")).alias("_rest")), "times")
     text, n_chars = (f"_column_{docs.columns.index(c)}" if c in docs.columns else None for c in ("text", "n_chars"))
     lengths = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("_times")), F.when(F.col("_rest") > 0, F.array("_rest")).otherwise(F.array().cast("array<long>")))
-    repeated = common.coded(docs).join(common.small(times), F.col("_row_key") == F.col("_key")).withColumn("_words", F.explode(lengths))
+    repeated = common.coded(docs).join(common.small(times), "_key").withColumn("_words", F.explode(lengths))
     cut = F.col("_words") >= 0
     words = F.regexp_extract_all(F.col(text).cast("string"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     repeated = repeated.withColumn(text, F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), "")).otherwise(F.col(text)))

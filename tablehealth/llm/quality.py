@@ -77,13 +77,12 @@ def measures(s: scan.Slice) -> dict[str, np.ndarray]:
     worded = np.searchsorted(words.start, stop) > np.searchsorted(words.start, start)
     start, stop = start[worded], stop[worded]
     owner = _owner(start, s.offsets)
-    rolling = scan.Rolling(s.codes())
-    earlier, _ = _again(rolling.ranges(start, stop), owner)
+    earlier, _ = _again(scan.string_hashes(s.data, start, stop), owner)
     out["n_dup_lines"] = np.bincount(owner[earlier], minlength=len(s))
 
     # words in windows that occur twice or more in their document
     whole = np.flatnonzero(scan.whole_windows(words.offsets, REPEAT_WORDS, len(words)))
-    windows = scan.Rolling(rolling.ranges(words.start, words.end)).windows(REPEAT_WORDS)[whole]
+    windows = scan.folded_windows(words.hashes(), REPEAT_WORDS)[whole]
     _, twice = _again(windows, _owner(whole, words.offsets))
     cover = np.zeros(len(words) + 1, np.int64)
     np.add.at(cover, whole[twice], 1)
@@ -93,15 +92,15 @@ def measures(s: scan.Slice) -> dict[str, np.ndarray]:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, source, _key and the counts, one row for each row of ``docs``."""
+    """doc_id, source, the row's identity and the counts, one row for each row of ``docs``."""
 
     def rows(batch):
         for s in scan.slices(batch["text"]):
             same = batch.slice(s.first, len(s))
-            yield {"doc_id": same["doc_id"], "source": same["source"], "_key": same["_key"]} | measures(s)
+            yield {"doc_id": same["doc_id"], "source": same["source"], "_doc": same["_doc"], "_key": same["_key"]} | measures(s)
 
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), common.row_key().alias("_key"), F.col("text").cast("string"))
-    return common.arrow_map(narrow, rows, f"doc_id long, source string, _key long, {MEASURES}").withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    narrow = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), *common.row_id(), F.col("text").cast("string"))
+    return common.arrow_map(narrow, rows, f"doc_id long, source string, _doc long, _key long, {MEASURES}").withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
 def host_rates(judged: DataFrame) -> DataFrame:
@@ -132,7 +131,7 @@ def beta_prior(n: int, failed: int, hosts: int, squares: float, second: float, w
 
 
 def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """Counts, base_failed and kept for each row of ``docs``, with its _key."""
+    """Counts, base_failed and kept for each row of ``docs``, with its identity."""
     judged = common.stage(measure(docs), "measures")
     bad = common.stage(host_rates(judged).where(F.col("shrunk_rate") > host_limit).select(F.col("source").alias("_bad")), "bad-hosts")
     return judged.join(common.small(bad), F.col("source") == F.col("_bad"), "left").withColumn("kept", ~F.col("base_failed") & F.col("_bad").isNull()).drop("_bad")
@@ -140,5 +139,5 @@ def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
 
 def keep(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns of ``docs``."""
-    out = common.stage(judge(docs, host_limit).where(~F.col("kept")).select("_key").distinct(), "rejected")
-    return common.decoded(common.coded(docs).join(common.small(out), F.col("_row_key") == F.col("_key"), "left_anti"), docs)
+    out = common.stage(judge(docs, host_limit).where(~F.col("kept")).select(*common.ROW).distinct(), "rejected")
+    return common.decoded(common.coded(docs).join(common.small(out), common.ROW, "left_anti"), docs)

@@ -5,12 +5,13 @@ windows share the anchor that winnowing picks in them: the smallest ``gram``-uni
 Runs of windows with one anchor form a block, and the work proceeds by buckets:
 
 1. Blocks are counted by anchor.  A bucket of one is dropped: nothing in it repeats.
-2. Buckets are refined by the hash of the block's whole span.  Equal spans settle all
-   their windows at once, so a passage copied a million times costs one row per block.
-3. Where one anchor stands in different spans, one representative of each span is cut
-   out of its text and its windows are compared: in tasks that hold whole buckets, or,
-   for an anchor with more than ``BUCKET_SPANS`` different spans, as rows grouped by
-   window hash.  Both give the same verdicts; no bucket is bounded by dropping.
+2. Blocks with the same span (all units of their windows) form one class, and equal spans
+   settle all their windows at once: a passage copied a million times costs one row per block.
+3. Where one anchor stands in different spans, one representative of each class is cut out
+   of its text and the bucket is resolved by the operator's own method (``Rule.resolve``).
+   A bucket of more than ``BUCKET_BYTES`` is split first: windows at like distances from
+   the anchor go together, in buckets by the text that all windows at these distances
+   hold.  What is still too large is compared window by window, as rows grouped by content.
    Where the document of a representative holds its span again, the verdicts hold there too.
 
 A rule decides which windows of equal content go.  ``SEEN_ELSEWHERE``: content that
@@ -18,14 +19,16 @@ starts at two positions or more, everywhere it stands.  ``SEEN_EARLIER``: conten
 document with a smaller doc_id holds.
 
 All grouping is by partial aggregates or size-checked joins, so hot passages do not
-gather in one task.  Equality is by 128-bit hashes.  Null texts are empty, texts shorter
-than a window keep everything, a null doc_id counts as larger than any other, repeated
-rows are separate places of one doc_id, an empty table gives no cuts; columns other than
-doc_id and text are not read.
+gather in one task, and no task holds more of a bucket than its bound.  Classes and split
+buckets are equal by 128-bit hashes.  Null texts are empty, texts shorter than a window
+keep everything, a null doc_id counts as larger than any other, repeated rows are
+separate places of one doc_id, an empty table gives no cuts; columns other than doc_id and
+text are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,104 +39,89 @@ from pyspark.sql import functions as F
 from tablehealth.llm import common, scan
 
 SEEN_ELSEWHERE, SEEN_EARLIER = "elsewhere", "earlier"
-BUCKET_SPANS = 2048
-_LAST = (1 << 63) - 1
+#: Text of different spans with one anchor that a task holds at most.
+BUCKET_BYTES = 1 << 17
+#: Text that is resolved at a time, in whole buckets.
+POOL_BYTES = 1 << 18
+#: Windows of a span that go together when a bucket is split.
+STEP = 16
+
+
+@dataclass(frozen=True)
+class Pool:
+    """Spans of whole buckets: their text, bucket number, anchor (a unit of the span) and doc_id."""
+
+    spans: scan.Slice
+    bucket: np.ndarray
+    anchor: np.ndarray
+    doc: np.ndarray
 
 
 @dataclass(frozen=True)
 class Rule:
-    """What a window is, how anchors are picked and which repeats count."""
+    """What a window is, how anchors are picked, which repeats count and how a bucket is resolved."""
 
     unit: str  # "byte" or "word"
     window: int
     gram: int
     seen: str
+    resolve: Callable[[Pool, int], tuple[np.ndarray, np.ndarray]]  # (span, window within it) of repeating windows
 
-    def sequences(self, s: scan.Slice) -> tuple[scan.Rolling, scan.Rolling, np.ndarray]:
-        """Two independent range hashes over the units, and each document's unit offsets."""
+    def units(self, s: scan.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The units as items to hash, as codes to pick anchors by, and each document's unit offsets."""
         if self.unit == "byte":
-            return scan.Rolling(s.codes(0), 0), scan.Rolling(s.codes(1), 1), s.offsets
+            return s.data, s.codes(), s.offsets
         w = s.words()
-        return scan.Rolling(w.hashes(0), 0), scan.Rolling(w.hashes(1), 1), w.offsets
+        first = w.hashes(0)
+        return np.stack([first, w.hashes(1)], axis=1), first, w.offsets
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), common.row_key().alias("_key"), F.col("text").cast("string"))
+    return docs.select(*common.row_id(), F.col("text").cast("string"))
+
+
+BLOCKS = "anchor long, h0 long, h1 long, _doc long, _key long, at long, n int, mid int, bytes int"
 
 
 def blocks(docs: DataFrame, rule: Rule) -> DataFrame:
-    """anchor, h0, h1, doc_id, _key, at, n: each run of n windows from unit ``at`` on with one anchor."""
+    """Each run of n windows from unit ``at`` on with one anchor, ``mid`` units further on: its span's hash and bytes."""
 
     def rows(batch):
         for s in scan.slices(batch["text"]):
-            first, second, offsets = rule.sequences(s)
-            n = len(first.sums) - 1
-            grams = first.windows(rule.gram)
+            words = s.words() if rule.unit == "word" else None
+            items, codes, offsets = rule.units(s)
+            grams = scan.Rolling(codes).windows(rule.gram)
             anchor = scan.winnow(grams, rule.window - rule.gram + 1)
-            starts = np.flatnonzero(scan.whole_windows(offsets, rule.window, n))
+            starts = np.flatnonzero(scan.whole_windows(offsets, rule.window, len(codes)))
             if not len(starts):
                 continue
             own = anchor[starts]
             opens = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)))
             begin, last = starts[opens], starts[np.append(opens[1:], len(starts)) - 1]
+            end = last + rule.window
             owner = np.searchsorted(offsets, begin, "right") - 1
             take = pa.array(owner + s.first)
+            h0, h1 = scan.digests(items, begin, end)
             yield {
                 "anchor": grams[own[opens]],
-                "h0": first.ranges(begin, last + rule.window),
-                "h1": second.ranges(begin, last + rule.window),
-                "doc_id": batch["doc_id"].take(take),
+                "h0": h0,
+                "h1": h1,
+                "_doc": batch["_doc"].take(take),
                 "_key": batch["_key"].take(take),
                 "at": begin - offsets[owner],
                 "n": (last - begin + 1).astype(np.int32),
+                "mid": (own[opens] - begin).astype(np.int32),
+                "bytes": ((words.end[end - 1] - words.start[begin]) if words else end - begin).astype(np.int32),
             }
 
-    return common.arrow_map(keyed(docs), rows, "anchor long, h0 long, h1 long, doc_id long, _key long, at long, n int")
+    return common.arrow_map(keyed(docs), rows, BLOCKS)
 
 
 def _repeated(grouped, rule: Rule) -> DataFrame:
     """Groups of blocks in which some window may repeat under the rule."""
     if rule.seen == SEEN_ELSEWHERE:
         return grouped.agg(F.count(F.lit(1)).alias("_many")).where(F.col("_many") > 1)
-    return grouped.agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).where(F.col("_low") < F.col("_high"))
-
-
-def _hit(h0: np.ndarray, h1: np.ndarray, weight: np.ndarray, doc: np.ndarray, rule: Rule, last: bool = True) -> np.ndarray:
-    """Which of some windows repeat among them, by their two hashes; before the last round, which may."""
-    order = np.lexsort((h1, h0))
-    a, b = h0[order], h1[order]
-    opens = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    sizes = np.diff(np.append(opens, len(order)))
-    out = np.zeros(len(order), bool)
-    if rule.seen == SEEN_ELSEWHERE:
-        out[order] = np.repeat(np.add.reduceat(weight[order], opens) > 1, sizes)
-    else:
-        low = np.minimum.reduceat(doc[order], opens)
-        high = doc[order] if last else np.repeat(np.maximum.reduceat(doc[order], opens), sizes)
-        out[order] = np.repeat(low, sizes) < high
-    return out
-
-
-def _refine(s: scan.Slice, rule: Rule, weight: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Repeating windows of the spans in a slice: (span, window within the span).
-
-    Windows start in the buckets of their first quarter.  A bucket is split by the hash of
-    the window's own text one depth further on, and windows that are alone leave after each
-    round.
-    """
-    first, second, offsets = rule.sequences(s)
-    starts = np.flatnonzero(scan.whole_windows(offsets, rule.window, len(first.sums) - 1))
-    owner = np.searchsorted(offsets, starts, "right") - 1
-    depths = [rule.window // 4, rule.window // 2, rule.window]
-    ids = [r.ranges(starts, starts + depths[0]) for r in (first, second)]
-    for shallow, depth in zip(depths, [*depths[1:], None]):
-        if len(starts):
-            hit = _hit(*ids, weight[owner], doc[owner], rule, depth is None)
-            starts, owner, ids = starts[hit], owner[hit], [x[hit] for x in ids]
-        if depth and len(starts):
-            later = [r.ranges(starts + shallow, starts + depth) for r in (first, second)]
-            ids = [scan.mix(x * np.uint64(0x9E3779B97F4A7C15) + y) for x, y in zip(ids, later, strict=True)]
-    return owner, starts - offsets[owner]
+    return grouped.agg(F.min("_doc").alias("_low"), F.max("_doc").alias("_high")).where(F.col("_low") < F.col("_high"))
 
 
 def _runs(owner: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,33 +133,43 @@ def _runs(owner: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def cuts(docs: DataFrame, rule: Rule) -> DataFrame:
-    """_key, starts, ends: for each row with repeats, its maximal runs of units to remove (staged)."""
+    """_doc, _key, starts, ends: for each row with repeats, its maximal runs of units to remove (staged)."""
+    with common.scratch(docs.sparkSession):
+        return common.stage(_cuts(docs, rule), "cuts", keep=True)
+
+
+def _cuts(docs: DataFrame, rule: Rule) -> DataFrame:
     every = blocks(docs, rule)
     anchors = common.stage(_repeated(every.groupBy("anchor"), rule).select("anchor"), "anchors")
     held = common.stage(every.join(common.small(anchors), "anchor", "left_semi"), "blocks")
 
     spans = held.groupBy("anchor", "h0", "h1").agg(
-        F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "_key", "at", "n")).alias("first"), F.max("doc_id").alias("_high")
+        F.count(F.lit(1)).alias("weight"), F.min(F.struct("_doc", "_key", "at", "n", "mid", "bytes")).alias("first"), F.max("_doc").alias("_high")
     )
     spans = common.stage(spans.select("anchor", "h0", "h1", "weight", "first.*", "_high"), "spans")
 
     # whole spans that repeat settle their blocks
     if rule.seen == SEEN_ELSEWHERE:
-        again = spans.where(F.col("weight") > 1).select("h0", "h1", F.lit(-1).cast("long").alias("_doc"))
+        again = spans.where(F.col("weight") > 1).select("h0", "h1", F.lit(-1).cast("long").alias("_least"))
     else:
-        again = spans.where(F.col("doc_id") < F.col("_high")).select("h0", "h1", F.col("doc_id").alias("_doc"))
+        again = spans.where(F.col("_doc") < F.col("_high")).select("h0", "h1", F.col("_doc").alias("_least"))
     again = common.stage(again, "settled-spans")
-    settled = held.join(common.small(again), ["h0", "h1"]).where(F.col("doc_id") > F.col("_doc")).select("_key", F.col("at").alias("start"), (F.col("at") + F.col("n") + (rule.window - 1)).alias("end"))
+    settled = held.join(common.small(again), ["h0", "h1"]).where(F.col("_doc") > F.col("_least")).select(*common.ROW, F.col("at").alias("start"), (F.col("at") + F.col("n") + (rule.window - 1)).alias("end"))
 
     # anchors in different spans: one representative of each
-    mixed = common.stage(spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("_spans")).where(F.col("_spans") > 1), "mixed-anchors")
-    reps = spans.join(common.small(mixed), "anchor").withColumn("hot", F.col("_spans") > BUCKET_SPANS)
+    mixed = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("_spans"), F.sum("bytes").alias("_bytes")).where(F.col("_spans") > 1)
+    mixed = common.stage(mixed.select("anchor", (F.col("_bytes") > BUCKET_BYTES).alias("hot")), "mixed-anchors")
+    reps = spans.join(common.small(mixed), "anchor")
     cut = common.stage(_cut_out(docs, reps, rule), "representatives")
-    found = _within_tasks(cut.where(~F.col("hot")), rule).unionByName(_by_rows(cut.where(F.col("hot")), rule))
+    split = cut.where("hot").groupBy("b0", "b1").agg(F.count(F.lit(1)).alias("_spans"), F.sum(F.octet_length("span")).alias("_bytes")).where(F.col("_spans") > 1)
+    split = common.small(common.stage(split, "split-buckets"))
+    hot = cut.where("hot").join(split, ["b0", "b1"])
+    bounded = cut.where(~F.col("hot")).unionByName(hot.where(F.col("_bytes") <= BUCKET_BYTES).drop("_spans", "_bytes"))
+    found = _within_tasks(bounded, rule).unionByName(_by_rows(hot.where(F.col("_bytes") > BUCKET_BYTES), rule))
     if rule.seen == SEEN_EARLIER:
         found = common.stage(found, "runs")
         found = found.unionByName(_at_other_places(found, held, reps))
-    return common.stage(_merge(settled.unionByName(found.drop("at"))), "cuts")
+    return _merge(settled.unionByName(found.drop("at")))
 
 
 def _at_other_places(found: DataFrame, held: DataFrame, reps: DataFrame) -> DataFrame:
@@ -180,92 +178,122 @@ def _at_other_places(found: DataFrame, held: DataFrame, reps: DataFrame) -> Data
     Elsewhere a span that stands twice goes as a whole; here the first document that holds
     it keeps it, and may hold it several times.
     """
-    many = common.stage(reps.where(F.col("weight") > 1).select("anchor", "h0", "h1", F.col("doc_id").alias("_doc"), F.col("_key").alias("_rep"), F.col("at").alias("_at")), "repeated-spans")
-    twins = held.join(common.small(many), ["anchor", "h0", "h1"]).where((F.col("doc_id") == F.col("_doc")) & ((F.col("_key") != F.col("_rep")) | (F.col("at") != F.col("_at"))))
-    twins = common.stage(twins.select("_rep", "_at", F.col("_key").alias("_twin"), (F.col("at") - F.col("_at")).alias("_shift")), "other-places")
-    moved = found.join(common.small(twins), (F.col("_key") == F.col("_rep")) & (F.col("at") == F.col("_at")))
-    return moved.select(F.col("_twin").alias("_key"), (F.col("at") + F.col("_shift")).alias("at"), (F.col("start") + F.col("_shift")).alias("start"), (F.col("end") + F.col("_shift")).alias("end"))
+    many = common.stage(reps.where(F.col("weight") > 1).select("anchor", "h0", "h1", "_doc", F.col("_key").alias("_rep"), F.col("at").alias("_at")), "repeated-spans")
+    twins = held.join(common.small(many), ["anchor", "h0", "h1", "_doc"]).where((F.col("_key") != F.col("_rep")) | (F.col("at") != F.col("_at")))
+    twins = common.stage(twins.select("_doc", F.col("_rep").alias("_key"), F.col("_at").alias("at"), F.col("_key").alias("_twin"), (F.col("at") - F.col("_at")).alias("_shift")), "other-places")
+    moved = found.join(common.small(twins), [*common.ROW, "at"])
+    return moved.select("_doc", F.col("_twin").alias("_key"), *[(F.col(c) + F.col("_shift")).alias(c) for c in ("at", "start", "end")])
+
+
+CUT = "b0 long, b1 long, at long, skip int, mid int, weight long, hot boolean, _doc long, _key long, span binary"
 
 
 def _cut_out(docs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
-    """The bytes of each representative span, with its bucket, weight, doc_id and place."""
-    wanted = common.stage(reps.groupBy("_key").agg(F.collect_list(F.struct("at", "n", "anchor", "weight", "hot")).alias("spans")), "wanted")
-    texts = keyed(docs).join(common.small(wanted.select("_key")), "_key", "left_semi").dropDuplicates(["_key"])
+    """The text of each representative span, with its bucket, weight and place.
+
+    Spans of hot buckets come in parts of up to ``STEP`` windows, at fixed distances from
+    the anchor, in buckets by what all windows at these distances hold.
+    """
+    wanted = common.stage(reps.groupBy(*common.ROW).agg(F.collect_list(F.struct("at", "n", "mid", "anchor", "weight", "hot")).alias("spans")), "wanted")
+    texts = keyed(docs).join(common.small(wanted.select(*common.ROW)), common.ROW, "left_semi").dropDuplicates(common.ROW)
+
+    def parts(own: dict, items: np.ndarray):
+        """(b0, b1, skip, mid, windows) of each part of a span."""
+        if not own["hot"]:
+            yield own["anchor"], 0, 0, own["mid"], own["n"]
+            return
+        top = own["mid"] // STEP  # windows that start mid, mid - 1, ... units before the anchor
+        for group in range((own["mid"] - own["n"] + 1) // STEP, top + 1):
+            far, near = min(own["mid"], group * STEP + STEP - 1), max(own["mid"] - own["n"] + 1, group * STEP)
+            core = own["at"] + own["mid"] - group * STEP
+            h0, h1 = scan.digests(items, np.array([core]), np.array([core - STEP + 1 + rule.window]))
+            b0 = h0 ^ scan.mix(np.array([own["anchor"] + group]).astype(np.int64).view(np.uint64))
+            yield int(b0.view(np.int64)[0]), int(h1.view(np.int64)[0]), own["mid"] - far, far, far - near + 1
 
     def rows(batch):
         for i in range(batch.num_rows):
             s = next(scan.slices(batch["text"].slice(i, 1)))
             own = batch["spans"][i].as_py()
-            at, to = np.array([x["at"] for x in own]), np.array([x["at"] + x["n"] + rule.window - 1 for x in own])
+            items = rule.units(s)[0] if any(x["hot"] for x in own) else None
+            cut = [(x, *p) for x in own for p in parts(x, items)]
+            begin = np.array([x["at"] + skip for x, _, _, skip, _, _ in cut])
+            to = begin + np.array([n for *_, n in cut]) + (rule.window - 1)
             if rule.unit == "word":
                 w = s.words()
-                at, to = w.start[at], w.end[to - 1]
+                begin, to = w.start[begin], w.end[to - 1]
             raw = s.data.tobytes()
-            yield {c: [x[c] for x in own] for c in ("anchor", "at", "weight", "hot")} | {
-                "_key": np.full(len(own), batch["_key"][i].as_py()),
-                "doc_id": np.full(len(own), batch["doc_id"][i].as_py()),
-                "span": [raw[a:b] for a, b in zip(at.tolist(), to.tolist(), strict=True)],
+            yield {c: [x[c] for x, *_ in cut] for c in ("at", "weight", "hot")} | {c: [x[k] for x in cut] for k, c in ((1, "b0"), (2, "b1"), (3, "skip"), (4, "mid"))} | {
+                "_doc": np.full(len(cut), batch["_doc"][i].as_py()),
+                "_key": np.full(len(cut), batch["_key"][i].as_py()),
+                "span": [raw[a:b] for a, b in zip(begin.tolist(), to.tolist(), strict=True)],
             }
 
-    return common.arrow_map(texts.join(wanted, "_key"), rows, "anchor long, at long, weight long, hot boolean, _key long, doc_id long, span binary")
+    return common.arrow_map(texts.join(wanted, common.ROW), rows, CUT)
 
 
 def _within_tasks(cut: DataFrame, rule: Rule) -> DataFrame:
-    """Compare the windows of whole buckets, as many buckets at a time as fill a slice."""
+    """Resolve whole buckets, as many at a time as fill a pool."""
 
     def resolve(table: pa.Table):
-        span = table["span"].combine_chunks()
-        data, offsets = scan.buffers(span)
-        owner, at = _refine(scan.Slice(data, offsets), rule, table["weight"].to_numpy(), table["doc_id"].to_numpy())
-        owner, start, end = _runs(owner, at, rule.window)
+        data, offsets = scan.buffers(table["span"])
+        b0, b1 = table["b0"].to_numpy(), table["b1"].to_numpy()
+        bucket = np.cumsum(np.append(0, (b0[1:] != b0[:-1]) | (b1[1:] != b1[:-1])))
+        owner, at = rule.resolve(Pool(scan.Slice(data, offsets), bucket, table["mid"].to_numpy(), table["_doc"].to_numpy()), rule.window)
+        order = np.lexsort((at, owner))
+        owner, start, end = _runs(owner[order], at[order], rule.window)
         base = table["at"].to_numpy()[owner]
-        return pa.RecordBatch.from_arrays([pa.array(table["_key"].to_numpy()[owner]), pa.array(base), pa.array(base + start), pa.array(base + end)], names=["_key", "at", "start", "end"])
+        place = base + table["skip"].to_numpy()[owner]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (table["_doc"].to_numpy()[owner], table["_key"].to_numpy()[owner], base, place + start, place + end)], names=["_doc", "_key", "at", "start", "end"])
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            anchor = table["anchor"].to_numpy()
-            begin = 0
-            for to in [*(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(anchor)]:
-                if held and size > 4 * scan.SLICE_BYTES and anchor[begin] != held[-1]["anchor"][-1].as_py():
-                    yield resolve(pa.concat_tables(held))
-                    held, size = [], 0
-                held.append(table.slice(begin, to - begin))
-                size += held[-1]["span"].nbytes if to - begin > 64 else 300 * (to - begin)
-                begin = to
-        if held:
-            yield resolve(pa.concat_tables(held))
-
+        try:
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                b0, b1 = table["b0"].to_numpy(), table["b1"].to_numpy()
+                begin = 0
+                for to in [*(np.flatnonzero((b0[1:] != b0[:-1]) | (b1[1:] != b1[:-1])) + 1).tolist(), len(b0)]:
+                    if held and size > POOL_BYTES and (b0[begin], b1[begin]) != (held[-1]["b0"][-1].as_py(), held[-1]["b1"][-1].as_py()):
+                        yield resolve(pa.concat_tables(held))
+                        held, size = [], 0
+                    held.append(table.slice(begin, to - begin))
+                    size += scan.byte_count(held[-1]["span"])
+                    begin = to
+            if held:
+                yield resolve(pa.concat_tables(held))
+        finally:
+            common.give_back()
+
+    ordered = cut.select("b0", "b1", "at", "skip", "mid", *common.ROW, "span").repartition("b0", "b1").sortWithinPartitions("b0", "b1")
     common.short_batches(cut.sparkSession)
-    ordered = cut.select("anchor", "at", "weight", "_key", "doc_id", "span").repartition("anchor").sortWithinPartitions("anchor")
-    return ordered.mapInArrow(run, "_key long, at long, start long, end long")
+    return ordered.mapInArrow(run, "_doc long, _key long, at long, start long, end long")
 
 
 def _by_rows(cut: DataFrame, rule: Rule) -> DataFrame:
-    """The same for anchors with very many spans: one row per window, grouped by its hash."""
+    """The same for buckets that stay large: one row per window, grouped by its content."""
 
     def rows(batch):
         for s in scan.slices(batch["span"]):
-            first, second, offsets = rule.sequences(s)
-            starts = np.flatnonzero(scan.whole_windows(offsets, rule.window, len(first.sums) - 1))
+            items, _, offsets = rule.units(s)
+            starts = np.flatnonzero(scan.whole_windows(offsets, rule.window, len(items)))
             owner = np.searchsorted(offsets, starts, "right") - 1
             own = batch.slice(s.first, len(s)).take(pa.array(owner))
-            yield {"w0": first.ranges(starts, starts + rule.window), "w1": second.ranges(starts, starts + rule.window), "weight": own["weight"], "doc_id": own["doc_id"], "_key": own["_key"], "at": own["at"], "start": own["at"].to_numpy() + starts - offsets[owner]}
+            w0, w1 = scan.digests(items, starts, starts + rule.window)
+            yield {"w0": w0, "w1": w1, "start": own["at"].to_numpy() + own["skip"].to_numpy() + starts - offsets[owner]} | {c: own[c] for c in ("weight", "_doc", "_key", "at")}
 
-    windows = common.arrow_map(cut.select("weight", "doc_id", "_key", "at", "span"), rows, "w0 long, w1 long, weight long, doc_id long, _key long, at long, start long")
+    windows = common.arrow_map(cut.select("weight", *common.ROW, "at", "skip", "span"), rows, "w0 long, w1 long, weight long, _doc long, _key long, at long, start long")
     windows = common.stage(windows, "windows")
-    groups = windows.groupBy("w0", "w1").agg(F.sum("weight").alias("_weight"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
+    groups = windows.groupBy("w0", "w1").agg(F.sum("weight").alias("_weight"), F.min("_doc").alias("_low"), F.max("_doc").alias("_high"))
     if rule.seen == SEEN_ELSEWHERE:
-        groups = groups.where(F.col("_weight") > 1).select("w0", "w1", F.lit(-1).cast("long").alias("_doc"))
+        groups = groups.where(F.col("_weight") > 1).select("w0", "w1", F.lit(-1).cast("long").alias("_least"))
     else:
-        groups = groups.where(F.col("_low") < F.col("_high")).select("w0", "w1", F.col("_low").alias("_doc"))
+        groups = groups.where(F.col("_low") < F.col("_high")).select("w0", "w1", F.col("_low").alias("_least"))
     groups = common.small(common.stage(groups, "window-groups"))
-    return windows.join(groups, ["w0", "w1"]).where(F.col("doc_id") > F.col("_doc")).select("_key", "at", "start", (F.col("start") + rule.window).alias("end"))
+    return windows.join(groups, ["w0", "w1"]).where(F.col("_doc") > F.col("_least")).select(*common.ROW, "at", "start", (F.col("start") + rule.window).alias("end"))
 
 
 def _merge(found: DataFrame) -> DataFrame:
-    """Union of the runs of each key; a key's runs are bounded by its own text."""
+    """Union of the runs of each row; a row's runs are bounded by its own text."""
 
     def rows(batch):
         starts, ends = [], []
@@ -279,15 +307,15 @@ def _merge(found: DataFrame) -> DataFrame:
                     b.append(run[1])
             starts.append(a)
             ends.append(b)
-        yield {"_key": batch["_key"], "starts": starts, "ends": ends}
+        yield {"_doc": batch["_doc"], "_key": batch["_key"], "starts": starts, "ends": ends}
 
-    grouped = found.groupBy("_key").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
-    return common.arrow_map(grouped, rows, "_key long, starts array<long>, ends array<long>")
+    grouped = found.groupBy(*common.ROW).agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    return common.arrow_map(grouped, rows, "_doc long, _key long, starts array<long>, ends array<long>")
 
 
-def attach(keyed_docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows with ``_row_key`` and their cuts beside them: _starts and _ends (null: none)."""
+def attach(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with their ``row_id`` and their cuts beside them: _starts and _ends (null: none)."""
     runs, n = found.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0)), F.count(F.lit(1))).first()
-    found = found.select("_key", F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
-    found = F.broadcast(found) if runs * 16 + n * common.row_bytes(found) <= common.BROADCAST_BYTES else found
-    return keyed_docs.join(found, F.col("_row_key") == F.col("_key"), "left").drop("_key")
+    found = found.select(*common.ROW, F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
+    found = F.broadcast(found) if runs * 16 + n * common.row_bytes(found) <= common.broadcast_limit(docs.sparkSession) else found
+    return docs.join(found, common.ROW, "left")

@@ -1,10 +1,13 @@
 """Vectorised text scanning over Arrow string buffers.
 
 Everything here works on one slice of documents at a time: the UTF-8 bytes of all
-its texts in one array plus the offset at which each document begins.  Hashes are
-polynomial in 64-bit arithmetic over random byte codes and depend on content only,
-so equal strings get equal hashes in every task.  Where a decision rests on a hash,
-callers take two independent ones (128 bits together).
+its texts in one array plus the offset at which each document begins.  Hashes depend on
+content only, so equal strings get equal hashes in every task.
+
+Words, lines, shingles and spans, whose equality decides something, are hashed by chains of
+multiplications and shifts or by xxh3; where 64 bits may not do, callers take 128.
+``Rolling`` is polynomial modulo 2**64, under which some different strings always collide;
+it picks places to look at and never decides that two texts are equal.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 18
 
@@ -22,9 +26,13 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, (2, 256), np.int64).astype(np.uint64)
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_MASK = (1 << 64) - 1
+_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, np.int64).astype(np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_FOLDS = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407))
+#: Words of more bytes are hashed one by one.
+_BLOCK_BYTES = 64
+#: The low n bytes of a 64-bit block, for n up to 8.
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class _Powers:
@@ -41,7 +49,7 @@ class _Powers:
             self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, m, 1 << 64))])
 
 
-_POWERS = tuple(_Powers(b) for b in _BASES)
+_POWERS = _Powers(_BASE)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -54,18 +62,60 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def fold(h: np.ndarray, codes: np.ndarray, which: int = 0) -> np.ndarray:
+    """A chain of hashes taken one code further."""
+    h = (h ^ codes) * _FOLDS[which]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def folded_windows(codes: np.ndarray, k: int, which: int = 0) -> np.ndarray:
+    """Hash of every run of k codes, by its first index, for small k."""
+    n = max(0, len(codes) - k + 1)
+    h = np.full(n, k, np.uint64)
+    for i in range(k):
+        h = fold(h, codes[i : i + n], which)
+    return h
+
+
+def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hash of each byte string [start, end), eight bytes at a time for all strings at once."""
+    blocks = np.ndarray(len(data) + 1, "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    length = end - start
+    h = fold(mix(length.astype(np.uint64)), blocks[start] & _LOW_BYTES[np.minimum(length, 8)], which)
+    left = np.flatnonzero((length > 8) & (length <= _BLOCK_BYTES))
+    at = start[left] + 8
+    while len(left):
+        h[left] = fold(h[left], blocks[at] & _LOW_BYTES[np.minimum(end[left] - at, 8)], which)
+        at += 8
+        more = at < end[left]
+        left, at = left[more], at[more]
+    raw = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(length > _BLOCK_BYTES).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]], which)
+    return h
+
+
+def digests(items: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hash of each range [start, end) of ``items`` (fixed-width rows), as two columns."""
+    raw = memoryview(np.ascontiguousarray(items)).cast("B")
+    width = items.dtype.itemsize * int(np.prod(items.shape[1:], initial=1))
+    out = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip((start * width).tolist(), (end * width).tolist(), strict=True)])
+    both = np.frombuffer(out, np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 class Rolling:
-    """Hash of any range [start, end) of a sequence of 64-bit codes in O(1)."""
+    """Hash of any run of k of a sequence of 64-bit codes: a quick pick of places, no proof of equality."""
 
-    def __init__(self, codes: np.ndarray, which: int = 0):
-        self.powers = _POWERS[which]
+    def __init__(self, codes: np.ndarray):
+        self.powers = _POWERS
         self.powers.to(len(codes))
         self.sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(codes * self.powers.up[: len(codes)], out=self.sums[1:])
 
-    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.powers.down[start] + (end - start).astype(np.uint64))
-
     def windows(self, k: int) -> np.ndarray:
         """Hash of every run of k codes, by its first index."""
         n = len(self.sums) - k
@@ -86,8 +136,8 @@ class Slice:
     def lower(self) -> Slice:
         return Slice(_LOWER[self.data], self.offsets, self.first)
 
-    def codes(self, which: int = 0) -> np.ndarray:
-        return _CODES[which][self.data]
+    def codes(self) -> np.ndarray:
+        return _CODES[self.data]
 
     def words(self, separators: np.ndarray = _SPACE) -> Words:
         return Words(self, separators)
@@ -117,7 +167,7 @@ class Words:
         return np.diff(self.offsets)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return Rolling(self.slice.codes(which), which).ranges(self.start, self.end)
+        return string_hashes(self.slice.data, self.start, self.end, which)
 
 
 def whole_windows(offsets: np.ndarray, k: int, total: int) -> np.ndarray:
@@ -175,6 +225,11 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def byte_count(column: pa.ChunkedArray) -> int:
+    """Bytes of text in a string or binary column, those of its slice alone."""
+    return sum(int(offsets[-1]) for offsets in (buffers(c)[1] for c in column.chunks))
+
+
 def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Slice]:
     """The column's documents in slices of about ``size`` bytes; a longer document is a slice of its own."""
     data, offsets = buffers(column)
@@ -190,7 +245,3 @@ def binary(parts: np.ndarray, offsets: np.ndarray) -> pa.Array:
     width = parts.dtype.itemsize
     at = offsets.astype(np.int64) * width
     return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(np.ascontiguousarray(parts).tobytes())])
-
-
-def signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)

@@ -44,8 +44,9 @@ def test_byte_dedup(docs, pairs):
     assert rows(byte_dedup.digest(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.order(brute.byte_repeats(pairs))
 
 
-def test_byte_dedup_where_every_bucket_is_compared_by_rows(docs, pairs, monkeypatch):
-    monkeypatch.setattr(repeats, "BUCKET_SPANS", 0)
+@pytest.mark.parametrize("bucket_bytes", [0, 600])
+def test_byte_dedup_where_buckets_are_split_or_compared_by_rows(docs, pairs, monkeypatch, bucket_bytes):
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", bucket_bytes)
     assert rows(byte_dedup.digest(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.order(brute.byte_repeats(pairs))
 
 
@@ -53,18 +54,19 @@ def test_substring_dedup(docs, pairs):
     assert rows(substring_dedup.digest(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.order(brute.word_repeats(pairs))
 
 
-def test_substring_dedup_by_rows_and_by_shuffle(docs, pairs, monkeypatch):
+@pytest.mark.parametrize("bucket_bytes", [0, 900])
+def test_substring_dedup_by_parts_and_by_shuffle(docs, pairs, monkeypatch, bucket_bytes):
     from tablehealth.llm import common
 
-    monkeypatch.setattr(repeats, "BUCKET_SPANS", 0)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", bucket_bytes)
     monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     assert rows(substring_dedup.digest(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.order(brute.word_repeats(pairs))
 
 
-@pytest.mark.parametrize("bucket_spans", [0, repeats.BUCKET_SPANS])
-def test_a_document_that_holds_a_passage_twice_loses_both(spark, monkeypatch, bucket_spans):
+@pytest.mark.parametrize("bucket_bytes", [0, 1500, repeats.BUCKET_BYTES])
+def test_a_document_that_holds_a_passage_twice_loses_both(spark, monkeypatch, bucket_bytes):
     """The passage stands in one setting in document 1, and twice in another one in document 2."""
-    monkeypatch.setattr(repeats, "BUCKET_SPANS", bucket_spans)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", bucket_bytes)
     rng = random.Random(2)
     pairs = []
     for i in range(0, 60, 3):
@@ -121,6 +123,56 @@ def test_pipeline_filters_on_empty_tables(nothing):
         assert out.columns == nothing.columns and out.count() == 0
 
 
+def thue_morse(n):
+    return [bin(i).count("1") & 1 for i in range(n)]
+
+
+def test_texts_on_which_polynomials_modulo_a_power_of_two_collide(spark):
+    """A 0/1 Thue-Morse sequence and its complement: as words, as lines, as words of a text and as runs of bytes."""
+    bits = thue_morse(2048)
+    one, other = "".join("01"[b] for b in bits), "".join("10"[b] for b in bits)
+    sequence, flipped = " ".join("01"[b] for b in bits), " ".join("10"[b] for b in bits)
+    pairs = [(1, one), (2, other), (3, f"a {one} b\n{one} {other}\n{other} {one}\n{one} {other}"), (4, sequence), (5, flipped), (6, f"a b c d {one}"), (7, f"a b c d {other}")]
+    docs = spark.createDataFrame([(d, t, "s") for d, t in pairs], "doc_id long, text string, source string")
+    assert rows(jaccard.join(docs), "doc_id", "n_shingles", "component_id") == brute.order(brute.jaccard(pairs))
+    assert rows(byte_dedup.digest(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.order(brute.byte_repeats(pairs))
+    assert rows(substring_dedup.digest(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.order(brute.word_repeats(pairs))
+    found = rows(quality.judge(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert found == brute.order((d, *brute.quality(t)) for d, t in pairs)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("abc", max_size=40), min_size=1, max_size=6), st.integers(1, 12), st.sampled_from(["byte", "word"]))
+def test_refined_and_extended_windows_are_those_that_repeat(texts, window, kind):
+    """Bucket pointers and extension over one bucket, against windows compared outright."""
+    import collections
+
+    import pyarrow as pa
+
+    if kind == "word":
+        texts = [" ".join(t) for t in texts if t] or ["a"]
+    s = next(scan.slices(pa.array([t or "a" for t in texts]), 1 << 20))
+    texts = [t or "a" for t in texts]
+    units = [t.split() if kind == "word" else list(t) for t in texts]
+    doc = np.arange(len(texts)) // 2
+    seen = collections.defaultdict(list)
+    for i, u in enumerate(units):
+        for at in range(len(u) - window + 1):
+            seen[tuple(u[at : at + window])].append((i, at))
+    if kind == "byte":
+        owner, at = byte_dedup.refine(repeats.Pool(s, np.zeros(len(texts), int), np.zeros(len(texts), int), doc), window)
+        expected = {x for v in seen.values() if len(v) > 1 for x in v}
+    else:
+        anchor = np.array([len(u) // 2 for u in units])
+        owner, at = substring_dedup.extend(repeats.Pool(s, np.zeros(len(texts), int), anchor, doc), window)
+        same = collections.defaultdict(list)  # a match of two spans lies round the seed
+        for i, u in enumerate(units):
+            for a in range(max(0, anchor[i] - window + 1), min(anchor[i], len(u) - window) + 1):
+                same[anchor[i] - a, tuple(u[a : a + window])].append((i, a))
+        expected = {x for v in same.values() for x in v if min(doc[i] for i, _ in v) < doc[x[0]]}
+    assert set(zip(owner.tolist(), at.tolist(), strict=True)) == expected
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab \n\té", max_size=30), max_size=8))
 def test_words_are_those_of_the_pattern(texts):
