@@ -1,11 +1,11 @@
 """Best-fit packing of documents into sequences of bounded length.
 
 Texts become pieces where they are read; only piece lengths are shuffled.  Pieces are
-dealt by hash over groups of about ``GROUP_PIECES`` and each group is packed online with
-a fixed number of open bins: a bitset keyed by free space finds the tightest bin that
-still fits, and when one bin too many is open, the fullest closes.  Within a group the
-longer pieces come first.  A group is bounded whatever the input, so more data means more
-groups, and the ids are recomputable from (group, order): reruns agree.
+numbered as they are written, dealt by number over groups of about ``GROUP_PIECES``, and
+each group is packed online, in the order of the numbers, with a fixed number of open
+bins: a bitset keyed by free space finds the tightest bin that still fits, and when one
+bin too many is open, the fullest closes.  A group is bounded whatever the input, repeated
+rows included, so more data means more groups.
 
 A piece as long as a sequence is one by itself.  Null and empty texts are one piece with
 the end id alone; repeated rows are packed as often as they occur; extra columns are not
@@ -25,10 +25,10 @@ from tablehealth.llm import common, encode
 
 SEQUENCE_TOKENS = 1024
 END_ID = 2
-GROUP_PIECES = 2048
-OPEN_BINS = 1024
+GROUP_PIECES = 1 << 16
+OPEN_BINS = 64
 
-PIECES = "doc_id long, _key long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -54,14 +54,13 @@ def pieces(docs: DataFrame, vocabulary_file: str, most: int = SEQUENCE_TOKENS, e
             opens = np.concatenate([[0], np.cumsum(counts + 1)[:-1]])
             yield {
                 "doc_id": part["doc_id"].take(pa.array(owner)),
-                "_key": part["_key"].take(pa.array(owner)),
                 "piece": (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32),
                 "start": end - length - opens[owner],
                 "length": length,
                 "ids_crc32": [zlib.crc32(raw[4 * (b - n) : 4 * b]) for b, n in zip(end.tolist(), length.tolist(), strict=True)],
             }
 
-    return common.arrow_map(docs.select(F.col("doc_id").cast("long"), common.row_key().alias("_key"), F.col("text").cast("string")), rows, PIECES, tokens=True)
+    return common.arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), rows, PIECES, tokens=True)
 
 
 def best_fit(lengths: list[int], most: int, open_bins: int) -> tuple[list[int], list[int]]:
@@ -97,18 +96,22 @@ def best_fit(lengths: list[int], most: int, open_bins: int) -> tuple[list[int],
 
 
 def pack(cut_pieces: DataFrame, most: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BINS, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Sequence and offset of every piece (a staged frame: it is counted first)."""
+    """Sequence and offset of every piece (a staged frame with _number: it is counted first)."""
     groups = max(1, round(cut_pieces.count() / group_pieces))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("_key", "ascending"), ("piece", "ascending")])
+        table = table.sort_by("_number")
         bins, offsets = best_fit(table["length"].to_pylist(), most, open_bins)
         group = table["_group"][0].as_py()
         return table.select(["doc_id", "piece", "start", "length", "ids_crc32"]).append_column("sequence_id", pa.array(np.array(bins, np.int64) + (group << 32))).append_column("offset", pa.array(offsets, pa.int64()))
 
-    grouped = cut_pieces.withColumn("_group", F.pmod(F.xxhash64("_key", "piece"), F.lit(groups)))
+    grouped = cut_pieces.withColumn("_group", F.pmod(F.xxhash64("_number"), F.lit(groups)))
     return grouped.groupBy("_group").applyInArrow(run, PACKED)
 
 
 def pack_documents(docs: DataFrame, vocabulary_file: str, most: int = SEQUENCE_TOKENS) -> DataFrame:
-    return pack(common.stage(pieces(docs, vocabulary_file, most), "pieces"), most)
+    """The sequences of ``docs``; edge cases are those of the module."""
+    with common.scratch(docs.sparkSession):
+        # the number is staged with the piece, so that it holds from here on
+        numbered = common.stage(pieces(docs, vocabulary_file, most).withColumn("_number", F.monotonically_increasing_id()), "pieces")
+        return common.stage(pack(numbered, most), "packed", keep=True)

@@ -92,6 +92,40 @@ def jaccard(docs):
     return [(doc_id, len(sets[i]), least.get(find(i))) for i, (doc_id, _) in enumerate(docs)]
 
 
+def targets(sizes, weights, most_times=3):
+    """Share the sum of sizes by weight; none over ``most_times`` its size, the excess shared again."""
+    capped = set()
+    while True:
+        left = sum(sizes) - sum(most_times * sizes[i] for i in capped)
+        weight = sum(w for i, w in enumerate(weights) if i not in capped)
+        unit = left / weight if weight else 0.0
+        over = {i for i, w in enumerate(weights) if i not in capped and unit * w > most_times * sizes[i]}
+        if not over:
+            return [float(most_times * s) if i in capped else unit * w for i, (s, w) in enumerate(zip(sizes, weights, strict=True))]
+        capped |= over
+
+
+def best_fit(lengths, most, open_bins):
+    """Bin and offset of each length in the given order, by looking at every open bin."""
+    bins, out, opened = [], [], 0
+    for n in lengths:
+        fitting = [b for b in bins if b[1] >= n]
+        if fitting:
+            best = min(b[1] for b in fitting)
+            chosen = [b for b in fitting if b[1] == best][-1]  # of like bins, the one last used
+            bins.remove(chosen)
+        else:
+            chosen, opened = [opened, most], opened + 1
+        out.append((chosen[0], most - chosen[1]))
+        chosen[1] -= n
+        if chosen[1]:
+            bins.append(chosen)  # the last used comes last
+        if len(bins) > open_bins:
+            least = min(b[1] for b in bins)
+            bins.remove(next(b for b in bins if b[1] == least))
+    return out
+
+
 def crc(ids):
     return zlib.crc32(b"".join(int(x).to_bytes(4, "little") for x in ids))
 

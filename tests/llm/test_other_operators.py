@@ -5,22 +5,33 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablehealth.llm import catalogue, licences, mixing, topk, toxicity
 from tests.llm import brute
 
 
-def test_targets_share_everything_within_their_limits():
-    assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([187.5, 75, 37.5])
-    found = mixing.targets([10, 100, 100], [5, 2, 1])
-    assert found[0] == 30 and sum(found) == pytest.approx(210) and found[1] == pytest.approx(2 * found[2])
-    assert mixing.targets([], []) == []
-    assert mixing.targets([0, 5], [5, 2]) == [0, 5]
+def test_targets_share_everything_within_their_limits(spark):
+    cases = [([100, 100, 100], [5, 2, 1]), ([10, 100, 100], [5, 2, 1]), ([0, 5], [5, 2]), ([1, 2, 3, 4, 5, 600, 700], [5, 2, 1, 5, 2, 1, 5]), ([0, 0], [5, 2])]
+    for sizes, weights in cases:
+        table = spark.createDataFrame(list(zip(range(len(sizes)), sizes, weights, strict=True)), "i long, source_size long, weight int")
+        found = [r.target for r in mixing.targets(table).orderBy("i").collect()]
+        assert found == pytest.approx(brute.targets(sizes, weights))
+        assert sum(found) == pytest.approx(sum(sizes)) and all(t <= 3 * s for t, s in zip(found, sizes, strict=True))
+    assert mixing.targets(spark.createDataFrame([], "source_size long, weight int")).count() == 0
 
 
-def test_schedule_ranks_and_shares(spark):
-    shares = [5.0, 0.0, 2.0, 1.0]
-    found = mixing.schedule(spark, shares, 40_000).collect()
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_schedule_ranks_and_shares(spark, monkeypatch, broadcast):
+    from tablehealth.llm import common
+
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    shares, low = [5, 0, 2, 1], 0
+    rows = []
+    for i, x in enumerate(shares):
+        rows.append((i, low, low := low + x * 5000 * mixing.DUE_UNIT))
+    found = mixing.schedule(spark.createDataFrame(rows, "_source long, _low long, _high long")).collect()
     assert sorted(r.slot for r in found) == list(range(40_000))
     by = {}
     for r in sorted(found, key=lambda r: r.slot):
@@ -31,13 +42,42 @@ def test_schedule_ranks_and_shares(spark):
         assert by.get(i, 0) == pytest.approx(40_000 * share / 8, abs=20)
 
 
+def test_sources_are_numbered_by_code_point_nulls_last(spark):
+    names = ["b", "a", "é", "Z", "\U0001d518", "\uffff", "", None, "ab"]
+    sized = spark.createDataFrame([(n, 10) for n in names for _ in range(3)], "source string, size long").repartition(4)
+    found = [r.source for r in mixing.sources_of(sized).orderBy("_source").collect()]
+    assert found == sorted((n for n in names if n is not None), key=lambda n: [ord(c) for c in n]) + [None]
+
+
+def test_many_small_sources_come_near_their_targets(spark):
+    """200 sources of 160 words beside one of 18,000, at the block size of the query."""
+    rows = [(i, " ".join(["w"] * 160), f"s{i:03}") for i in range(200)] + [(1000 + i, " ".join(["w"] * 600), "t") for i in range(30)]
+    found = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    taken, goal = {}, {}
+    for r in found:
+        s = r.doc_id if r.doc_id < 1000 else "t"
+        taken[s], goal[s] = taken.get(s, 0) + r.taken, r.target
+        assert r.taken <= 3 * r.size
+    assert sum(taken.values()) == pytest.approx(50_000, rel=0.01)
+    assert all(taken[s] > 0 for s in goal)
+    assert all(taken[s] == pytest.approx(goal[s], rel=0.1) for s in goal)
+
+
+def test_copies_that_are_a_third_of_all_rows(spark):
+    rows = [(7, "one and the same text of nine words here", "a")] * 400 + [(i, f"other text number {i} with a few words", "ab"[i % 2]) for i in range(1000, 1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = [mixing.taken(d).collect() for d in (docs.repartition(3), docs.repartition(5))]
+    assert brute.order(map(tuple, found[0])) == brute.order(map(tuple, found[1])) and len(found[0]) == len(rows)
+    assert all(r.taken <= 3 * r.size for r in found[0])
+
+
 def test_mix_meets_targets_and_limits(docs, edges):
     found = mixing.taken(docs, 4).collect()
     sizes = {}
     for _, t, _, s, *_ in edges:
         sizes[s] = sizes.get(s, 0) + len(brute.WORD.findall(t or ""))
     names = sorted((s for s in sizes if s is not None)) + [None]
-    goals = dict(zip(names, mixing.targets([sizes[s] for s in names], [float((5, 2, 1)[i % 3]) for i in range(len(names))]), strict=True))
+    goals = dict(zip(names, brute.targets([sizes[s] for s in names], [float((5, 2, 1)[i % 3]) for i in range(len(names))]), strict=True))
     source = {(d, len(brute.WORD.findall(t or ""))): s for d, t, _, s, *_ in edges}
     taken = {}
     assert len(found) == len(edges)
@@ -71,9 +111,9 @@ def test_long_tail_of_small_sources_shares_all_words(spark):
 
 def test_blocks_of_a_source_are_of_equal_length(spark):
     docs = spark.createDataFrame([(i, " ".join(["w"] * n), "ab"[i % 2]) for i, n in enumerate((7, 130, 1, 400, 0, 129, 33))], "doc_id long, text string, source string")
-    sized, parts, sources = mixing.prepare(docs)
-    rows = parts.collect()
-    for s in sources:
+    sized, placed, sources = mixing.prepare(docs)
+    rows = mixing.parts(placed.withColumn("_used", F.col("blocks"))).join(sized.select("_row", "doc_id"), "_row").collect()
+    for s in sources.collect():
         words = {}
         for r in rows:
             if r._source == s["_source"]:

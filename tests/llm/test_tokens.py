@@ -88,6 +88,33 @@ def test_best_fit_fills_bins_without_gaps(lengths, open_bins):
     assert all(v <= 20 for v in level.values())
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=80), st.integers(1, 6))
+def test_best_fit_equals_a_look_at_every_open_bin(lengths, open_bins):
+    bins, offsets = packing.best_fit(lengths, 20, open_bins)
+    assert list(zip(bins, offsets, strict=True)) == brute.best_fit(lengths, 20, open_bins)
+
+
+def test_the_bound_on_open_bins_binds_and_costs_little():
+    rng = np.random.default_rng(3)
+    lengths = np.minimum(1024, rng.geometric(1 / 430, packing.GROUP_PIECES)).tolist()
+    bound, free = (packing.best_fit(lengths, 1024, n) for n in (packing.OPEN_BINS, len(lengths)))
+    assert bound != free
+    assert max(free[0]) + 1 <= max(bound[0]) + 1 <= 1.03 * sum(lengths) / 1024
+
+
+def test_packed_repeated_rows_lie_in_bounded_groups(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one text")] * 900 + [(i, "other") for i in range(100)], "doc_id long, text string").repartition(3)
+    seen = []
+    monkeypatch.setattr(packing, "pack", lambda numbered, *a, f=packing.pack, **b: seen.append(f(numbered, *a, group_pieces=100, **b)) or seen[-1])
+    found = packing.pack_documents(docs, BYTE).collect()
+    assert len(found) == 1000
+    groups = {}
+    for r in found:
+        groups[r.sequence_id >> 32] = groups.get(r.sequence_id >> 32, 0) + 1
+    assert len(groups) == 10 and max(groups.values()) < 200
+
+
 def test_packing(docs, pairs):
     found = packing.pack_documents(docs, BYTE, 64).collect()
     for r in found:
@@ -116,7 +143,15 @@ def test_packing_is_tight_and_reruns_agree(spark, sf_dir):
     one, two = (brute.order(map(tuple, catalogue.op9_best_fit_packing(spark, sf_dir).collect())) for _ in range(2))
     assert one == two
     total, used = sum(r[3] for r in one), len({r[5] for r in one})
-    assert used <= 1.03 * -(-total // 1024)
+    # pieces come as they arrive, so 200 documents leave more room than they would sorted by length
+    assert used == 1 + max(b for b, _ in brute.best_fit(_in_order(spark, sf_dir), 1024, packing.OPEN_BINS))
+    larger = catalogue.op9_best_fit_packing(spark, sf_dir.replace("sf0.001", "sf0.01")).collect()
+    assert len({r.sequence_id for r in larger}) <= 1.03 * -(-sum(r.length for r in larger) // 1024)
+
+
+def _in_order(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    return [n for t in texts for n in packing.cut(len(whole(BYTE, t)) + 1, 1024).tolist()]
 
 
 def test_empty_tables(nothing, tmp_path):
