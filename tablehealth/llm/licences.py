@@ -1,14 +1,16 @@
 """Licence scans by sentence rules, in DataFrame expressions alone.
 
 A text is cut into sentences (and unknown ones into their lines), each is normalised,
-known ones become identifiers, and the sequence of a text's identifiers is matched against rules: a licence is found where its
-sentences follow one another, unknown sentences between them notwithstanding.  The tables
-of sentences and rules are parameters; ``KNOWN`` and ``RULES`` hold common public ones.
-A known sentence is one piece of the scan's own cutting, so what official wording spreads
-over several pieces is several known sentences in a row.
+known ones become identifiers, and the sequence of a text's identifiers is matched against
+rules: a licence is found where its sentences follow in order, whatever stands between them.
+The tables of sentences and rules are parameters; ``KNOWN`` and ``RULES`` hold common public
+ones, and the short tags of ``SPDX`` by rule.  A known sentence is one piece of the scan's
+own cutting, so what official wording spreads over several pieces is several known
+sentences in a row.  Sentences are looked up in a hash set; only the known ones, a few of a
+text, meet the table of identifiers.
 
-Rules are judged each by itself: a text under BSD-3-Clause holds all of BSD-2-Clause too,
-and both are named.
+Rules are judged each by itself, but a licence whose text is part of another one's
+(``PART_OF``) is named only where the larger one is not.
 
 One narrow pass without a shuffle; texts in which no known sentence can stand, because
 they lack every hint, skip the cutting.  Null and empty texts have no sentences and no
@@ -18,6 +20,8 @@ not read.
 
 from __future__ import annotations
 
+import functools
+import re
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -53,6 +57,38 @@ KNOWN = {
     "cc-by-sa-name": "licensed under cc by sa 4 0",
     "cc-by-nc-name": "licensed under cc by nc 4 0",
     "cc0-dedication": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "gpl-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl2-later": "either version 2 of the license or at your option any later version",
+    "gpl21-later": "either version 2 1 of the license or at your option any later version",
+    "gpl3-later": "either version 3 of the license or at your option any later version",
+    "gpl2-terms": "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "library-free": "this library is free software",
+    "lgpl-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "lgpl3-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3-terms": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "perl-terms": "you can redistribute it and or modify it under the same terms as perl itself",
+    "epl1-header": "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html",
+    "epl2-header": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "mpl11-header": "the contents of this file are subject to the mozilla public license version 1 1 the license",
+    "unlicense-domain": "this is free and unencumbered software released into the public domain",
+    "boost-name": "distributed under the boost software license version 1 0",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-grant-and": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "mit0-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
+    "bsd-advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "postgresql-grant": "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",
+    "wtfpl-copying": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    "cc-by-full": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by-sa-full": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc-by-nc-full": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc-by-nc-sa-full": "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    "cc-by-nd-full": "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+    "cc-by-nc-nd-full": "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license",
+    "cc-by-3-full": "this work is licensed under a creative commons attribution 3 0 unported license",
+    "cc-by-sa-3-full": "this work is licensed under a creative commons attribution sharealike 3 0 unported license",
 }
 
 # Licences as ordered sentence identifiers.
@@ -60,30 +96,72 @@ RULES = {
     "MIT": (("mit-name",), ("mit-grant", "mit-notice", "as-is")),
     "Apache-2.0": (("apache-name",), ("apache-header", "apache-condition"), ("apache-condition", "apache-copy"), ("apache-condition", "apache-copy-at", "apache-url")),
     "GPL-3.0-only": (("gpl3-name",),),
-    "GPL-3.0-or-later": (("gpl3-or-later", "gpl-warranty", "gpl-copy"), ("gpl3-or-later", "gpl-warranty"), ("gpl-free", "gpl3-terms", "gpl-hope", "gpl-implied")),
+    "GPL-3.0-or-later": (("gpl3-or-later", "gpl-warranty", "gpl-copy"), ("gpl3-or-later", "gpl-warranty"), ("gpl-free", "gpl3-terms", "gpl-hope", "gpl-implied"), ("gpl-free", "gpl-terms", "gpl3-later")),
+    "BSD-4-Clause": (("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse"),),
     "BSD-3-Clause": (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"),),
     "BSD-2-Clause": (("bsd-grant", "bsd-source", "bsd-binary"),),
-    "ISC": (("isc-grant",),),
+    "ISC": (("isc-grant",), ("isc-grant-and",)),
     "MPL-2.0": (("mpl2-header",),),
-    "CC-BY-4.0": (("cc-by-name",),),
-    "CC-BY-SA-4.0": (("cc-by-sa-name",),),
-    "CC-BY-NC-4.0": (("cc-by-nc-name",),),
+    "CC-BY-4.0": (("cc-by-name",), ("cc-by-full",)),
+    "CC-BY-SA-4.0": (("cc-by-sa-name",), ("cc-by-sa-full",)),
+    "CC-BY-NC-4.0": (("cc-by-nc-name",), ("cc-by-nc-full",)),
+    "CC-BY-NC-SA-4.0": (("cc-by-nc-sa-full",),),
+    "CC-BY-ND-4.0": (("cc-by-nd-full",),),
+    "CC-BY-NC-ND-4.0": (("cc-by-nc-nd-full",),),
+    "CC-BY-3.0": (("cc-by-3-full",),),
+    "CC-BY-SA-3.0": (("cc-by-sa-3-full",),),
     "CC0-1.0": (("cc0-dedication",),),
+    "GPL-2.0-only": (("gpl-free", "gpl2-terms"),),
+    "GPL-2.0-or-later": (("gpl-free", "gpl-terms", "gpl2-later"),),
+    "LGPL-2.1-or-later": (("library-free", "lgpl-terms", "gpl21-later"),),
+    "LGPL-3.0-or-later": (("lgpl3-terms",), ("lgpl-terms", "gpl3-later")),
+    "AGPL-3.0-or-later": (("gpl-free", "agpl3-terms"),),
+    "Artistic-1.0-Perl": (("perl-terms",),),
+    "EPL-1.0": (("epl1-header",),),
+    "EPL-2.0": (("epl2-header",),),
+    "MPL-1.1": (("mpl11-header",),),
+    "Unlicense": (("unlicense-domain",),),
+    "BSL-1.0": (("boost-name",), ("boost-grant",)),
+    "Zlib": (("zlib-as-is", "zlib-grant"),),
+    "0BSD": (("0bsd-grant",),),
+    "MIT-0": (("mit0-grant", "as-is"),),
+    "PostgreSQL": (("postgresql-grant",),),
+    "WTFPL": (("wtfpl-copying",),),
 }
 
+# Licences that short tags name, besides those of the rules.
+SPDX = ("AFL-3.0", "AGPL-3.0-only", "Artistic-2.0", "BSD-3-Clause-Clear", "BUSL-1.1", "CC-BY-NC-SA-3.0", "CDDL-1.0", "CDDL-1.1", "CECILL-2.1", "CPL-1.0", "ECL-2.0", "EUPL-1.1", "EUPL-1.2", "FTL", "GFDL-1.3-or-later", "GPL-1.0-or-later", "HPND", "ICU", "IJG", "LGPL-2.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "MS-PL", "MS-RL", "MulanPSL-2.0", "NCSA", "ODbL-1.0", "OFL-1.1", "OpenSSL", "OSL-3.0", "PHP-3.01", "Python-2.0", "PSF-2.0", "Ruby", "SSPL-1.0", "UPL-1.0", "Vim", "W3C", "X11", "ZPL-2.1")
+
+
+def _tagged(known: dict[str, str], rules: dict[str, tuple]) -> tuple[dict[str, str], dict[str, tuple]]:
+    """The tables with the tag of every licence as one more sentence and one more way to find it."""
+    names = [*rules, *SPDX]
+    tag = {name: "spdx-" + name.lower().replace(".", "-") for name in names}
+    said = {tag[n]: "spdx license identifier " + " ".join(re.findall("[a-z0-9]+", n.lower())) for n in names}
+    return known | said, {n: (*rules.get(n, ()), (tag[n],)) for n in names}
+
+
+KNOWN, RULES = _tagged(KNOWN, RULES)
+
+#: Named only where none of these is.
+PART_OF = {"BSD-2-Clause": ("BSD-3-Clause", "BSD-4-Clause"), "BSD-3-Clause": ("BSD-4-Clause",)}
+
 #: Every known sentence holds one of these, whatever the case.
-HINTS = ("licen", "copyright", "warrant", "permi", "redistribut", "free software")
+HINTS = ("licen", "copyright", "warrant", "permi", "redistribut", "free software", "public domain", "advertising materials")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # "v. 2.0" holds no end of a sentence, but may be one
 _STOP = r"(\bv[.][\x20\x09-\x0D#*/]+[0-9][0-9.]*|[.!?;:][\x20\x09-\x0D])[\x20\x09-\x0D]*"
 _GAP = r"\n[\x20\x09-\x0D#*/;%!<>-]*\n"
 _OTHER = "[^a-z0-9]+"
+#: No end of a sentence.
+_TAG, _UNCUT = "spdx-license-identifier:", "spdx-license-identifier"
 
 
 def sentences(text: Column) -> Column:
     """Sentences in lower case: cut behind . ! ? ; : and at lines that are blank or hold comment marks alone."""
-    return F.split(F.regexp_replace(F.translate(text, _UPPER, _LOWER), _STOP, "$1\n\n"), _GAP)
+    lower = F.replace(F.translate(text, _UPPER, _LOWER), F.lit(_TAG), F.lit(_UNCUT))
+    return F.split(F.regexp_replace(lower, _STOP, "$1\n\n"), _GAP)
 
 
 def normalised(sentence: Column) -> Column:
@@ -98,36 +176,41 @@ def identifiers(text: Column, known: dict[str, str]) -> Column:
     licence line need not end in a full stop.
     """
     table = F.create_map(*chain.from_iterable((F.lit(s), F.lit(i)) for i, s in known.items()))
-    look = lambda s: F.try_element_at(table, normalised(s))
-    lines = lambda s: F.when(look(s).isNotNull(), F.array(look(s))).otherwise(F.transform(F.split(s, "\n"), look))
-    found = F.filter(F.flatten(F.transform(sentences(text), lines)), lambda i: i.isNotNull())
+    is_known = lambda s: s.isin(*known.values())  # noqa: E731  a hash set once there are a few
+    lines = lambda raw: F.filter(F.transform(F.split(raw, "\n"), normalised), is_known)
+    each = F.transform(sentences(text), lambda s: F.struct(s.alias("raw"), normalised(s).alias("plain")))
+    found = F.flatten(F.transform(each, lambda s: F.when(is_known(s["plain"]), F.array(s["plain"])).otherwise(lines(s["raw"]))))
+    found = F.transform(found, lambda s: F.try_element_at(table, s))
     return F.when(F.lower(text).rlike("|".join(HINTS)), found).otherwise(F.array().cast("array<string>"))
 
 
-def scan(docs: DataFrame, known: dict[str, str] = KNOWN, rules: dict[str, tuple] = RULES) -> DataFrame:
+def _in_order(sequence: tuple[str, ...]) -> str:
+    """Pattern of a sequence of identifiers in ``,a,b,c,``, others between them or not."""
+    return "," + ",(.*,)?".join(sequence) + ","
+
+
+def scan(docs: DataFrame, known: dict[str, str] = KNOWN, rules: dict[str, tuple] = RULES, part_of: dict[str, tuple] = PART_OF) -> DataFrame:
     """doc_id, n_known, sentence_ids, licences (both joined by commas): one row per row of ``docs``."""
     if lost := [s for s in known.values() if not any(h in s for h in HINTS)]:
         raise ValueError(f"no hint in {lost}")
     ids = docs.select(F.col("doc_id").cast("long"), identifiers(F.col("text").cast("string"), known).alias("ids"))
     joined = ids.select("doc_id", F.size(F.coalesce("ids", F.array().cast("array<string>"))).alias("n_known"), F.coalesce(F.array_join("ids", ","), F.lit("")).alias("sentence_ids"))
     chain_ = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
-    licences = []
-    for name, variants in rules.items():
-        hit = F.lit(False)
-        for sequence in variants:
-            hit = hit | chain_.contains("," + ",".join(sequence) + ",")
-        licences.append(F.when(hit, F.lit(name)))
-    return joined.withColumn("licences", F.concat_ws(",", *licences))
+    hit = {name: functools.reduce(Column.__or__, (chain_.rlike(_in_order(v)) for v in variants)) for name, variants in rules.items()}
+    named = [F.when(functools.reduce(Column.__and__, (~hit[larger] for larger in part_of.get(name, ()) if larger in hit), hit[name]), F.lit(name)) for name in rules]
+    return joined.withColumn("licences", F.when(F.col("n_known") > 0, F.concat_ws(",", *named)).otherwise(""))
 
 
-def duckdb_sql(known: dict[str, str] = KNOWN, rules: dict[str, tuple] = RULES) -> str:
+def duckdb_sql(known: dict[str, str] = KNOWN, rules: dict[str, tuple] = RULES, part_of: dict[str, tuple] = PART_OF) -> str:
     """The same scan as DuckDB SQL over ``documents``."""
     table = ", ".join(f"'{s}': '{i}'" for i, s in known.items())
-    look = lambda x: f"(MAP {{{table}}})[trim(regexp_replace({x}, '{_OTHER}', ' ', 'g'))]"
-    hits = ", ".join(f"CASE WHEN {' OR '.join(f"contains(c, ',{','.join(v)},')" for v in variants)} THEN '{name}' END" for name, variants in rules.items())
+    plain = lambda x: f"trim(regexp_replace({x}, '{_OTHER}', ' ', 'g'))"
+    hit = {name: "(" + " OR ".join(f"regexp_matches(c, '{_in_order(v)}')" for v in variants) + ")" for name, variants in rules.items()}
+    hits = ", ".join(f"CASE WHEN {' AND NOT '.join([hit[name], *(hit[larger] for larger in part_of.get(name, ()) if larger in hit)])} THEN '{name}' END" for name in rules)
     return f"""
-WITH parted AS (SELECT doc_id, string_split_regex(regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_STOP}', E'\\\\1\\n\\n', 'g'), '{_GAP}') s FROM documents),
-     named AS (SELECT doc_id, list_filter(flatten(list_transform(s, lambda x: CASE WHEN {look("x")} IS NOT NULL THEN [{look("x")}] ELSE list_transform(string_split(x, E'\\n'), lambda y: {look("y")}) END)), lambda i: i IS NOT NULL) ids FROM parted),
+WITH parted AS (SELECT doc_id, string_split_regex(regexp_replace(replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TAG}', '{_UNCUT}'), '{_STOP}', E'\\\\1\\n\\n', 'g'), '{_GAP}') s FROM documents),
+     known AS (SELECT MAP {{{table}}} m),
+     named AS (SELECT doc_id, list_filter(flatten(list_transform(s, lambda x: CASE WHEN m[{plain("x")}] IS NOT NULL THEN [m[{plain("x")}]] ELSE list_transform(string_split(x, E'\\n'), lambda y: m[{plain("y")}]) END)), lambda i: i IS NOT NULL) ids FROM parted, known),
      joined AS (SELECT doc_id, CAST(len(ids) AS INTEGER) n_known, array_to_string(ids, ',') sentence_ids, ',' || array_to_string(ids, ',') || ',' c FROM named)
-SELECT doc_id, n_known, sentence_ids, concat_ws(',', {hits}) licences FROM joined
+SELECT doc_id, n_known, sentence_ids, CASE WHEN n_known > 0 THEN concat_ws(',', {hits}) ELSE '' END licences FROM joined
 """

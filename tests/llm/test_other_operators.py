@@ -358,13 +358,75 @@ OFFICIAL["BSD-3-Clause"] = OFFICIAL["BSD-2-Clause"].replace("THIS SOFTWARE", """
 THIS SOFTWARE""")
 
 
+OFFICIAL["BSD-4-Clause"] = OFFICIAL["BSD-2-Clause"].replace("THIS SOFTWARE", """3. All advertising materials mentioning features or use of this software must
+   display the following acknowledgement:
+   This product includes software developed by the organization.
+
+4. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE""")
+_GNU = """This {what} is free software{mark} you can redistribute it and/or
+modify it under the terms of the GNU {name} Public
+License as published by the Free Software Foundation{join} either
+version {version} of the License, or (at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+OFFICIAL |= {
+    "GPL-2.0-only": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation.""",
+    "GPL-2.0-or-later": _GNU.format(what="program", mark=";", name="General", join=";", version="2"),
+    "LGPL-2.1-or-later": _GNU.format(what="library", mark=";", name="Lesser General", join=";", version="2.1"),
+    "LGPL-3.0-or-later": _GNU.format(what="library", mark=":", name="Lesser General", join=",", version="3"),
+    "AGPL-3.0-or-later": _GNU.format(what="program", mark=":", name="Affero General", join=",", version="3"),
+    "Artistic-1.0-Perl": "This library is free software; you can redistribute it and/or modify it\nunder the same terms as Perl itself.",
+    "EPL-1.0": """All rights reserved. This program and the accompanying materials
+are made available under the terms of the Eclipse Public License v1.0
+which accompanies this distribution, and is available at
+http://www.eclipse.org/legal/epl-v10.html""",
+    "EPL-2.0": """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "MPL-1.1": """The contents of this file are subject to the Mozilla Public License Version
+1.1 (the "License"); you may not use this file except in compliance with
+the License.""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "BSL-1.0": "         Distributed under the Boost Software License, Version 1.0.\n   (See accompanying file LICENSE_1_0.txt)",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:""",
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.""",
+    "PostgreSQL": """Permission to use, copy, modify, and distribute this software and its
+documentation for any purpose, without fee, and without a written agreement is
+hereby granted, provided that the above copyright notice and this paragraph
+and the following two paragraphs appear in all copies.""",
+    "WTFPL": """Everyone is permitted to copy and distribute verbatim or modified
+copies of this license document, and changing it is allowed as long
+as the name is changed.""",
+    "MIT-0": OFFICIAL["MIT"].replace(", subject to the following conditions:", ".").replace("""The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+""", ""),
+}
+for _name, _said in (("CC-BY-NC-SA-4.0", "Attribution-NonCommercial-ShareAlike 4.0 International"), ("CC-BY-ND-4.0", "Attribution-NoDerivatives 4.0 International"), ("CC-BY-NC-ND-4.0", "Attribution-NonCommercial-NoDerivatives 4.0 International"), ("CC-BY-3.0", "Attribution 3.0 Unported"), ("CC-BY-SA-3.0", "Attribution-ShareAlike 3.0 Unported")):
+    OFFICIAL[_name] = f"This work is licensed under a Creative Commons {_said} License."
+
+
 def test_official_licence_texts(spark):
-    assert set(OFFICIAL) == set(licences.RULES)
+    assert set(OFFICIAL) == set(licences.RULES) - set(licences.SPDX)
     rows, expected = [], {}
     for mark in ("", "# ", " * ", "// ", "-- "):
         for name, text in OFFICIAL.items():
-            # each rule is judged by itself, and the three clauses hold the two
-            expected[len(rows)] = "BSD-3-Clause,BSD-2-Clause" if name == "BSD-3-Clause" else name
+            expected[len(rows)] = name
             rows.append((len(rows), "\n".join((mark + line).rstrip() for line in text.split("\n"))))
     more = [
         (OFFICIAL["GPL-3.0-or-later"].replace("software: you", "software; you"), "GPL-3.0-or-later"),
@@ -375,6 +437,9 @@ def test_official_licence_texts(spark):
         ("See section v. Released under the MIT License. v. 2.0. Licensed under CC BY 4.0.", "MIT,CC-BY-4.0"),
         ("See the code.\nYou may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0.", "Apache-2.0"),
     ]
+    more += [(f"// SPDX-License-Identifier: {name}\nint x;", name) for name in licences.RULES]
+    # another licence's sentence between those of one
+    more.append((OFFICIAL["BSD-2-Clause"].replace("2. Redis", "Licensed under CC BY 4.0.\n\n2. Redis"), "BSD-2-Clause,CC-BY-4.0"))
     for text, name in more:
         expected[len(rows)] = name
         rows.append((len(rows), text))
