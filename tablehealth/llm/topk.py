@@ -1,15 +1,17 @@
 """Exact top-k inner products by KD-trees, one per shard.
 
-Vectors are dealt over shards of bounded size.  A shard's tree is built by median splits
-on the widest dimension, every node with a tight bounding box and its smallest id.  For a
-query, the largest inner product that a box allows is sum(max(q * low, q * high)); nodes
-are visited best bound first, and a node is passed over when its bound is below the k-th
-score so far, or equal to it with only larger ids.  The search runs twice: each query
-first in one shard, then, with the k-th score found there, in the others, where that
-score cuts most of the tree from the start.
-
-Queries are rows of a table, sent in blocks to every shard; no pair of rows is ever a row
-of a join.  Vectors that are null or empty or hold null or non-finite components take no
+Vectors are dealt over shards of bounded size by place: median splits over a bounded sample
+give planes, and a place that holds more than a shard, as one of many copies does, is dealt
+on by row.  A shard's tree is built by median splits on the widest dimension, every node
+with a tight bounding box and its smallest id.  For a query, the largest inner product that
+a box allows is sum(max(q * low, q * high)); nodes are visited best bound first, and a node
+is passed over when its bound is below the k-th score so far, or equal to it with only
+larger ids.  Shards are visited in the same way: each query goes first to the shard whose
+box allows the most, and with the k-th score found there only to those whose boxes allow as
+much.
+
+Queries are rows of a table, sent in blocks to shards; no pair of rows is ever a row of a
+join.  Vectors that are null or empty or hold null or non-finite components take no
 part; vectors are compared with those of their own length; equal scores go to the smaller
 id; repeated ids are all kept, and none is compared with rows of its own id.  Other columns are not read.
 """
@@ -28,6 +30,14 @@ from tablehealth.llm import common
 SHARD_ROWS = 8192
 LEAF_ROWS = 64
 QUERY_BLOCK = 256
+#: Queries of a shard, or of a block of boxes, in one task.
+TASK_QUERIES = 1 << 15
+#: Tasks of a search at most.
+MOST_TASKS = 20_000
+#: Boxes that a query is held against at a time.
+BOX_BLOCK = 1 << 14
+#: Vectors that the planes are drawn from, and the values they have together at most.
+SAMPLE_ROWS, SAMPLE_VALUES = 1 << 13, 1 << 21
 SCALE = 256
 FOUND = "query_id long, vec_id long, score long"
 
@@ -109,19 +119,113 @@ def _matrix(column) -> np.ndarray:
     return flat.astype(np.float64) if most * most * flat.shape[1] < 2**53 else flat
 
 
-def deal(every_vector: DataFrame, shards: int) -> DataFrame:
-    """_shard of each row, by its number: an id may stand for many rows."""
-    return every_vector.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int"))
+def planes(sample: list[np.ndarray], leaves: int) -> list[tuple]:
+    """Median splits on the widest dimension, as (dimension, bound, node below, node from it on); a leaf is (number,)."""
+    nodes, stack, done = [None], [(0, np.array(sample), leaves)], 0
+    while stack:
+        at, rows, many = stack.pop()
+        low, high = (rows.min(axis=0), rows.max(axis=0)) if len(rows) else (np.zeros(1), np.zeros(1))
+        widest = int((high - low).argmax())
+        bound = np.sort(rows[:, widest])[len(rows) // 2] if len(rows) else 0
+        below = rows[rows[:, widest] < bound] if len(rows) else rows
+        if many < 2 or not len(below):
+            nodes[at] = (done,)
+            done += 1
+            continue
+        nodes[at] = (widest, bound.item(), len(nodes), len(nodes) + 1)
+        nodes += [None, None]
+        stack += [(nodes[at][2], below, many // 2), (nodes[at][3], rows[rows[:, widest] >= bound], many - many // 2)]
+    return nodes
 
 
-def top_k(table: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE) -> DataFrame:
-    """query_id, rank, vec_id, score: for each vec_id divisible by ``every``, its k best others."""
-    # the number is staged with the row, so that a row is dealt alike each time
-    every_vector = common.stage(vectors(table, scale).withColumn("_row", F.monotonically_increasing_id()), "vectors")
-    n = every_vector.count()
-    shards = max(1, -(-n // SHARD_ROWS))
-    dealt = deal(every_vector, shards)
-    queries = every_vector.where(F.col("vec_id") % every == 0).withColumn("_home", F.pmod(F.xxhash64("_row", F.lit(1)), F.lit(shards)).cast("int"))
+def deal(every_vector: DataFrame, n: int) -> DataFrame:
+    """_shard of each row, of about ``SHARD_ROWS`` rows: by its place, then by row number where a place holds more."""
+    longest = every_vector.agg(F.max("_length")).first()[0] or 1
+    most = max(64, min(SAMPLE_ROWS, SAMPLE_VALUES // longest))
+    sample = every_vector.orderBy(F.xxhash64("_row")).limit(most).select("_length", "_vector").collect()
+    lengths: dict[int, list] = {}
+    for r in sample:
+        lengths.setdefault(r["_length"], []).append(r["_vector"])
+    leaves = max(1, -(-n // SHARD_ROWS))
+    trees = {k: planes(v, max(1, min(len(v) // 2, leaves * len(v) // len(sample)))) for k, v in lengths.items()}
+
+    def places(batch):
+        lengths_, leaf = batch["_length"].to_numpy(), np.zeros(batch.num_rows, np.int64)
+        for k in np.unique(lengths_).tolist():
+            rows = np.flatnonzero(lengths_ == k)
+            stack = [(0, rows, batch["_vector"].take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), k))]
+            while stack and k in trees:
+                at, own, values = stack.pop()
+                if len(trees[k][at]) == 1:
+                    leaf[own] = trees[k][at][0]
+                    continue
+                dimension, bound, below, above = trees[k][at]
+                left = values[:, dimension] < bound
+                stack += [(below, own[left], values[left]), (above, own[~left], values[~left])]
+        yield {c: batch[c] for c in ("_row", "vec_id", "_vector", "_length")} | {"_leaf": leaf}
+
+    # a length is a place of its own: leaves are numbered within it
+    placed = common.stage(common.arrow_map(every_vector.select("_row", "vec_id", "_vector", "_length"), places, "_row long, vec_id long, _vector array<long>, _length int, _leaf long"), "places")
+    found = placed.groupBy("_length", "_leaf").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.expr(f"(_n + {SHARD_ROWS - 1}) div {SHARD_ROWS}"))
+    found = common.small(common.stage(found.select("_length", "_leaf", "_parts"), "leaves"))
+    part = F.pmod(F.xxhash64("_row"), F.col("_parts"))
+    return placed.join(found, ["_length", "_leaf"]).withColumn("_shard", F.xxhash64("_length", "_leaf", part)).drop("_leaf", "_parts")
+
+
+def boxes(dealt: DataFrame) -> DataFrame:
+    """_shard, _length, _low, _high: the tight box of each shard."""
+
+    def some(batch):
+        shards = batch["_shard"].to_numpy()
+        for shard in np.unique(shards).tolist():
+            own = batch.filter(pa.array(shards == shard))
+            values = own["_vector"].flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1)
+            yield {"_shard": [shard], "_length": [values.shape[1]], "_low": [values.min(axis=0)], "_high": [values.max(axis=0)]}
+
+    def whole(table: pa.Table) -> pa.Table:
+        low, high = (f(np.array(table[c].to_pylist()), axis=0) for f, c in ((np.min, "_low"), (np.max, "_high")))
+        return pa.table({"_shard": table["_shard"][:1], "_length": table["_length"][:1], "_low": pa.array([low], pa.list_(pa.int64())), "_high": pa.array([high], pa.list_(pa.int64()))})
+
+    kinds = "_shard long, _length int, _low array<long>, _high array<long>"
+    return common.arrow_map(dealt.select("_shard", "_vector"), some, kinds).groupBy("_shard").applyInArrow(whole, kinds)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select(*[F.col(c).alias(f"{c}_asked") for c in queries.columns])
+
+
+def reachable(queries: DataFrame, held: DataFrame, count: int, n: int) -> DataFrame:
+    """_row, _shard, _bound: for each query, the shards whose boxes allow its _floor; without one, the best shard of each block of boxes."""
+    blocks, parts = max(1, -(-count // BOX_BLOCK)), max(1, -(-n // TASK_QUERIES))
+
+    def run(key, rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out = {"_row": [], "_shard": [], "_bound": []}
+        if len(rows) and len(asked):
+            low, high = (np.array(rows[c].to_pylist(), np.float64) for c in ("_low", "_high"))
+            shards, ids = rows["_shard"].to_numpy(), asked["_row_asked"].to_numpy()
+            floors = asked["_floor_asked"].to_pylist()
+            for at in range(0, len(asked), QUERY_BLOCK):
+                points = asked["_vector_asked"].slice(at, QUERY_BLOCK).combine_chunks()
+                points = points.flatten().to_numpy(zero_copy_only=False).reshape(len(points), -1).astype(np.float64)
+                bounds = np.maximum(points, 0) @ high.T + np.minimum(points, 0) @ low.T
+                bounds += np.abs(bounds) * 1e-9 + 1  # sums of doubles may fall short
+                for i, own in enumerate(bounds):
+                    floor = floors[at + i]
+                    near = np.array([own.argmax()]) if floor is None else np.flatnonzero(own >= floor)
+                    out["_row"].append(np.full(len(near), ids[at + i]))
+                    out["_shard"].append(shards[near])
+                    out["_bound"].append(own[near])
+        return pa.table({c: pa.array(np.concatenate(v) if v else [], pa.float64() if c == "_bound" else pa.int64()) for c, v in out.items()})
+
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    keys = ["_block", "_part", "_length"]
+    boxed = held.withColumn("_block", F.pmod(F.xxhash64("_shard"), F.lit(blocks)).cast("int")).withColumn("_part", every(parts))
+    asked = _asked(queries.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(parts)).cast("int")).withColumn("_block", every(blocks)))
+    return boxed.groupBy(*keys).cogroup(asked.groupBy(*[f"{c}_asked" for c in keys])).applyInArrow(run, "_row long, _shard long, _bound double")
+
+
+def search(dealt: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of a shard for each of its queries (asked, staged: vec_id, _row, _vector, _floor, _shard)."""
 
     def run(key, rows: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
@@ -138,18 +242,45 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE) ->
                     out += [(ids[at + i], v, s) for s, v in found]
         return pa.table({"query_id": pa.array([x[0] for x in out], pa.int64()), "vec_id": pa.array([x[1] for x in out], pa.int64()), "score": pa.array([x[2] for x in out], pa.int64())})
 
-    def search(asked: DataFrame) -> DataFrame:
-        # a shard's queries come in blocks too, so that no task holds all queries
-        parts = max(1, -(-n // every // (QUERY_BLOCK * 16)))
-        asked = asked.withColumn("_part", F.pmod(F.xxhash64("_row", F.lit(2)), F.lit(parts)).cast("int"))
-        held = dealt.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        keys = ["_shard", "_length", "_part"]
-        asked = asked.select(*[F.col(c).alias(f"{c}_asked") for c in asked.columns])
-        return held.groupBy(*keys).cogroup(asked.groupBy(*[f"{c}_asked" for c in keys])).applyInArrow(run, FOUND)
+    # a shard that very many queries ask is held as often as their blocks need, and one that none asks not at all
+    parts = asked.groupBy("_shard").agg(F.count(F.lit(1)).alias("_n")).select("_shard", F.expr(f"(_n + {TASK_QUERIES - 1}) div {TASK_QUERIES}").cast("int").alias("_parts"))
+    parts = common.small(common.stage(parts, "asked-shards"))
+    held = dealt.join(parts, "_shard").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    asked = asked.join(parts, "_shard").withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int"))
+    keys = ["_shard", "_part"]
+    # little to read and much to do: as many tasks as there are trees to search, not as their bytes fill
+    tasks = max(1, min(MOST_TASKS, 2 * (parts.agg(F.sum("_parts")).first()[0] or 1)))
+    held, asked = held.select(*keys, "vec_id", "_vector").repartition(tasks, *keys), _asked(asked.select(*keys, "vec_id", "_vector", "_floor"))
+    asked_keys = [f"{c}_asked" for c in keys]
+    return held.groupBy(*keys).cogroup(asked.repartition(tasks, *asked_keys).groupBy(*asked_keys)).applyInArrow(run, FOUND)
 
-    first = common.stage(search(queries.select("vec_id", "_row", "_vector", "_length", F.col("_home").alias("_shard"), F.lit(None).cast("long").alias("_floor"))), "home")
+
+def top_k(table: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE) -> DataFrame:
+    """query_id, rank, vec_id, score: for each vec_id divisible by ``every``, its k best others (staged)."""
+    with common.scratch(table.sparkSession):
+        return common.stage(_top_k(table, k, every, scale), "top-k", keep=True)
+
+
+def _top_k(table: DataFrame, k: int, every: int, scale: int) -> DataFrame:
+    # the number is staged with the row, so that a row is dealt alike each time
+    every_vector = common.stage(vectors(table, scale).withColumn("_row", F.monotonically_increasing_id()), "vectors")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = every_vector.count()
+    if rows <= SHARD_ROWS:  # one shard of each length: there is no other to go on to
+        whole = every_vector.withColumn("_shard", F.xxhash64("_length"))
+        return ranked(search(whole, whole.where(F.col("vec_id") % every == 0).withColumn("_floor", F.lit(None).cast("long")), k))
+    dealt = common.stage(deal(every_vector, rows), "shards")
+    held = common.stage(boxes(dealt), "boxes")
+    queries = dealt.where(F.col("vec_id") % every == 0).drop("_shard")
+    count, n = held.count(), queries.count()
+
+    home = reachable(queries.withColumn("_floor", F.lit(None).cast("long")), held, count, n).groupBy("_row").agg(F.max_by("_shard", F.struct("_bound", "_shard")).alias("_shard"))
+    home = common.stage(queries.join(home, "_row").withColumn("_floor", F.lit(None).cast("long")), "home-queries")
+    first = common.stage(search(dealt, home, k), "home")
     floors = first.groupBy("query_id").agg(F.min("score").alias("_least"), F.count(F.lit(1)).alias("_n")).select(F.col("query_id").alias("vec_id"), F.when(F.col("_n") >= k, F.col("_least")).alias("_floor"))
-    others = queries.join(floors, "vec_id", "left").withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("_shard") != F.col("_home"))
-    rest = search(others.select("vec_id", "_row", "_vector", "_length", "_shard", "_floor"))
-    return first.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # a query that has not found k yet goes on to every shard
+    floored = common.stage(queries.join(floors, "vec_id", "left").withColumn("_floor", F.coalesce("_floor", F.lit(-(1 << 62)))), "floors")
+    others = reachable(floored, held, count, n).select("_row", "_shard").join(home.select("_row", "_shard"), ["_row", "_shard"], "left_anti")
+    others = common.stage(floored.join(others, "_row"), "other-queries")
+    return ranked(first.unionByName(search(dealt, others, k)))

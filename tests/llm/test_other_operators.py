@@ -199,15 +199,33 @@ def test_top_k_of_repeated_ids(spark, monkeypatch, shard_rows, copies):
 
 def test_shards_are_bounded_when_an_id_repeats(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 40)
-    dealt, deal = [], topk.deal
-    monkeypatch.setattr(topk, "deal", lambda *given: dealt.append(deal(*given)) or dealt[-1])
+    sizes, deal = [], topk.deal
+
+    def counted(*given):
+        dealt = deal(*given)
+        sizes.extend(r["count"] for r in dealt.groupBy("_shard").count().collect())
+        return dealt
+
+    monkeypatch.setattr(topk, "deal", counted)
     rows = [(3, [1.0, float(i % 20)]) for i in range(400)] + [(50, [1.0, 2.0])] * 100
     found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert sorted(tuple(r) for r in found) == expected_top_of_repeated(rows)
-    sizes = [r["count"] for r in dealt[0].groupBy("_shard").count().collect()]
     assert sum(sizes) == 500 and max(sizes) <= 80
 
 
+def test_queries_go_only_to_shards_within_reach(spark, monkeypatch):
+    """Far groups of vectors: the k-th score of the first shard shuts the others out."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    rng = np.random.default_rng(8)
+    rows = [(50 * i if i % 5 == 0 else 50 * i + 1, (rng.normal(size=3) * 0.1 + 10 * np.eye(3)[i % 3]).tolist()) for i in range(600)]
+    asked, search = [], topk.search
+    monkeypatch.setattr(topk, "search", lambda dealt, queries, k: asked.append((queries.count(), dealt.select("_shard").distinct().count())) or search(dealt, queries, k))
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(tuple(r) for r in found) == expected_top_of_repeated(rows)
+    (home, shards), (others, _) = asked
+    assert home == 120 and shards >= 12 and others < home * (shards - 1) / 2
+
+
 def test_top_k_of_one_leaf_with_copies(spark):
     rows = [(0, [5.0, 5.0])] * 6 + [(i, [i / 10, 1.0]) for i in range(1, 20)]
     found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
