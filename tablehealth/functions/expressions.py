@@ -30,6 +30,11 @@ def qualified(schema: Column, table: Column) -> Column:
     return F.concat_ws(".", schema, table)
 
 
+def relkind_label(relkind: Column) -> Column:
+    """How a kind of relation is shown."""
+    return F.when(relkind == "p", "partitioned").otherwise("table")
+
+
 def mask_secret(secret: Column) -> Column:
     return F.when(F.coalesce(secret, F.lit("")) == "", "").otherwise("********")
 

@@ -9,8 +9,6 @@ from tablehealth.functions import expressions as X
 from tablehealth.operators.history import union_all
 from tablehealth.sources.catalog import Catalog
 
-MAX_LEVELS = 100
-
 
 def object_tree(catalog: Catalog) -> DataFrame:
     """schema_name, table_name, relkind, full_name of user tables that are no partition of another."""
@@ -57,16 +55,17 @@ def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
     ``edges`` has parent and child, ``roots`` has node.  All roots are walked in one
     recursive query; a path longer than the recursion limit, so a cycle, is an error.
     """
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_hierarchy_edges")
-    roots.createOrReplaceTempView("_hierarchy_roots")
-    return spark.sql("""
+    return edges.sparkSession.sql(
+        """
         WITH RECURSIVE tree(root, node, level_no) AS (
-            SELECT node, node, 0 FROM _hierarchy_roots
+            SELECT node, node, 0 FROM {roots}
             UNION ALL
-            SELECT t.root, e.child, t.level_no + 1 FROM tree t JOIN _hierarchy_edges e ON e.parent = t.node
+            SELECT t.root, e.child, t.level_no + 1 FROM tree t JOIN {edges} e ON e.parent = t.node
         ) SELECT root, node, level_no FROM tree
-    """)
+        """,
+        edges=edges,
+        roots=roots,
+    )
 
 
 def hierarchy(edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -124,13 +124,17 @@ class JobLog:
         self.record(job_id, "stopping")
         self.spark.interruptTag(f"job-{job_id}")
 
+    def stopping(self, job_id: int) -> bool:
+        """Was the job asked to stop, by this process or, through the log, by another one?"""
+        return job_id in self._stop or not self.events(job_id).where(F.col("item_id").isNull() & (F.col("event") == "stopping")).isEmpty()
+
     def run(self, job_id: int, work: Callable[[SparkSession, str, str], object]) -> str:
         """Work through a job's items in this thread; one failure does not stop the rest."""
         self.spark.addTag(f"job-{job_id}")
         try:
             self.record(job_id, "running")
             for item in self.items(job_id):
-                if job_id in self._stop:
+                if self.stopping(job_id):
                     self.record(job_id, "skipped", item["id"], "Stopped by user")
                     continue
                 if not item["schema_name"] or not item["table_name"]:
@@ -142,7 +146,7 @@ class JobLog:
                     self.record(job_id, "done", item["id"])
                 except Exception as error:  # an item's failure is its state
                     self.record(job_id, "failed", item["id"], str(error).splitlines()[0])
-            end = "cancelled" if job_id in self._stop else "done"
+            end = "cancelled" if self.stopping(job_id) else "done"
             self.record(job_id, end)
             return end
         except Exception as error:  # so is a job's

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 
@@ -11,12 +12,18 @@ from pyspark.sql import functions as F
 from tablehealth.operators import skew
 from tablehealth.sources import catalog, segments
 
-DEFAULT_BUCKETS = 8
+#: A table is cut into so many bytes a file or bucket where no number is given, and into one of each at least.
+FILE_BYTES = 128 << 20
+# Fixed values.
 MAINTENANCE = ("analyze", "full", "freeze", "full_analyze", "freeze_analyze")
 
 
-def write_layout(df: DataFrame, table: str, kind: str, columns: list[str] | None = None, n: int = DEFAULT_BUCKETS, format_: str = "parquet") -> None:
-    """Write ``df`` as a new table: HASH buckets by ``columns``, RANDOM spreads rows, REPLICATED is one file."""
+def write_layout(df: DataFrame, table: str, kind: str, columns: list[str] | None = None, n: int = 8, format_: str = "parquet") -> None:
+    """Write ``df`` as a new table: HASH buckets by ``columns``, RANDOM spreads rows.
+
+    REPLICATED marks a small table that every reader takes whole; it lies in as many files
+    as its size needs.
+    """
     kind = kind.strip().upper()
     if kind == "HASH":
         if not columns:
@@ -25,13 +32,44 @@ def write_layout(df: DataFrame, table: str, kind: str, columns: list[str] | None
     elif kind == "RANDOM":
         df.repartition(n).write.format(format_).saveAsTable(table)
     elif kind == "REPLICATED":
-        df.coalesce(1).write.format(format_).saveAsTable(table)
+        df.repartition(n).write.format(format_).saveAsTable(table)
     else:
         raise ValueError(f"Unknown distribution type: {kind}")
     # one file alone does not tell a replicated table from a small one
     df.sparkSession.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('distribution' = '{kind}')")
 
 
+def parts_for(spark: SparkSession, table: str) -> int:
+    """Files or buckets for a table of its size."""
+    size = catalog.table_bytes(spark.table(table)).first()["total_bytes"]
+    return max(1, -(-size // FILE_BYTES))
+
+
+def recover(spark: SparkSession, table: str) -> str:
+    """Undo a swap that a lost driver left half done: "restored", "cleaned" or "nothing".
+
+    Where the table is gone, its old copy takes its place again; copies that are left over
+    go, the staged ones and the old ones of a swap that came through.
+    """
+    space, _, name = table.rpartition(".")
+    names = {t.name for t in (spark.catalog.listTables(space) if space else spark.catalog.listTables()) if not t.isTemporary}
+    left = sorted(n for n in names if re.fullmatch(re.escape(name) + "_(old|new)_[0-9a-f]{8}", n))
+    done = "nothing"
+    if name not in names and (old := [n for n in left if n.startswith(f"{name}_old_")]):
+        spark.sql(f"ALTER TABLE {_in(space, old[-1])} RENAME TO {table}")
+        left.remove(old[-1])
+        done = "restored"
+    if name in names or done == "restored":
+        for n in left:
+            spark.sql(f"DROP TABLE {_in(space, n)}")
+            done = "cleaned" if done == "nothing" else done
+    return done
+
+
+def _in(space: str, name: str) -> str:
+    return f"{space}.{name}" if space else name
+
+
 def _swap(spark: SparkSession, table: str, staging: str) -> None:
     """Put the staged table in the place of ``table``; the old one goes last."""
     old = f"{table}_old_{uuid.uuid4().hex[:8]}"
@@ -51,14 +89,16 @@ def _outcome(table: str, began: float, ok: bool, status: str, message: str, **mo
 def relayout(spark: SparkSession, table: str, kind: str, columns: list[str] | None = None, n: int | None = None) -> dict:
     """Rewrite a table under a new distribution; never raises.
 
-    Rows go to a staging table first, so a failure leaves the table as it was.
+    Rows go to a staging table first, so a failure leaves the table as it was; what an
+    earlier rewrite left half done is put right before.  One rewrite of a table at a time.
     """
     began, staging = time.time(), f"{table}_new_{uuid.uuid4().hex[:8]}"
     try:
+        recover(spark, table)
         info = catalog.describe(spark, table)
         if not info:
             return _outcome(table, began, False, "NOT_FOUND", "Table not found")
-        write_layout(spark.table(table), staging, kind, columns, n or info["buckets"] or DEFAULT_BUCKETS, info["provider"] or "parquet")
+        write_layout(spark.table(table), staging, kind, columns, n or info["buckets"] or parts_for(spark, table), info["provider"] or "parquet")
         _swap(spark, table, staging)
         return _outcome(table, began, True, "SUCCESS", "Layout applied", distribution=kind.strip().upper(), columns=list(columns or []))
     except Exception as error:  # the outcome carries the failure
@@ -92,21 +132,14 @@ def maintain(spark: SparkSession, table: str, kind: str) -> dict:
 
 
 def bucket_skew(spark: SparkSession, table: str) -> DataFrame:
-    """Physical skew of a bucketed table, by the bucket in the file names."""
-    return skew.analyze(spark.table(table), segments.by_bucket())
+    """Physical skew of a bucketed table over all its buckets, empty ones too, by the bucket in the file names."""
+    return skew.analyze(spark.table(table), segments.by_bucket(), catalog.describe(spark, table).get("buckets"))
 
 
 def column_statistics(spark: SparkSession, table: str) -> DataFrame:
     """attname, n_distinct, null_frac of an analysed table, in the shape of a statistics catalog."""
-    rows = []
-    count = spark.table(table).count()
-    for name in spark.table(table).columns:
-        info = {r["info_name"]: r["info_value"] for r in spark.sql(f"DESCRIBE EXTENDED {table} {name}").collect()}
-        if info.get("distinct_count") not in (None, "NULL") and count:
-            distinct = float(info["distinct_count"])
-            # as many values as rows is stated relative to the rows
-            rows.append((name, -1.0 if distinct >= count else distinct, float(info["num_nulls"]) / count))
-    return spark.createDataFrame(rows, "attname string, n_distinct double, null_frac double")
+    rows = catalog.size_and_rows(catalog.describe(spark, table).get("statistics"))[1]
+    return spark.createDataFrame(catalog.column_statistics(spark, table, rows), "attname string, n_distinct double, null_frac double")
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -350,6 +350,11 @@ def object_tree_rows(spark, sf_dir):
     return _tree(spark)
 
 
+@query(f"{_TREE} SELECT full_name, CASE relkind WHEN 'p' THEN 'partitioned' ELSE 'table' END AS label FROM tree")
+def object_tree_labels(spark, sf_dir):
+    return _tree(spark).select("full_name", X.relkind_label(F.col("relkind")).alias("label"))
+
+
 @query(f"{_TREE} SELECT schema_name AS schema, string_agg(table_name || ':' || relkind, ',' ORDER BY table_name) tables FROM tree GROUP BY 1")
 def object_tree_nested(spark, sf_dir):
     nested = hierarchy.nested_tree(_tree(spark))
@@ -408,7 +413,9 @@ def expanded_targets(spark, sf_dir):
     return hierarchy.expand(fixtures.frame(spark, "edges"), fixtures.frame(spark, "selected"))
 
 
-@query("SELECT 'dwh.fact' AS root, 'dwh.fact_1_a' AS node, 2 AS level_no")
+@query(f"""WITH RECURSIVE {fixtures.cte("relations", "namespaces", "inheritance")}, named AS (SELECT r.oid, n.nspname || '.' || r.relname full_name FROM relations r JOIN namespaces n ON n.oid = r.relnamespace),
+tree(node, level_no) AS (SELECT oid, 0 FROM named WHERE full_name = 'dwh.fact' UNION ALL SELECT i.inhrelid, t.level_no + 1 FROM tree t JOIN inheritance i ON i.inhparent = t.node)
+SELECT 'dwh.fact' AS root, full_name AS node, level_no FROM tree JOIN named ON oid = node WHERE node NOT IN (SELECT inhparent FROM inheritance)""")
 def partition_leaves(spark, sf_dir):
     return hierarchy.leaves(hierarchy.relation_edges(fixtures.as_catalog(spark)), _roots(spark, "dwh.fact"))
 
@@ -509,6 +516,32 @@ def layout_hash(spark, sf_dir):
     return layout.bucket_skew(spark, table)
 
 
+@query("SELECT count(*) AS total_rows, 8 AS segment_count, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders")
+def layout_rows_kept(spark, sf_dir):
+    """All rows and all declared buckets after a rewrite from random to hash."""
+    table = _scratch(spark)
+    layout.write_layout(_table(spark, sf_dir, "orders"), table, "RANDOM", n=3)
+    outcome = layout.relayout(spark, table, "HASH", ["o_orderkey"], 8)
+    if not outcome["ok"]:
+        raise RuntimeError(outcome["message"])
+    sums = spark.table(table).agg(F.sum("o_orderkey").alias("key_sum"))
+    return layout.bucket_skew(spark, table).select("total_rows", F.col("segment_count").cast("int").alias("segment_count")).join(sums, F.lit(True))
+
+
+@query("SELECT CASE WHEN count(*) = count(DISTINCT o_orderkey) THEN 'HASH' ELSE 'RANDOM' END AS recommendation_type, CASE WHEN count(*) = count(DISTINCT o_orderkey) THEN 'o_orderkey' END AS source_column, 'RANDOM' AS current_type, CAST(count(*) AS DOUBLE) AS row_estimate FROM orders")
+def recommendation_live(spark, sf_dir):
+    """A table of the session's own catalog, written and analysed, gets its distribution key by statistics and scan."""
+    table = _scratch(spark)
+    layout.write_layout(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), table, "RANDOM", n=3)
+    layout.maintain(spark, table, "analyze")
+    known = catalog.from_spark(spark)
+    own = known.relations.where(F.col("relname") == table.split(".")[-1])
+    known.relations = own.join(known.namespaces.where(F.col("nspname") == (table.split(".")[0] if "." in table else spark.catalog.currentDatabase())).select(F.col("oid").alias("relnamespace")), "relnamespace", "left_semi").select(*own.columns)
+    scanned = recommend.scan_tables(known, lambda s, t: spark.table(f"{s}.{t}"))
+    found = recommend.recommend(known, scanned).select("schema_name", "table_name", "recommendation_type", "source_column", "current_type")
+    return found.join(known.relations.select(F.col("relname").alias("table_name"), F.col("reltuples").alias("row_estimate")), "table_name").select("recommendation_type", "source_column", "current_type", "row_estimate")
+
+
 @query()
 def layout_random(spark, sf_dir):
     table = _scratch(spark)

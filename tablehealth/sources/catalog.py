@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,15 @@ SCHEMAS = {
 }
 
 
+#: Spark's type names in the vocabulary of the catalog relations.
+TYPES = {"tinyint": "int2", "smallint": "int2", "int": "int4", "bigint": "int8", "decimal": "numeric", "float": "float4", "double": "float8", "string": "text", "varchar": "varchar", "char": "bpchar", "date": "date", "timestamp": "timestamptz", "timestamp_ntz": "timestamp"}
+
+
+def type_name(spark_type: str) -> str:
+    """The catalog's name of a Spark type; other types keep theirs."""
+    return TYPES.get(spark_type.split("(")[0], spark_type)
+
+
 @dataclass
 class Catalog:
     """The relations that exploration and recommendation read."""
@@ -54,8 +64,30 @@ def describe(spark: SparkSession, table: str) -> dict:
     }
 
 
+def size_and_rows(statistics: str | None) -> tuple[int | None, float | None]:
+    """Bytes and rows out of a table's statistics text, null where it has none."""
+    found = {unit: int(n) for n, unit in re.findall(r"([0-9]+) (bytes|rows)", statistics or "")}
+    return found.get("bytes"), float(found["rows"]) if "rows" in found else None
+
+
+def column_statistics(spark: SparkSession, table: str, rows: float | None) -> list[tuple[str, float, float]]:
+    """(name, n_distinct, null_frac) of the analysed columns of a table with ``rows`` rows: metadata alone."""
+    found = []
+    for name in spark.table(table).columns if rows else ():
+        info = {r["info_name"]: r["info_value"] for r in spark.sql(f"DESCRIBE EXTENDED {table} `{name}`").collect()}
+        if info.get("distinct_count") not in (None, "NULL"):
+            distinct = float(info["distinct_count"])
+            # as many values as rows is stated relative to the rows
+            found.append((name, -1.0 if distinct >= rows else distinct, float(info["num_nulls"]) / rows))
+    return found
+
+
 def from_spark(spark: SparkSession) -> Catalog:
-    """The session catalog in the same shape: databases, tables, columns and bucketing."""
+    """The session catalog in the same shape: databases, tables with sizes, columns, statistics and bucketing.
+
+    Sizes, rows and column statistics are those that ANALYZE TABLE left, null without it.
+    Spark has no indexes.
+    """
     rows: dict[str, list[tuple]] = {name: [] for name in SCHEMAS}
     rows["access_methods"] = [(1, "parquet"), (2, "orc"), (3, "heap")]
     methods = {name: oid for oid, name in rows["access_methods"]}
@@ -71,10 +103,12 @@ def from_spark(spark: SparkSession) -> Catalog:
             name = f"{database.name}.{table.name}"
             info = describe(spark, name)
             kind = "v" if table.tableType == "VIEW" else "r"
-            rows["relations"].append((oid, table.name, space, kind, methods.get(info.get("provider") or ""), None, None))
+            size, count = size_and_rows(info.get("statistics"))
+            rows["relations"].append((oid, table.name, space, kind, methods.get(info.get("provider") or ""), count, size))
+            rows["column_stats"] += [(database.name, table.name, *x) for x in (column_statistics(spark, name, count) if kind == "r" else ())]
             columns = spark.catalog.listColumns(name)
             numbers = {c.name: i for i, c in enumerate(columns, 1)}
-            rows["attributes"] += [(oid, i, c.name, c.dataType, not c.nullable, False) for i, c in enumerate(columns, 1)]
+            rows["attributes"] += [(oid, i, c.name, type_name(c.dataType), not c.nullable, False) for i, c in enumerate(columns, 1)]
             rows["distribution"].append((oid, "r" if info.get("distribution") == "REPLICATED" else "p", [numbers[c] for c in info.get("columns", [])]))
     return Catalog.of(spark, rows)
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from tablehealth.functions import expressions as X
 from tablehealth.operators import hierarchy, layout, profile, recommend
 from tablehealth.plans import fixtures
-from tablehealth.sources import catalog
+from tablehealth import service
+from tablehealth.sources import catalog, store
 
 
 def test_distribution_key_parsing(spark):
@@ -118,3 +119,30 @@ def test_data_scan_tries_every_column_of_lineitem(spark, sf_dir, tmp_path):
     lines.withColumn("l_comment", F.concat(F.lit("line "), F.monotonically_increasing_id())).write.parquet(str(tmp_path / "lineitem.parquet"))
     found = {r.table_name: r.source_column for r in catalogue.queries()["unique_scan"](spark, str(tmp_path)).collect()}
     assert found == {"orders": "o_orderkey", "lineitem": "l_comment", "customer": "c_custkey", "supplier": "s_suppkey"}
+
+
+def test_a_swap_that_a_lost_driver_left_is_put_right(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS lost")
+    layout.write_layout(spark.range(40), "lost.t", "RANDOM", n=2)
+    assert layout.recover(spark, "lost.t") == "nothing"
+    spark.sql("ALTER TABLE lost.t RENAME TO lost.t_old_0123abcd")  # and then the driver went
+    layout.write_layout(spark.range(7), "lost.t_new_0123abce", "RANDOM", n=1)
+    assert layout.relayout(spark, "lost.t", "HASH", ["id"], 4)["ok"]
+    assert spark.table("lost.t").count() == 40 and [t.name for t in spark.catalog.listTables("lost") if not t.isTemporary] == ["t"]
+    layout.write_layout(spark.range(3), "lost.t_old_0123abcf", "RANDOM", n=1)
+    assert layout.recover(spark, "lost.t") == "cleaned" and spark.table("lost.t").count() == 40
+
+
+def test_catalog_of_the_session_has_sizes_types_and_statistics(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS live")
+    layout.write_layout(spark.range(500).selectExpr("id AS a", "id % 3 AS b", "CAST(id AS DECIMAL(9, 2)) AS c"), "live.t", "RANDOM", n=2)
+    assert catalog.from_spark(spark).column_stats.where("tablename = 't' AND schemaname = 'live'").isEmpty()
+    layout.maintain(spark, "live.t", "analyze")
+    found = catalog.from_spark(spark)
+    row = found.relations.where("relname = 't'").join(found.namespaces.where("nspname = 'live'"), found.relations.relnamespace == found.namespaces.oid).first()
+    assert row.reltuples == 500 and row.total_bytes > 0
+    stats = {r.attname: (r.n_distinct, r.null_frac) for r in found.column_stats.where("schemaname = 'live'").collect()}
+    assert set(stats) == {"a", "b", "c"} and stats["b"] == (3.0, 0.0)
+    assert {r.typname for r in found.attributes.where("attname = 'c'").collect()} >= {"numeric"}
+    status, reply = service.Service(spark, store.Store(spark, str(tmp_path)), lambda: found).recommendation("live", "t")
+    assert (status, reply["recommendation_type"]) == (200, "HASH") and reply["source_column"] in ("a", "c")

@@ -124,3 +124,16 @@ def test_stream_follows_the_log(spark, store, tmp_path):
         time.sleep(0.2)
     query.stop()
     assert seen[-1] == ["done", "queued"]
+
+
+def test_a_stop_that_another_process_asked_for(spark, tmp_path):
+    store = stores.Store(spark, str(tmp_path / "shared"))
+    store.bootstrap()
+    log, other = jobs.JobLog(store), jobs.JobLog(store)
+    job, done = log.submit("skew", [("s", "a"), ("s", "b")]), []
+
+    def work(spark, schema, table):
+        done.append(table)
+        other.record(job, "stopping")
+
+    assert log.run(job, work) == "cancelled" and done == ["a"]
