@@ -97,6 +97,28 @@ def fits(df: DataFrame, limit: int | None = None) -> bool:
     return df.count() * row_bytes(df) <= (broadcast_limit(df.sparkSession) if limit is None else limit)
 
 
+#: What the bitmap of ``thin`` takes at most.
+FILTER_BYTES = 16 << 20
+
+
+def thin(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``df`` without most of the rows that have no partner in the staged ``keys``: a shuffled join then moves few rows in vain.
+
+    A broadcast bitmap of 32 bits or more a key, up to ``FILTER_BYTES``, never leaves out a
+    row with a partner.  Keys so many that they would fill half of it go without one.
+    """
+    many = keys.count()
+    bits = 1 << min(max(15, (32 * many).bit_length()), (8 * FILTER_BYTES).bit_length() - 1)
+    if 2 * many > bits:
+        return df
+    bit = F.xxhash64(*on).bitwiseAND(bits - 1)
+    page, place = F.floor(bit / (1 << 15)), bit.bitwiseAND((1 << 15) - 1)
+    dealt = keys.select(page.alias("_page"), place.alias("_place")).repartition("_page")
+    bitmaps = dealt.groupBy("_page").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    return df.join(F.broadcast(bitmaps), (page == F.col("_page")) & (F.getbit(byte, place.bitwiseAND(7).cast("int")) == 1), "left_semi")
+
+
 #: In the place of a null doc_id: larger than any other.
 LAST_ID = (1 << 63) - 1
 

@@ -89,7 +89,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _texts_of(docs: DataFrame, numbered: DataFrame) -> DataFrame:
     """id and text of each row of ``numbered``, in an order that a rerun repeats."""
     near = common.fits(numbered)
-    found = _keyed(docs).join(F.broadcast(numbered) if near else numbered, common.ROW)
+    keyed = _keyed(docs)
+    found = keyed.join(F.broadcast(numbered), common.ROW) if near else common.thin(keyed, numbered, common.ROW).join(numbered, common.ROW)
     return (found if near else found.sortWithinPartitions(*common.ROW)).dropDuplicates(["id"]).select("id", "text")
 
 

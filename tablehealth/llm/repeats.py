@@ -141,7 +141,8 @@ def cuts(docs: DataFrame, rule: Rule) -> DataFrame:
 def _cuts(docs: DataFrame, rule: Rule) -> DataFrame:
     every = blocks(docs, rule)
     anchors = common.stage(_repeated(every.groupBy("anchor"), rule).select("anchor"), "anchors")
-    held = common.stage(every.join(common.small(anchors), "anchor", "left_semi"), "blocks")
+    held = every.join(F.broadcast(anchors), "anchor", "left_semi") if common.fits(anchors) else common.thin(every, anchors, ["anchor"]).join(anchors, "anchor", "left_semi")
+    held = common.stage(held, "blocks")
 
     spans = held.groupBy("anchor", "h0", "h1").agg(
         F.count(F.lit(1)).alias("weight"), F.min(F.struct("_doc", "_key", "at", "n", "mid", "bytes")).alias("first"), F.max("_doc").alias("_high")
@@ -195,7 +196,9 @@ def _cut_out(docs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     the anchor, in buckets by what all windows at these distances hold.
     """
     wanted = common.stage(reps.groupBy(*common.ROW).agg(F.collect_list(F.struct("at", "n", "mid", "anchor", "weight", "hot")).alias("spans")), "wanted")
-    texts = keyed(docs).join(common.small(wanted.select(*common.ROW)), common.ROW, "left_semi").dropDuplicates(common.ROW)
+    ids, texts = wanted.select(*common.ROW), keyed(docs)
+    texts = texts.join(F.broadcast(ids), common.ROW, "left_semi") if common.fits(ids) else common.thin(texts, ids, common.ROW).join(ids, common.ROW, "left_semi")
+    texts = texts.dropDuplicates(common.ROW)
 
     def parts(own: dict, items: np.ndarray):
         """(b0, b1, skip, mid, windows) of each part of a span."""

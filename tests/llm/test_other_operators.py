@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablehealth.llm import catalogue, licences, mixing, topk, toxicity
+from tablehealth.llm import catalogue, common, licences, mixing, topk, toxicity
 from tests.llm import brute
 
 
@@ -23,8 +23,6 @@ def test_targets_share_everything_within_their_limits(spark):
 
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_schedule_ranks_and_shares(spark, monkeypatch, broadcast):
-    from tablehealth.llm import common
-
     if not broadcast:
         monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     shares, low = [5, 0, 2, 1], 0
@@ -487,7 +485,6 @@ def test_oracle_sql_agrees(spark, sf_dir):
 
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
-    from tablehealth.llm import common
 
     docs = common.documents(spark, sf_dir)
     columns = docs.columns
@@ -499,3 +496,19 @@ def test_pipeline(spark, sf_dir):
             assert docs.columns == columns
     assert counts[0] >= counts[1] >= counts[2] > 0
     assert docs.groupBy("sequence_id").agg({"length": "sum"}).agg({"sum(length)": "max"}).first()[0] <= 1024
+
+
+def test_thin_keeps_every_row_with_a_partner_and_few_others(spark):
+    rows = spark.range(200_000).withColumn("more", F.col("id") % 7)
+    keys = common.stage(spark.range(0, 200_000, 40).withColumn("more", F.col("id") % 7), "thin-keys")
+    kept = common.thin(rows, keys, ["id", "more"])
+    assert kept.join(keys, ["id", "more"], "left_semi").count() == 5_000
+    assert kept.count() < 5_000 + 195_000 * 0.05
+    none = common.stage(keys.limit(0), "thin-none")
+    assert common.thin(rows, none, ["id", "more"]).count() == 0
+
+
+def test_thin_goes_without_a_bitmap_that_would_be_half_full(spark, monkeypatch):
+    monkeypatch.setattr(common, "FILTER_BYTES", 1 << 12)
+    keys = common.stage(spark.range(20_000), "thin-many")
+    assert common.thin(spark.range(50_000), keys, ["id"]).count() == 50_000
