@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tablehealth.llm import byte_dedup, encode, jaccard, licences, mixing, packing, quality, substring_dedup, token_files, topk, toxicity
+from pyspark.sql import functions as F
+
+from tablehealth.llm import bpe_tree, byte_dedup, encode, jaccard, licences, mixing, packing, periodic, quality, substring_dedup, token_files, topk, toxicity, whitening
 from tablehealth.llm.common import documents
 
 
@@ -66,6 +68,23 @@ def op9_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), encode.vocabulary_path("byte_bpe_50k.json"))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    """Deviation, whitened coordinates and explained variance of every vector, for eight components."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    """Periodic runs of every document, a tenth of them with planted endings, and the text without repeats."""
+    return periodic.digest(periodic.collapse(periodic.planted(documents(spark, sf_dir))))
+
+
+def op13_bpe_round_trip(spark, sf_dir):
+    """Ids of every document and the text they decode to, as checksums."""
+    path = encode.vocabulary_path("word_bpe_49k.json")
+    decoded = bpe_tree.decode(bpe_tree.encode_documents(documents(spark, sf_dir), path), path)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries():
     return {
         "op1_token_files": op1_token_files,
@@ -78,6 +97,9 @@ def queries():
         "op8_licence_scan": op8_licence_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_bpe_round_trip": op13_bpe_round_trip,
     }
 
 
