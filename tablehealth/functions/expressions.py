@@ -12,6 +12,7 @@ JOB_OPEN = ("queued", "running", "stopping")
 ITEM_OPEN = ("queued", "running")
 FINAL = ("done", "failed", "cancelled", "interrupted", "skipped")
 INTERRUPTED_MESSAGE = "Application restarted while job was running"
+INTERRUPTED_ITEM_MESSAGE = "Application restarted while item was running"
 STORAGE = {"heap": "HEAP", "ao_row": "AO", "ao_column": "AOCO"}
 UNIQUE_TYPES = ("int2", "int4", "int8", "numeric", "float4", "float8", "text", "varchar", "bpchar", "date", "timestamp", "timestamptz", "uuid")
 SYSTEM_SCHEMAS = ("pg_catalog", "information_schema", "gp_toolkit", "pg_toast")
@@ -39,6 +40,11 @@ def mask_secret(secret: Column) -> Column:
     return F.when(F.coalesce(secret, F.lit("")) == "", "").otherwise("********")
 
 
+def if_blank(message: Column, text: str) -> Column:
+    """The message, or ``text`` where there is none."""
+    return F.when(F.coalesce(message, F.lit("")) == "", text).otherwise(message)
+
+
 def percent(part: Column, whole: Column) -> Column:
     """Two decimals; 0 of nothing is 0."""
     return F.when(whole > 0, F.round(part * F.lit(100.0) / whole, 2)).otherwise(0.0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablehealth.functions import expressions as X
 from tablehealth.operators.history import union_all
 from tablehealth.sources.catalog import Catalog
+from tablehealth.sources.files import keep, staging
 
 
 def object_tree(catalog: Catalog) -> DataFrame:
@@ -17,7 +18,7 @@ def object_tree(catalog: Catalog) -> DataFrame:
         spaces = spaces.where(~F.col("nspname").like(pattern))
     tables = catalog.relations.where(F.col("relkind").isin("r", "p"))
     tops = tables.join(catalog.inheritance, F.col("oid") == F.col("inhrelid"), "left_anti")
-    named = tops.join(F.broadcast(spaces.select(F.col("oid").alias("_space"), "nspname")), F.col("relnamespace") == F.col("_space"))
+    named = tops.join(spaces.select(F.col("oid").alias("_space"), "nspname"), F.col("relnamespace") == F.col("_space"))
     return named.select(F.col("nspname").alias("schema_name"), F.col("relname").alias("table_name"), "relkind", X.qualified(F.col("nspname"), F.col("relname")).alias("full_name"))
 
 
@@ -49,23 +50,44 @@ def tri_state(selection: DataFrame, *by: str) -> DataFrame:
     return grouped.agg(X.tri_state(F.col("checked")).alias("state"), F.count_if(F.col("checked").cast("boolean")).alias("selected"))
 
 
+class CycleError(ValueError):
+    """Edges that lead back to where they came from; ``nodes`` are some of those involved."""
+
+    def __init__(self, nodes: list[str]):
+        super().__init__(f"cycle among {', '.join(nodes)}")
+        self.nodes = nodes
+
+
 def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """root, node, level_no: everything below the roots, level by level.
+    """root, node, level_no: everything below the roots; a node that paths of one length reach is there once.
 
-    ``edges`` has parent and child, ``roots`` has node.  All roots are walked in one
-    recursive query; a path longer than the recursion limit, so a cycle, is an error.
+    ``edges`` has parent and child, ``roots`` has node.  Pointers are doubled: round k knows
+    all nodes within 2**k steps of the roots and all pairs 2**k steps apart, so a hierarchy
+    of any depth takes as many rounds as its depth has bits.  Each round is staged.  Where
+    paths are longer than there are edges they run in a circle, which is a CycleError.
     """
-    return edges.sparkSession.sql(
-        """
-        WITH RECURSIVE tree(root, node, level_no) AS (
-            SELECT node, node, 0 FROM {roots}
-            UNION ALL
-            SELECT t.root, e.child, t.level_no + 1 FROM tree t JOIN {edges} e ON e.parent = t.node
-        ) SELECT root, node, level_no FROM tree
-        """,
-        edges=edges,
-        roots=roots,
-    )
+    spark = edges.sparkSession
+    with staging(spark, "walk") as stage:
+        apart = stage(edges.select("parent", "child").distinct())
+        most = apart.count()
+        found = stage(roots.select(F.col("node").alias("root"), "node").distinct().withColumn("level_no", F.lit(0)))
+        steps = 1
+        while not apart.isEmpty():
+            if steps > most:
+                raise CycleError(_circle(apart))
+            further = found.join(apart, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node"), (F.col("level_no") + steps).alias("level_no")).distinct()
+            found = stage(found.unionByName(further))
+            left, right = apart, apart.select(F.col("parent").alias("_middle"), F.col("child").alias("_end"))
+            apart = stage(left.join(right, F.col("child") == F.col("_middle")).select("parent", F.col("_end").alias("child")).distinct())
+            steps *= 2
+        # the staged rows go when this function ends: what leaves it is checkpointed beside them
+        return keep(found)
+
+
+def _circle(apart: DataFrame) -> list[str]:
+    """Nodes that endless paths both lead to and come from."""
+    both = apart.select(F.col("parent").alias("node")).distinct().join(apart.select(F.col("child").alias("node")).distinct(), "node", "left_semi")
+    return [r["node"] for r in both.orderBy("node").limit(20).collect()]
 
 
 def hierarchy(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -92,7 +114,7 @@ def expand(edges: DataFrame, selected: DataFrame) -> DataFrame:
 def relation_edges(catalog: Catalog) -> DataFrame:
     """Partition edges between qualified names."""
     spaces = catalog.namespaces.select(F.col("oid").alias("_space"), "nspname")
-    names = catalog.relations.join(F.broadcast(spaces), F.col("relnamespace") == F.col("_space")).select("oid", X.qualified(F.col("nspname"), F.col("relname")).alias("name"))
+    names = catalog.relations.join(spaces, F.col("relnamespace") == F.col("_space")).select("oid", X.qualified(F.col("nspname"), F.col("relname")).alias("name"))
     parent, child = (names.select(F.col("oid").alias(f"_{k}"), F.col("name").alias(k)) for k in ("parent", "child"))
     return catalog.inheritance.join(parent, F.col("inhparent") == F.col("_parent")).join(child, F.col("inhrelid") == F.col("_child")).select("parent", "child")
 

@@ -1,7 +1,8 @@
 """Jobs as an event log: states, progress, durations, cancellation and recovery are derived.
 
-Events of a job have a null item_id.  The last event by ``seq`` wins, except that a job
-once cancelled is not done.
+Events of a job have a null item_id.  States are a fold of the events in the order of
+``seq`` through guarded transitions (``machine``): a job once cancelled is not done, a job
+that ended is not asked to stop, and only what is open is interrupted.
 """
 
 from __future__ import annotations
@@ -9,12 +10,19 @@ from __future__ import annotations
 import threading
 import time
 from collections.abc import Callable, Iterable
+from itertools import batched
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablehealth.functions import expressions as X
-from tablehealth.sources.store import Store
+from tablehealth.operators import machine
+from tablehealth.sources.files import Leases
+from tablehealth.sources.store import Store, now
+
+#: Rows that one commit carries in the log; commits of events beyond which a job compacts them at its end.
+ROWS_A_COMMIT = 10_000
+MOST_COMMITS = 200
 
 
 def latest_state(events: DataFrame, *key: str, order: tuple[str, ...] = ("seq",)) -> DataFrame:
@@ -27,20 +35,16 @@ def latest_state(events: DataFrame, *key: str, order: tuple[str, ...] = ("seq",)
 def item_states(events: DataFrame) -> DataFrame:
     """job_id, item_id, status, started_at, finished_at, duration_seconds, message."""
     items = events.where(F.col("item_id").isNotNull())
-    last = F.max(F.struct("seq", "event", "at", "message"))
-    folded = items.groupBy("job_id", "item_id").agg(last.alias("l"), F.max(F.when(F.col("event") == "running", F.col("at"))).alias("started_at"))
-    final = F.col("l.event").isin(*X.FINAL)
-    ended = F.when(final, F.col("l.at"))
-    return folded.select("job_id", "item_id", F.col("l.event").alias("status"), "started_at", ended.alias("finished_at"), X.seconds_between(F.col("started_at"), ended).alias("duration_seconds"), F.col("l.message").alias("message"))
+    folded = machine.fold(items, machine.ITEM, ["job_id", "item_id"], ["seq"], ("at", "message"), times={"started_at": (F.max, "running", "at")})
+    ended = F.when(F.col("status").isin(*X.FINAL), F.col("at"))
+    return folded.select("job_id", "item_id", "status", "started_at", ended.alias("finished_at"), X.seconds_between(F.col("started_at"), ended).alias("duration_seconds"), "message")
 
 
 def job_states(events: DataFrame) -> DataFrame:
-    """job_id, status, started_at, finished_at, message."""
+    """job_id, status, started_at, finished_at, message, rejected: events that the state at their time refused."""
     own = events.where(F.col("item_id").isNull())
-    cancelled = F.max(F.col("event") == "cancelled")
-    folded = own.groupBy("job_id").agg(F.max(F.struct("seq", "event", "at", "message")).alias("l"), F.min(F.when(F.col("event") == "running", F.col("at"))).alias("started_at"), cancelled.alias("_cancelled"))
-    status = F.when(F.col("_cancelled") & (F.col("l.event") == "done"), "cancelled").otherwise(F.col("l.event"))
-    return folded.select("job_id", status.alias("status"), "started_at", F.when(F.col("l.event").isin(*X.FINAL), F.col("l.at")).alias("finished_at"), F.col("l.message").alias("message"))
+    folded = machine.fold(own, machine.JOB, ["job_id"], ["seq"], ("at", "message"), times={"started_at": (F.min, "running", "at")})
+    return folded.select("job_id", "status", "started_at", F.when(F.col("status").isin(*X.FINAL), F.col("at")).alias("finished_at"), "message", "rejected")
 
 
 def progress(items: DataFrame, by: str = "job_id") -> DataFrame:
@@ -69,7 +73,7 @@ def newest(jobs: DataFrame) -> DataFrame:
 def recover(states: DataFrame, open_states: tuple[str, ...] = X.JOB_OPEN) -> DataFrame:
     """States after a restart: what was open is interrupted; a message that is there stays."""
     open_ = F.col("status").isin(*open_states)
-    message = F.when(F.coalesce("message", F.lit("")) == "", X.INTERRUPTED_MESSAGE).otherwise(F.col("message"))
+    message = X.if_blank(F.col("message"), X.INTERRUPTED_MESSAGE)
     return states.withColumn("message", F.when(open_, message).otherwise(F.col("message"))).withColumn("status", F.when(open_, "interrupted").otherwise(F.col("status")))
 
 
@@ -82,11 +86,14 @@ class JobLog:
     """Runs jobs item by item and appends what happens to the store.
 
     Stopping is cooperative between items and interrupts the Spark work of the item that
-    runs; items not reached are skipped and the job ends cancelled.
+    runs; items not reached are skipped and the job ends cancelled.  A running job is held
+    by a lease: no other driver runs it too, or declares it interrupted, until that expires.
+    Events are rows of the commit log, so recording one starts no Spark job.
     """
 
-    def __init__(self, store: Store):
+    def __init__(self, store: Store, lease_seconds: float = 60.0):
         self.store, self.spark = store, store.spark
+        self.leases = Leases(store.spark, f"{store.path}/_leases", lease_seconds)
         self._lock, self._stop, self._seq = threading.Lock(), set(), time.time_ns()
 
     def _next(self) -> int:
@@ -94,23 +101,29 @@ class JobLog:
             self._seq = max(self._seq + 1, time.time_ns())
             return self._seq
 
-    def record(self, job_id: int, event: str, item_id: int | None = None, message: str | None = None) -> None:
-        row = self.spark.createDataFrame([(job_id, item_id, self._next(), event, message)], "job_id long, item_id long, seq long, event string, message string")
-        self.store.append("job_events", row.withColumn("at", F.localtimestamp()))
+    def _event(self, job_id: int, event: str, item_id: int | None = None, message: str | None = None) -> dict:
+        return {"job_id": job_id, "item_id": item_id, "seq": self._next(), "event": event, "message": message, "at": now()}
+
+    def record(self, job_id: int, event: str, item_id: int | None = None, message: str | None = None) -> str:
+        return self.store.commit(rows={"job_events": [self._event(job_id, event, item_id, message)]})
 
     def submit(self, job_type: str, items: Iterable[tuple[str, str]], config: dict | None = None, action: str | None = None) -> int:
-        """Append a job and its items, queued; returns the job's id."""
+        """Append a job and its items, queued; returns the job's id.
+
+        The job itself comes with the last of its items: until then nobody sees it.
+        """
         import json
 
-        job_id, items = self._next(), list(items)
-        job = self.spark.createDataFrame([(job_id, job_type, json.dumps(config or {}, ensure_ascii=False))], "id long, job_type string, config_json string")
-        self.store.append("jobs", job.withColumn("created_at", F.localtimestamp()))
-        if items:
-            rows = [(self._next(), job_id, s, t, action or job_type) for s, t in items]
-            self.store.append("job_items", self.spark.createDataFrame(rows, "id long, job_id long, schema_name string, table_name string, action string"))
-            queued = self.spark.createDataFrame([(job_id, r[0], self._next(), "queued") for r in rows], "job_id long, item_id long, seq long, event string")
-            self.store.append("job_events", queued.withColumn("at", F.localtimestamp()))
-        self.record(job_id, "queued")
+        job_id = self._next()
+        job = {"id": job_id, "job_type": job_type, "config_json": json.dumps(config or {}, ensure_ascii=False), "created_at": now()}
+        parts = list(batched(items, ROWS_A_COMMIT)) or [()]
+        for i, part in enumerate(parts):
+            rows = [{"id": self._next(), "job_id": job_id, "schema_name": s, "table_name": t, "action": action or job_type} for s, t in part]
+            commit = {"job_items": rows, "job_events": [self._event(job_id, "queued", r["id"]) for r in rows]}
+            if i + 1 == len(parts):
+                commit["jobs"] = [job]
+                commit["job_events"] = commit["job_events"] + [self._event(job_id, "queued")]
+            self.store.commit(rows={t: r for t, r in commit.items() if r})
         return job_id
 
     def items(self, job_id: int) -> list:
@@ -124,37 +137,66 @@ class JobLog:
         self.record(job_id, "stopping")
         self.spark.interruptTag(f"job-{job_id}")
 
-    def stopping(self, job_id: int) -> bool:
-        """Was the job asked to stop, by this process or, through the log, by another one?"""
-        return job_id in self._stop or not self.events(job_id).where(F.col("item_id").isNull() & (F.col("event") == "stopping")).isEmpty()
+    def stopping(self, job_id: int, since: str = "") -> bool:
+        """Was the job asked to stop, by this process or, through the log, by another one?
+
+        The log's own rows answer, those after the commit ``since``; Spark is asked only where
+        they were compacted meanwhile.
+        """
+        if job_id in self._stop:
+            return True
+        recent = self.store.recent("job_events", since)
+        if recent is None:
+            return not self.events(job_id).where(F.col("item_id").isNull() & (F.col("event") == "stopping")).isEmpty()
+        return any(r["job_id"] == job_id and r["item_id"] is None and r["event"] == "stopping" for r in recent)
 
     def run(self, job_id: int, work: Callable[[SparkSession, str, str], object]) -> str:
-        """Work through a job's items in this thread; one failure does not stop the rest."""
-        self.spark.addTag(f"job-{job_id}")
-        try:
-            self.record(job_id, "running")
-            for item in self.items(job_id):
-                if self.stopping(job_id):
-                    self.record(job_id, "skipped", item["id"], "Stopped by user")
-                    continue
-                if not item["schema_name"] or not item["table_name"]:
-                    self.record(job_id, "failed", item["id"], "schema_name and table_name are required")
-                    continue
-                self.record(job_id, "running", item["id"])
-                try:
-                    work(self.spark, item["schema_name"], item["table_name"])
-                    self.record(job_id, "done", item["id"])
-                except Exception as error:  # an item's failure is its state
-                    self.record(job_id, "failed", item["id"], str(error).splitlines()[0])
-            end = "cancelled" if self.stopping(job_id) else "done"
-            self.record(job_id, end)
-            return end
-        except Exception as error:  # so is a job's
-            self.record(job_id, "failed", message=str(error).splitlines()[0])
-            return "failed"
-        finally:
-            self._stop.discard(job_id)
-            self.spark.removeTag(f"job-{job_id}")
+        """Work through a job's items in this thread; one failure does not stop the rest.
+
+        "taken" if another driver runs the job, "lost" if this one's lease ran out meanwhile:
+        then another driver may have the job, and nothing more is recorded.
+        """
+        with self.leases.held(f"job-{job_id}") as lease:
+            if lease is None:
+                return "taken"
+            self.spark.addTag(f"job-{job_id}")
+            try:
+                return self._run(job_id, work, lease)
+            except Exception as error:  # a job's failure is its state
+                self.record(job_id, "failed", message=str(error).splitlines()[0])
+                return "failed"
+            finally:
+                self._stop.discard(job_id)
+                self.spark.removeTag(f"job-{job_id}")
+
+    def _run(self, job_id: int, work: Callable[[SparkSession, str, str], object], lease) -> str:
+        finished = {r["item_id"] for r in item_states(self.events(job_id)).where(F.col("status").isin("done", "failed", "skipped")).select("item_id").collect()}
+        since = self.record(job_id, "running")
+        for item in self.items(job_id):
+            if lease.lost:
+                return "lost"
+            if item["id"] in finished:  # before a restart
+                continue
+            if self.stopping(job_id, since):
+                self.record(job_id, "skipped", item["id"], "Stopped by user")
+                continue
+            if not item["schema_name"] or not item["table_name"]:
+                self.record(job_id, "failed", item["id"], "schema_name and table_name are required")
+                continue
+            self.record(job_id, "running", item["id"])
+            try:
+                work(self.spark, item["schema_name"], item["table_name"])
+                event = ("done", item["id"])
+            except Exception as error:  # an item's failure is its state
+                event = ("failed", item["id"], str(error).splitlines()[0])
+            if lease.lost:
+                return "lost"
+            self.record(job_id, *event)
+        end = "cancelled" if self.stopping(job_id, since) else "done"
+        self.record(job_id, end)
+        if self.store.commits("job_events") > MOST_COMMITS:
+            self.store.compact("job_events")
+        return end
 
     def start(self, job_id: int, work: Callable[[SparkSession, str, str], object]) -> threading.Thread:
         from pyspark import InheritableThread
@@ -172,11 +214,23 @@ class JobLog:
         return jobs.join(job_states(self.events()), "job_id").join(progress(item_states(self.events())), "job_id", "left")
 
     def recover(self) -> list[int]:
-        """After a restart: open jobs and items become interrupted; returns the jobs' ids."""
-        open_jobs = [r["job_id"] for r in job_states(self.events()).where(F.col("status").isin(*X.JOB_OPEN)).select("job_id").collect()]
-        if open_jobs:
-            items = item_states(self.events()).where(F.col("status").isin(*X.ITEM_OPEN) & F.col("job_id").isin(open_jobs)).select("job_id", "item_id", "message")
-            jobs = job_states(self.events()).where(F.col("job_id").isin(open_jobs)).select("job_id", F.lit(None).cast("long").alias("item_id"), "message")
-            message = F.when(F.coalesce("message", F.lit("")) == "", X.INTERRUPTED_MESSAGE).otherwise(F.col("message"))
-            self.store.append("job_events", items.unionByName(jobs).withColumn("message", message).withColumn("event", F.lit("interrupted")).withColumn("seq", F.lit(self._next())).withColumn("at", F.localtimestamp()))
-        return sorted(open_jobs)
+        """After a restart: open jobs and items become interrupted; returns the jobs' ids.
+
+        A job that another driver holds is running, not lost, and stays as it is; of several
+        drivers that recover at once one interrupts a job.
+        """
+        open_ = job_states(self.events()).where(F.col("status").isin(*X.JOB_OPEN)).select("job_id", "message").collect()
+        found = []
+        for job in open_:
+            with self.leases.held(f"job-{job['job_id']}") as lease:
+                if lease is None:
+                    continue
+                own = self.events(job["job_id"])
+                if job_states(own).where(F.col("status").isin(*X.JOB_OPEN)).isEmpty():
+                    continue
+                items = item_states(own).where(F.col("status").isin(*X.ITEM_OPEN)).select("item_id", "message").collect()
+                rows = [self._event(job["job_id"], "interrupted", i["item_id"], i["message"] or X.INTERRUPTED_ITEM_MESSAGE) for i in items]
+                rows.append(self._event(job["job_id"], "interrupted", None, job["message"] or X.INTERRUPTED_MESSAGE))
+                self.store.commit(rows={"job_events": rows})
+                found.append(job["job_id"])
+        return sorted(found)

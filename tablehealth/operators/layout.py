@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tablehealth.operators import skew
 from tablehealth.sources import catalog, segments
+from tablehealth.sources.files import Leases, shared_path, staging
 
 #: A table is cut into so many bytes a file or bucket where no number is given, and into one of each at least.
 FILE_BYTES = 128 << 20
@@ -18,13 +19,20 @@ FILE_BYTES = 128 << 20
 MAINTENANCE = ("analyze", "full", "freeze", "full_analyze", "freeze_analyze")
 
 
-def write_layout(df: DataFrame, table: str, kind: str, columns: list[str] | None = None, n: int = 8, format_: str = "parquet") -> None:
+def claims(spark: SparkSession) -> Leases:
+    """Who rewrites which table: one rewrite at a time, also of several drivers."""
+    return Leases(spark, shared_path(spark, "_table_leases"))
+
+
+def write_layout(df: DataFrame, table: str, kind: str, columns: list[str] | None = None, n: int | None = None, format_: str = "parquet") -> None:
     """Write ``df`` as a new table: HASH buckets by ``columns``, RANDOM spreads rows.
 
+    Without ``n`` the files that ``df`` reads say how many files or buckets there are.
+
     REPLICATED marks a small table that every reader takes whole; it lies in as many files
     as its size needs.
     """
-    kind = kind.strip().upper()
+    kind, n = kind.strip().upper(), n or max(1, -(-sum(catalog.file_sizes(df).values()) // FILE_BYTES))
     if kind == "HASH":
         if not columns:
             raise ValueError("HASH distribution requires columns")
@@ -49,7 +57,8 @@ def recover(spark: SparkSession, table: str) -> str:
     """Undo a swap that a lost driver left half done: "restored", "cleaned" or "nothing".
 
     Where the table is gone, its old copy takes its place again; copies that are left over
-    go, the staged ones and the old ones of a swap that came through.
+    go, the staged ones and the old ones of a swap that came through.  Only for those who
+    hold the table's lease: another driver's staged copy is no leftover.
     """
     space, _, name = table.rpartition(".")
     names = {t.name for t in (spark.catalog.listTables(space) if space else spark.catalog.listTables()) if not t.isTemporary}
@@ -92,18 +101,95 @@ def relayout(spark: SparkSession, table: str, kind: str, columns: list[str] | No
     Rows go to a staging table first, so a failure leaves the table as it was; what an
     earlier rewrite left half done is put right before.  One rewrite of a table at a time.
     """
-    began, staging = time.time(), f"{table}_new_{uuid.uuid4().hex[:8]}"
-    try:
-        recover(spark, table)
-        info = catalog.describe(spark, table)
-        if not info:
-            return _outcome(table, began, False, "NOT_FOUND", "Table not found")
-        write_layout(spark.table(table), staging, kind, columns, n or info["buckets"] or parts_for(spark, table), info["provider"] or "parquet")
-        _swap(spark, table, staging)
-        return _outcome(table, began, True, "SUCCESS", "Layout applied", distribution=kind.strip().upper(), columns=list(columns or []))
-    except Exception as error:  # the outcome carries the failure
-        spark.sql(f"DROP TABLE IF EXISTS {staging}")
-        return _outcome(table, began, False, "FAILED", str(error).splitlines()[0], distribution=kind, columns=list(columns or []))
+    began = time.time()
+    with claims(spark).held(_claim(spark, table)) as lease:
+        if lease is None:
+            return _outcome(table, began, False, "FAILED", "Table is being rewritten", distribution=kind, columns=list(columns or []))
+        staged = f"{table}_new_{uuid.uuid4().hex[:8]}"
+        try:
+            recover(spark, table)
+            info = catalog.describe(spark, table)
+            if not info:
+                return _outcome(table, began, False, "NOT_FOUND", "Table not found")
+            write_layout(spark.table(table), staged, kind, columns, n or info["buckets"] or parts_for(spark, table), info["provider"] or "parquet")
+            if lease.lost:
+                raise RuntimeError("The claim on the table ran out")
+            _swap(spark, table, staged)
+            return _outcome(table, began, True, "SUCCESS", "Layout applied", distribution=kind.strip().upper(), columns=list(columns or []))
+        except Exception as error:  # the outcome carries the failure
+            spark.sql(f"DROP TABLE IF EXISTS {staged}")
+            return _outcome(table, began, False, "FAILED", str(error).splitlines()[0], distribution=kind, columns=list(columns or []))
+
+
+def _claim(spark: SparkSession, table: str) -> str:
+    return table if "." in table else f"{spark.catalog.currentDatabase()}.{table}"
+
+
+def small_files(spark: SparkSession, table: str, file_bytes: int = FILE_BYTES) -> dict[str, dict[str, int]]:
+    """Folders of a table in which two files or more would fit into one, with these files and their sizes."""
+    folders: dict[str, dict[str, int]] = {}
+    for name, size in catalog.file_sizes(spark.table(table)).items():
+        if 2 * size <= file_bytes:
+            folders.setdefault(name.rpartition("/")[0], {})[name] = size
+    return {f: files for f, files in folders.items() if len(files) > 1}
+
+
+def compact(spark: SparkSession, table: str, file_bytes: int = FILE_BYTES) -> dict:
+    """Merge the small files of a partitioned table, partition by partition; never raises.
+
+    A partition is rewritten only if it holds two or more files of at most half the wanted
+    size; it gets as many files as its bytes fill, and other partitions' files are not
+    touched.  The rows are staged first, and the new partitions then take the old ones'
+    places, each in one step.
+    """
+    began = time.time()
+    with claims(spark).held(_claim(spark, table)) as lease:
+        if lease is None:
+            return _outcome(table, began, False, "FAILED", "Table is being rewritten")
+        try:
+            columns = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+            if not columns:
+                return _outcome(table, began, False, "FAILED", "Only partitioned tables can be rewritten in part")
+            wanted = small_files(spark, table, file_bytes)
+            if not wanted:
+                return _outcome(table, began, True, "SUCCESS", "Nothing to rewrite", partitions=0, files_before=0, files_after=0)
+            sizes = catalog.file_sizes(spark.table(table))
+            folder = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1), "^file:/+", "file:/")
+            parts = {f: max(1, -(-sum(n for name, n in sizes.items() if name.rpartition("/")[0] == f) // file_bytes)) for f in wanted}
+            rows = spark.table(table).withColumn("_folder", folder).where(F.col("_folder").isin([_as_metadata(f) for f in wanted]))
+            files = F.create_map(*[x for f, n in parts.items() for x in (F.lit(_as_metadata(f)), F.lit(n))])
+            numbered = rows.withColumn("_file", F.floor(F.rand(7) * F.try_element_at(files, F.col("_folder"))))
+            with staging(spark, "compact") as stage:
+                staged = stage(numbered)
+                if lease.lost:
+                    raise RuntimeError("The claim on the table ran out")
+                if staged.isEmpty():
+                    raise RuntimeError("The small files could not be told by their names")
+                _replace_partitions(staged, _claim(spark, table))
+            spark.catalog.refreshTable(table)
+            after = catalog.file_sizes(spark.table(table))
+            count = lambda found: sum(name.rpartition("/")[0] in wanted for name in found)
+            return _outcome(table, began, True, "SUCCESS", "Small files merged", partitions=len(wanted), files_before=count(sizes), files_after=count(after))
+        except Exception as error:  # the outcome carries the failure
+            return _outcome(table, began, False, "FAILED", str(error).splitlines()[0])
+
+
+def _as_metadata(folder: str) -> str:
+    """A folder's name as the metadata column has it."""
+    return re.sub("^file:/+", "file:/", folder)
+
+
+def _replace_partitions(staged: DataFrame, table: str) -> None:
+    """Overwrite the partitions that ``staged`` has rows of, and no others.
+
+    In a session of its own, so that the caller's settings stay as they are.
+    """
+    own = staged.sparkSession.newSession()
+    own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    folder = staged.inputFiles()[0].rpartition("/")[0]
+    rows = own.read.schema(staged.schema).parquet(folder)
+    parts = rows.select("_folder", "_file").distinct().count()
+    rows.repartition(parts, "_folder", "_file").select(*own.table(table).columns).write.mode("overwrite").insertInto(table)
 
 
 def reorganize(spark: SparkSession, table: str) -> dict:

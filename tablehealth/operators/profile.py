@@ -1,4 +1,4 @@
-"""Uniqueness profiling: candidate ranking by statistics, exact check in one pass."""
+"""Uniqueness profiling: candidates by statistics, sketches that reject, exact checks of the rest."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from tablehealth.functions import expressions as X
 
 ELIGIBLE = (T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.FloatType, T.DoubleType, T.StringType, T.VarcharType, T.CharType, T.DateType, T.TimestampType, T.TimestampNTZType)
 MAX_CANDIDATES = 20
-#: Distinct counts of one pass; each one multiplies the rows that are shuffled.
-COLUMNS_A_PASS = 5
+#: Relative standard deviation of the distinct sketches, and how many of them an estimate may fall short by.
+SKETCH_ERROR = 0.02
+SKETCH_DEVIATIONS = 8
 
 
 def eligible(df: DataFrame) -> list[str]:
@@ -19,24 +20,45 @@ def eligible(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, ELIGIBLE)]
 
 
-def _value(df: DataFrame, name: str):
-    """A column as text; negative zero is zero."""
-    c = F.col(name)
-    return (c + F.lit(0.0) if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)) else c).cast("string")
-
-
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_name, total_rows, not_null_rows, distinct_rows, is_unique: one row per column.
+    """column_name, total_rows, not_null_rows, distinct_rows, is_unique: one row per column, exact.
 
-    Each column is counted by value with partial sums, so no task ever holds a column's
-    values, and the columns of a pass share one scan.
+    Each column is read and counted by itself, by value in its own type and with partial
+    sums: a column of few values hardly shuffles, no value becomes text, and a columnar
+    source reads each column once all the same.
+    """
+    empty = df.sparkSession.createDataFrame([], "column_name string, total_rows long, not_null_rows long, distinct_rows long, is_unique boolean")
+    found = empty
+    for name in columns:
+        values = df.select(F.col(f"`{name}`").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+        total, present = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0))
+        counted = values.agg(total.cast("long").alias("total_rows"), present.cast("long").alias("not_null_rows"), F.count("value").alias("distinct_rows"))
+        one = counted.select(F.lit(name).alias("column_name"), "*").withColumn("is_unique", (F.col("total_rows") > 0) & (F.col("total_rows") == F.col("not_null_rows")) & (F.col("total_rows") == F.col("distinct_rows")))
+        found = one if found is empty else found.unionByName(one)
+    return found
+
+
+def screen(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, int, int]]:
+    """Rows, rows without null and estimated distinct values of each column.
+
+    One scan folds all columns into mergeable sketches (HyperLogLog++): each task sends on
+    one row, however large the table.
     """
     if not columns:
-        return df.sparkSession.createDataFrame([], "column_name string, total_rows long, not_null_rows long, distinct_rows long, is_unique boolean")
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), _value(df, c).alias("value")) for c in columns]))
-    values = df.select(cells.alias("cell")).select("cell.*").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    counted = values.groupBy("column_name").agg(F.sum("n").alias("total_rows"), F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("not_null_rows"), F.count("value").alias("distinct_rows"))
-    return counted.withColumn("is_unique", (F.col("total_rows") > 0) & (F.col("total_rows") == F.col("not_null_rows")) & (F.col("total_rows") == F.col("distinct_rows")))
+        return {}
+    sketches = [x for i, c in enumerate(columns) for x in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.approx_count_distinct(F.col(f"`{c}`"), SKETCH_ERROR).alias(f"d{i}"))]
+    row = df.agg(F.count(F.lit(1)).alias("total"), *sketches).first()
+    return {c: (row["total"], row[f"n{i}"], row[f"d{i}"]) for i, c in enumerate(columns)}
+
+
+def may_be_unique(total: int, present: int, distinct: int) -> bool:
+    """No for columns with nulls, or whose estimate is below the rows by more than the sketch could err."""
+    return total > 0 and present == total and distinct >= total * (1 - SKETCH_DEVIATIONS * SKETCH_ERROR)
+
+
+def is_unique(df: DataFrame, column: str) -> bool:
+    """Exactly: no value of the column comes twice."""
+    return df.groupBy(F.col(f"`{column}`")).count().where("count > 1").isEmpty()
 
 
 def candidates(attributes: DataFrame, stats: DataFrame, limit: int = MAX_CANDIDATES, scan_without_stats: bool = False) -> DataFrame:
@@ -57,12 +79,15 @@ def candidates(attributes: DataFrame, stats: DataFrame, limit: int = MAX_CANDIDA
     return placed.withColumn("skipped", F.coalesce("null_frac", missing) > 0).select("schemaname", "tablename", "position", "attname", "typname", "skipped")
 
 
-def find_unique_column(df: DataFrame, ordered: list[str], columns_a_pass: int = COLUMNS_A_PASS) -> dict | None:
-    """The first column of ``ordered`` that is unique and has no null, checked exactly, a few per pass."""
-    for at in range(0, len(ordered), columns_a_pass):
-        part = ordered[at : at + columns_a_pass]
-        found = {r["column_name"]: r for r in profile(df, part).where("is_unique").collect()}
-        for name in part:
-            if name in found:
-                return {"column": name, "total_rows": found[name]["total_rows"], "distinct_rows": found[name]["distinct_rows"], "type": dict(df.dtypes)[name]}
+def find_unique_column(df: DataFrame, ordered: list[str]) -> dict | None:
+    """The first column of ``ordered`` that is unique and has no null.
+
+    Sketches of all columns in one scan leave few; these are checked exactly, in order, each
+    in its own type, until one passes.  A column that is unique is never screened out but
+    where its sketch errs by more than ``SKETCH_DEVIATIONS`` standard deviations.
+    """
+    types = dict(df.dtypes)
+    for name, (total, present, distinct) in screen(df, ordered).items():
+        if may_be_unique(total, present, distinct) and is_unique(df, name):
+            return {"column": name, "total_rows": total, "distinct_rows": total, "type": types[name]}
     return None

@@ -13,7 +13,7 @@ from tablehealth.sources.catalog import Catalog
 
 
 def named_relations(catalog: Catalog) -> DataFrame:
-    spaces = F.broadcast(catalog.namespaces.select(F.col("oid").alias("_space"), F.col("nspname").alias("schema_name")))
+    spaces = catalog.namespaces.select(F.col("oid").alias("_space"), F.col("nspname").alias("schema_name"))
     return catalog.relations.join(spaces, F.col("relnamespace") == F.col("_space")).withColumnRenamed("relname", "table_name").drop("_space", "relnamespace")
 
 
@@ -28,7 +28,7 @@ def key_columns(catalog: Catalog) -> DataFrame:
 def metadata(catalog: Catalog) -> DataFrame:
     """Storage class, distribution and size of every relation."""
     policy = catalog.distribution.select("localoid", "policytype")
-    methods = F.broadcast(catalog.access_methods.select(F.col("oid").alias("_am"), "amname"))
+    methods = catalog.access_methods.select(F.col("oid").alias("_am"), "amname")
     joined = named_relations(catalog).join(policy, F.col("oid") == F.col("localoid"), "left").join(methods, F.col("relam") == F.col("_am"), "left").drop("localoid")
     joined = joined.join(key_columns(catalog), F.col("oid") == F.col("localoid"), "left")
     columns = F.coalesce("columns", F.array().cast("array<string>"))
@@ -61,6 +61,7 @@ def recommend(catalog: Catalog, scanned: DataFrame | None = None) -> DataFrame:
     by_index, by_scan = F.col("index_name").isNotNull(), F.col("source_column").isNotNull()
     kind = F.when(by_index | by_scan, "HASH").otherwise("RANDOM")
     columns = F.when(by_index, F.col("index_columns")).when(by_scan, F.array("source_column")).otherwise(F.array().cast("array<string>"))
+    # fixed output texts
     reason = (
         F.when(by_index & F.col("indisprimary"), "PRIMARY KEY unique not null column")
         .when(by_index, "UNIQUE INDEX unique not null column")
@@ -72,7 +73,7 @@ def recommend(catalog: Catalog, scanned: DataFrame | None = None) -> DataFrame:
     return shaped.withColumn("already_same", same).withColumn("sql_preview", X.distribution_preview(F.col("schema_name"), F.col("table_name"), F.col("recommendation_type"), F.col("recommended_columns")))
 
 
-def scan_tables(catalog: Catalog, read: Callable[[str, str], DataFrame], max_candidates: int = profile.MAX_CANDIDATES) -> DataFrame:
+def scan_tables(catalog: Catalog, read: Callable[[str, str], DataFrame], max_candidates: int = profile.MAX_CANDIDATES, scan_without_stats: bool = False) -> DataFrame:
     """schema_name, table_name, source_column: the exact scan of tables without a usable index.
 
     The loop is over tables, each one a distributed scan; no rows come to the driver.
@@ -81,7 +82,7 @@ def scan_tables(catalog: Catalog, read: Callable[[str, str], DataFrame], max_can
     tables = named_relations(catalog)
     attributes = catalog.attributes.join(tables.select(F.col("oid").alias("attrelid"), F.col("schema_name").alias("schemaname"), F.col("table_name").alias("tablename")), "attrelid")
     left = tables.join(unique_indexes(catalog), F.col("oid") == F.col("indrelid"), "left_anti").select(F.col("schema_name").alias("schemaname"), F.col("table_name").alias("tablename"))
-    wanted = profile.candidates(attributes.join(left, ["schemaname", "tablename"], "left_semi"), catalog.column_stats, max_candidates).where(~F.col("skipped")).orderBy("schemaname", "tablename", "position").collect()
+    wanted = profile.candidates(attributes.join(left, ["schemaname", "tablename"], "left_semi"), catalog.column_stats, max_candidates, scan_without_stats).where(~F.col("skipped")).orderBy("schemaname", "tablename", "position").collect()
     by_table: dict[tuple[str, str], list[str]] = {}
     for r in wanted:
         by_table.setdefault((r["schemaname"], r["tablename"]), []).append(r["attname"])

@@ -11,17 +11,25 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tablehealth.operators import hierarchy, history, jobs, layout, recommend, skew
 from tablehealth.sources import catalog, segments
 from tablehealth.sources import store as stores
+from tablehealth.sources.files import staging
 
 Reply = tuple[int, dict]
 
 
-def _plain(df: DataFrame) -> list[dict]:
-    """Rows of a result page; every caller bounds how many there are."""
-    return [{k: v.isoformat(" ", "seconds") if isinstance(v, datetime) else v for k, v in r.asDict(recursive=True).items()} for r in df.collect()]
+#: Rows of a page that do not come with a smaller limit of their own.
+PAGE_ROWS = 10_000
+#: Segments that a reply about one table carries, the fullest.
+REPLY_SEGMENTS = 1000
+
+
+def _plain(df: DataFrame, most: int = PAGE_ROWS) -> list[dict]:
+    """Rows of a result page, ``most`` of them at most."""
+    return [{k: v.isoformat(" ", "seconds") if isinstance(v, datetime) else v for k, v in r.asDict(recursive=True).items()} for r in df.limit(most).collect()]
 
 
 def _bad(message: str, status: int = 400) -> Reply:
@@ -35,9 +43,9 @@ def physical_segment(spark: SparkSession, table: str) -> tuple[Column, int | Non
 
 
 class Service:
-    def __init__(self, spark: SparkSession, store: stores.Store, relations: Callable[[], catalog.Catalog] | None = None, segment: Callable[[SparkSession, str], tuple[Column, int | None]] = physical_segment):
+    def __init__(self, spark: SparkSession, store: stores.Store, relations: Callable[..., catalog.Catalog] | None = None, segment: Callable[[SparkSession, str], tuple[Column, int | None]] = physical_segment):
         self.spark, self.store, self.log, self.segment = spark, store, jobs.JobLog(store), segment
-        self.relations = relations or (lambda: catalog.from_spark(spark))
+        self.relations = relations or (lambda *only: catalog.from_spark(spark, *only))
 
     # sources
 
@@ -68,12 +76,12 @@ class Service:
 
     # skew
 
-    def _one(self, table: str) -> DataFrame:
+    def _counts(self, table: str) -> DataFrame:
         segment, declared = self.segment(self.spark, table)
-        return skew.with_segments(self.spark.table(table), segment, declared)
+        return skew.segment_counts(self.spark.table(table), segment, declared)
 
     def analyze(self, tables: list[dict]) -> Reply:
-        """At once, without a job: a failing table is a FAILED row."""
+        """At once, without a job: a failing table is a FAILED row.  Of a table's segments the fullest come along."""
         if not tables:
             return _bad("tables are required")
         out = []
@@ -83,24 +91,30 @@ class Service:
                 out.append(name | {"status": "FAILED", "error": "schema and table are required"})
                 continue
             try:
-                out.append(name | self._one(f"{t['schema']}.{t['table']}").first().asDict(recursive=True))
+                with staging(self.spark, "analyze") as stage:
+                    counts = stage(self._counts(f"{t['schema']}.{t['table']}"))
+                    one = skew.statistics(counts).first().asDict()
+                    out.append(name | one | {"segments": _plain(skew.top_segments(counts, REPLY_SEGMENTS))})
             except Exception as error:  # the row carries the failure
                 out.append(name | {"status": "FAILED", "error": str(error).splitlines()[0]})
         return 200, {"ok": True, "results": out}
 
     def _record_skew(self, job_id: int):
+        """Segments go from the count straight to the store; a table's one row of statistics is folded from what was stored."""
+
         def work(spark: SparkSession, schema: str, table: str) -> None:
             id_, now = self.log._next(), F.localtimestamp()
-            one = self._one(f"{schema}.{table}").first()
-            base = {"job_id": job_id, "schema_name": schema, "table_name": table}
-            header = {k: v for k, v in one.asDict().items() if k != "segments"} | base | {"id": id_}
-            numbered = [base | {"id": self.log._next(), "skew_result_id": id_, "segment_id": i, "row_count": s["row_count"]} for i, s in enumerate(one["segments"] or [])]
-            plain = {t: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.store.schema(t) if f.name in (header if t == "skew_results" else numbered[0] if numbered else base)) for t in ("skew_results", "skew_result_segments")}
-            stores.save_results(
-                self.store,
-                spark.createDataFrame([header], plain["skew_results"]).withColumn("checked_at", now),
-                spark.createDataFrame(numbered, plain["skew_result_segments"]).withColumn("checked_at", now),
-            )
+            base = {"job_id": F.lit(job_id), "schema_name": F.lit(schema), "table_name": F.lit(table), "checked_at": now}
+            counts = self._counts(f"{schema}.{table}")
+            if isinstance(counts.schema["segment_id"].dataType, StringType):  # files go by their number in the table's own listing
+                files = spark.createDataFrame(list(enumerate(sorted(catalog.file_sizes(spark.table(f"{schema}.{table}"))))), "_number int, _file string")
+                name = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+                counts = counts.join(files, name(F.col("segment_id")) == name(F.col("_file"))).select(F.col("_number").alias("segment_id"), "row_count")
+            rows = counts.select(F.xxhash64(F.lit(id_), F.col("segment_id")).alias("id"), F.lit(id_).alias("skew_result_id"), "segment_id", "row_count").withColumns(base)
+            segments = self.store.prepare({"skew_result_segments": rows})
+            stored = spark.read.schema(self.store.schema("skew_result_segments")).parquet(f"{self.store.path}/{segments['skew_result_segments']}")
+            header = skew.statistics(stored).withColumns(base | {"id": F.lit(id_)})
+            self.store.publish(segments | self.store.prepare({"skew_results": header}))
 
         return work
 
@@ -128,12 +142,11 @@ class Service:
         return 200, {"ok": True, "results": _plain(own), "summary": summary}
 
     def result_segments(self, result_id: int) -> Reply:
-        results = self.store.find("skew_results", result_id)
-        found = history.drill_down(results, self.store.read("skew_result_segments").where(F.col("skew_result_id") == result_id)).first()
-        if found is None:
+        found = _plain(self.store.find("skew_results", result_id))
+        if not found:
             return _bad("Result not found", 404)
-        whole = found.asDict(recursive=True)
-        return 200, {"ok": True, "segments": whole.pop("segments") or [], "result": whole}
+        own = self.store.read("skew_result_segments").where(F.col("skew_result_id") == result_id).select("segment_id", "row_count")
+        return 200, {"ok": True, "segments": _plain(skew.top_segments(own, REPLY_SEGMENTS)), "result": found[0]}
 
     # jobs
 
@@ -185,7 +198,7 @@ class Service:
     def recommendation(self, schema: str, table: str) -> Reply:
         if not schema or not table:
             return _bad("schema and table are required")
-        known = self.relations()
+        known = self.relations(schema, table)
         scanned = recommend.scan_tables(known, lambda s, t: self.spark.table(f"{s}.{t}"))
         found = _plain(recommend.recommend(known, scanned).where((F.col("schema_name") == schema) & (F.col("table_name") == table)))
         return 200, {"ok": True} | found[0] if found else {"ok": False, "message": "Table not found"}

@@ -71,41 +71,53 @@ def size_and_rows(statistics: str | None) -> tuple[int | None, float | None]:
 
 
 def column_statistics(spark: SparkSession, table: str, rows: float | None) -> list[tuple[str, float, float]]:
-    """(name, n_distinct, null_frac) of the analysed columns of a table with ``rows`` rows: metadata alone."""
-    found = []
-    for name in spark.table(table).columns if rows else ():
-        info = {r["info_name"]: r["info_value"] for r in spark.sql(f"DESCRIBE EXTENDED {table} `{name}`").collect()}
-        if info.get("distinct_count") not in (None, "NULL"):
-            distinct = float(info["distinct_count"])
+    """(name, n_distinct, null_frac) of the analysed columns of a table with ``rows`` rows.
+
+    From the session catalog's own record of the table, asked once for all its columns.
+    """
+    if not rows:
+        return []
+    identifier = spark._jsparkSession.sessionState().sqlParser().parseTableIdentifier(table)
+    stats = spark._jsparkSession.sessionState().catalog().getTableMetadata(identifier).stats()
+    if stats.isEmpty():
+        return []
+    found, entries = [], stats.get().colStats().iterator()
+    while entries.hasNext():
+        entry = entries.next()
+        distinct, nulls = entry._2().distinctCount(), entry._2().nullCount()
+        if distinct.isDefined() and nulls.isDefined():
+            n = float(str(distinct.get()))
             # as many values as rows is stated relative to the rows
-            found.append((name, -1.0 if distinct >= rows else distinct, float(info["num_nulls"]) / rows))
+            found.append((entry._1(), -1.0 if n >= rows else n, float(str(nulls.get())) / rows))
     return found
 
 
-def from_spark(spark: SparkSession) -> Catalog:
+def from_spark(spark: SparkSession, schema: str | None = None, table: str | None = None) -> Catalog:
     """The session catalog in the same shape: databases, tables with sizes, columns, statistics and bucketing.
 
-    Sizes, rows and column statistics are those that ANALYZE TABLE left, null without it.
-    Spark has no indexes.
+    ``schema`` and ``table`` describe that one alone.  Sizes, rows and column statistics are
+    those that ANALYZE TABLE left, null without it.  Spark has no indexes.
     """
     rows: dict[str, list[tuple]] = {name: [] for name in SCHEMAS}
     rows["access_methods"] = [(1, "parquet"), (2, "orc"), (3, "heap")]
     methods = {name: oid for oid, name in rows["access_methods"]}
     oid = 1000
     for database in spark.catalog.listDatabases():
+        if schema is not None and database.name != schema:
+            continue
         oid += 1
         space = oid
         rows["namespaces"].append((space, database.name))
-        for table in spark.catalog.listTables(database.name):
-            if table.isTemporary:
+        for entry in spark.catalog.listTables(database.name):
+            if entry.isTemporary or table is not None and entry.name != table:
                 continue
             oid += 1
-            name = f"{database.name}.{table.name}"
+            name = f"{database.name}.{entry.name}"
             info = describe(spark, name)
-            kind = "v" if table.tableType == "VIEW" else "r"
+            kind = "v" if entry.tableType == "VIEW" else "r"
             size, count = size_and_rows(info.get("statistics"))
-            rows["relations"].append((oid, table.name, space, kind, methods.get(info.get("provider") or ""), count, size))
-            rows["column_stats"] += [(database.name, table.name, *x) for x in (column_statistics(spark, name, count) if kind == "r" else ())]
+            rows["relations"].append((oid, entry.name, space, kind, methods.get(info.get("provider") or ""), count, size))
+            rows["column_stats"] += [(database.name, entry.name, *x) for x in (column_statistics(spark, name, count) if kind == "r" else ())]
             columns = spark.catalog.listColumns(name)
             numbers = {c.name: i for i, c in enumerate(columns, 1)}
             rows["attributes"] += [(oid, i, c.name, type_name(c.dataType), not c.nullable, False) for i, c in enumerate(columns, 1)]
@@ -113,7 +125,19 @@ def from_spark(spark: SparkSession) -> Catalog:
     return Catalog.of(spark, rows)
 
 
+def file_sizes(df: DataFrame) -> dict[str, int]:
+    """Bytes of each file that a relation reads: names from its plan, sizes from one listing of each folder."""
+    spark, wanted, found = df.sparkSession, set(df.inputFiles()), {}
+    for folder in {f.rpartition("/")[0] for f in wanted}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
+            name = f"{folder}/{status.getPath().toUri().getRawPath().rpartition('/')[2]}"
+            if name in wanted:
+                found[name] = status.getLen()
+    return found
+
+
 def table_bytes(df: DataFrame) -> DataFrame:
-    """total_bytes, files: the size of the files a relation reads, each counted once."""
-    files = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).distinct()
-    return files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"), F.count(F.lit(1)).alias("files"))
+    """total_bytes, files: the size of the files a relation reads, without reading them."""
+    sizes = file_sizes(df)
+    return df.sparkSession.createDataFrame([(sum(sizes.values()), len(sizes))], "total_bytes long, files long")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tablehealth.functions import expressions as X
 from tablehealth.operators import hierarchy, layout, profile, recommend
-from tablehealth.plans import fixtures
+from tests import fixtures
 from tablehealth import service
 from tablehealth.sources import catalog, store
 
@@ -36,7 +36,7 @@ def test_profile(spark):
     df = spark.createDataFrame([(1, "a", 0.0), (2, "a", -0.0), (3, None, float("nan"))], "k int, t string, x double")
     found = {r.column_name: (r.total_rows, r.not_null_rows, r.distinct_rows, r.is_unique) for r in profile.profile(df, ["k", "t", "x"]).collect()}
     assert found == {"k": (3, 3, 3, True), "t": (3, 2, 1, False), "x": (3, 3, 2, False)}
-    assert profile.find_unique_column(df, ["t", "x", "k"], 2)["column"] == "k"
+    assert profile.find_unique_column(df, ["t", "x", "k"])["column"] == "k"
     assert profile.find_unique_column(df, ["t", "x"]) is None
     assert profile.find_unique_column(df.where("false"), ["k"]) is None
 
@@ -78,8 +78,9 @@ def test_leaves_of_any_tree(spark, parents):
 
 def test_a_cycle_is_an_error(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, child string")
-    with pytest.raises(Exception, match="RECURSION"):
-        hierarchy.leaves(edges, spark.createDataFrame([("a",)], "node string")).collect()
+    with pytest.raises(hierarchy.CycleError, match="cycle among a, b") as error:
+        hierarchy.leaves(edges, spark.createDataFrame([("a",)], "node string"))
+    assert error.value.nodes == ["a", "b"]
 
 
 def test_layouts_and_upkeep(spark):
@@ -112,13 +113,13 @@ def test_layouts_and_upkeep(spark):
 def test_data_scan_tries_every_column_of_lineitem(spark, sf_dir, tmp_path):
     from tablehealth.plans import catalogue
 
-    for name in ("orders", "customer", "supplier"):
+    for name in ("orders", "customer", "supplier", "documents", "conversations"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     assert profile.find_unique_column(lines, [c for c in lines.columns if c != "l_comment"]) is None
     lines.withColumn("l_comment", F.concat(F.lit("line "), F.monotonically_increasing_id())).write.parquet(str(tmp_path / "lineitem.parquet"))
     found = {r.table_name: r.source_column for r in catalogue.queries()["unique_scan"](spark, str(tmp_path)).collect()}
-    assert found == {"orders": "o_orderkey", "lineitem": "l_comment", "customer": "c_custkey", "supplier": "s_suppkey"}
+    assert found == {"orders": "o_orderkey", "lineitem": "l_comment", "customer": "c_custkey", "supplier": "s_suppkey", "documents": "doc_id", "conversations": None}
 
 
 def test_a_swap_that_a_lost_driver_left_is_put_right(spark):
@@ -144,5 +145,5 @@ def test_catalog_of_the_session_has_sizes_types_and_statistics(spark, tmp_path):
     stats = {r.attname: (r.n_distinct, r.null_frac) for r in found.column_stats.where("schemaname = 'live'").collect()}
     assert set(stats) == {"a", "b", "c"} and stats["b"] == (3.0, 0.0)
     assert {r.typname for r in found.attributes.where("attname = 'c'").collect()} >= {"numeric"}
-    status, reply = service.Service(spark, store.Store(spark, str(tmp_path)), lambda: found).recommendation("live", "t")
+    status, reply = service.Service(spark, store.Store(spark, str(tmp_path)), lambda *only: found).recommendation("live", "t")
     assert (status, reply["recommendation_type"]) == (200, "HASH") and reply["source_column"] in ("a", "c")
