@@ -112,21 +112,28 @@ def host_rates(judged: DataFrame) -> DataFrame:
     hosts = judged.where(F.col("source").isNotNull()).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     hosts = common.stage(hosts, "hosts")
     rate = F.col("failed") / F.col("n")
-    total = hosts.agg(F.sum("n").alias("all"), F.sum("failed").alias("bad"), F.count(F.lit(1)).alias("hosts"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum(F.col("n") * rate * rate).alias("second")).first()
+    total = hosts.agg(F.sum("n").alias("all"), F.sum("failed").alias("bad"), F.count(F.lit(1)).alias("hosts"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"), F.sum(F.col("n") * rate * rate).alias("second")).first()
     alpha, beta = beta_prior(total["all"] or 0, total["bad"] or 0, total["hosts"], float(total["squares"] or 0), total["second"] or 0.0)
     return hosts.withColumn("shrunk_rate", (F.col("failed") + alpha) / (F.col("n") + alpha + beta))
 
 
 def beta_prior(n: int, failed: int, hosts: int, squares: float, second: float, weakest: float = 2.0, strongest: float = 1e6) -> tuple[float, float]:
-    """Alpha and beta by moments of the hosts' rates, weighted by their sizes."""
+    """Alpha and beta by moments of the hosts' rates, weighted by their sizes.
+
+    ``squares`` is the sum of squared sizes, ``second`` the sum of size * rate ** 2.  With q =
+    mean * (1 - mean) and v the variance between hosts, a host of n_i documents has a rate of
+    variance v + (q - v) / n_i, and the weighted squares about the common mean add up to
+    v * (n - squares / n) + (hosts - 1) * (q - v) on average, however uneven the sizes are.
+    Without evidence of a spread (a single host, hosts of one document each) the prior is as
+    strong as it may be.
+    """
     if not n:
         return 1.0, 1.0
     mean = min(max(failed / n, 1e-6), 1 - 1e-6)
-    spread = max(0.0, second / n - (failed / n) ** 2)
-    noise = mean * (1 - mean) * hosts / n
-    share = 1 - squares / n / n
-    between = (spread - noise + mean * (1 - mean) * squares / n / n / max(n / max(hosts, 1), 1)) / share if share > 0 else 0.0
-    strength = strongest if between <= 0 else min(max(mean * (1 - mean) / between - 1, weakest), strongest)
+    q, spread = mean * (1 - mean), max(0.0, second - n * (failed / n) ** 2)
+    weight = n - squares / n - (hosts - 1)
+    between = (spread - (hosts - 1) * q) / weight if weight > 1e-9 * n else 0.0
+    strength = strongest if between <= 0 else min(max(q / between - 1, weakest), strongest)
     return mean * strength, (1 - mean) * strength
 
 

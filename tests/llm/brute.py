@@ -28,6 +28,24 @@ def quality(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), duplicates, len(covered)
 
 
+def verdicts(docs, limit=0.5):
+    """kept of every (host, failed): hosts whose rate, shrunk by the moments of all hosts, passes the limit go."""
+    hosts = collections.defaultdict(list)
+    for host, failed in docs:
+        if host is not None:
+            hosts[host].append(failed)
+    n, mean = sum(map(len, hosts.values())), 0.0
+    if n:
+        mean = min(max(sum(map(sum, hosts.values())) / n, 1e-6), 1 - 1e-6)
+    true_mean, q = (sum(map(sum, hosts.values())) / n if n else 0.0), mean * (1 - mean)
+    spread = sum(len(h) * (sum(h) / len(h) - true_mean) ** 2 for h in hosts.values())
+    weight = n - sum(len(h) ** 2 for h in hosts.values()) / n - (len(hosts) - 1) if n else 0
+    between = (spread - (len(hosts) - 1) * q) / weight if weight > 1e-9 * n else 0.0
+    strength = 1e6 if between <= 0 else min(max(q / between - 1, 2.0), 1e6)
+    bad = {name for name, h in hosts.items() if (sum(h) + mean * strength) / (len(h) + strength) > limit}
+    return [not failed and host not in bad for host, failed in docs]
+
+
 def byte_repeats(docs, window=200):
     seen = collections.Counter()
     raws = [(text or "").encode() for _, text in docs]

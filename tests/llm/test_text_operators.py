@@ -32,6 +32,33 @@ def test_quality_rejects_a_bad_host_and_keeps_the_others(spark):
     assert quality.keep(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_verdicts_over_uneven_hosts(spark, seed):
+    rng = random.Random(seed)
+    good, bad = "one two three four five six seven eight nine ten eleven", "too short"
+    hosts = [("huge", 4000, 0.2), (None, 60, 0.9), *((f"h{i}", rng.choice([1, 2, 5, 40]), rng.choice([0.1, 0.2, 0.95] if seed > 1 else [0.2])) for i in range(150))]
+    docs = [(host, rng.random() < rate) for host, n, rate in hosts for _ in range(n)]
+    frame = spark.createDataFrame([(i, bad if failed else good, host) for i, (host, failed) in enumerate(docs)], "doc_id long, text string, source string").repartition(5)
+    kept = {r.doc_id: r.kept for r in quality.judge(frame).collect()}
+    expected = brute.verdicts(docs)
+    assert [kept[i] for i in range(len(docs))] == expected
+    if seed > 1:  # the verdict acts on hosts, not on documents alone
+        assert any(not k and not failed for k, (_, failed) in zip(expected, docs, strict=True))
+
+
+def test_one_huge_host_does_not_weaken_the_prior():
+    """A host of 990,000 documents and 5,000 of two each, all with a true rate of 0.2: as many of the small ones fail 0, 1, 2 times as that rate says."""
+    by_failures = {0: 3200, 1: 1600, 2: 200}
+    failed = 198_000 + sum(k * m for k, m in by_failures.items())
+    second = 990_000 * 0.2**2 + sum(2 * m * (k / 2) ** 2 for k, m in by_failures.items())
+    alpha, beta = quality.beta_prior(1_000_000, failed, 5001, 990_000.0**2 + 5000 * 4, second)
+    assert alpha + beta > 500 and (2 + alpha) / (2 + alpha + beta) < 0.25
+    # true rates of 0 and 1 among the small hosts are seen, however large that one is
+    second = 990_000 * 0.2**2 + 2 * 1000
+    alpha, beta = quality.beta_prior(1_000_000, 200_000, 5001, 990_000.0**2 + 5000 * 4, second)
+    assert alpha + beta < 3 and (2 + alpha) / (2 + alpha + beta) > 0.5
+
+
 def test_beta_prior_is_stronger_for_like_hosts():
     even = quality.beta_prior(1000, 100, 10, 10 * 100**2, 1000 * 0.01)
     mixed = quality.beta_prior(1000, 100, 10, 10 * 100**2, 1000 * 0.05)
