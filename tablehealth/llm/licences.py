@@ -3,7 +3,7 @@
 A text is cut into sentences (and unknown ones into their lines), each is normalised,
 known ones become identifiers, and the sequence of a text's identifiers is matched against
 rules: a licence is found where its sentences follow in order, whatever stands between them.
-The tables of sentences and rules are parameters; ``KNOWN`` and ``RULES`` hold common public
+Some known sentences have a gap for a holder's name.  The tables of sentences and rules are parameters; ``KNOWN`` and ``RULES`` hold common public
 ones, and the short tags of ``SPDX`` by rule.  A known sentence is one piece of the scan's
 own cutting, so what official wording spreads over several pieces is several known
 sentences in a row.  Sentences are looked up in a hash set; only the known ones, a few of a
@@ -89,16 +89,40 @@ KNOWN = {
     "cc-by-nc-nd-full": "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license",
     "cc-by-3-full": "this work is licensed under a creative commons attribution 3 0 unported license",
     "cc-by-sa-3-full": "this work is licensed under a creative commons attribution sharealike 3 0 unported license",
+    "mit-under": "licensed under the mit license",
+    "bsd-endorse-tail": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-author": "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission",
+    "gpl2-version-of": "you can redistribute it and or modify it under the terms of version 2 of the gnu general public license as published by the free software foundation",
+    "gpl2-software": "this software is licensed under the terms of the gnu general public license version 2 as published by the free software foundation and may be copied distributed and modified under those terms",
+    "gpl2-may": "you may redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl2-exact": "version 2 of the license",
+    "gpl2-only-exact": "only version 2 of the license",
+    "gpl21-exact": "version 2 1 of the license",
+    "lgpl2-library-terms": "you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation",
+    "gpl2-head": "gnu general public license version 2 june 1991",
+    "gpl3-head": "gnu general public license version 3 29 june 2007",
+    "lgpl21-head": "gnu lesser general public license version 2 1 february 1999",
+    "lgpl3-head": "gnu lesser general public license version 3 29 june 2007",
+    "agpl3-head": "gnu affero general public license version 3 19 november 2007",
+    "apache-head": "apache license version 2 0 january 2004",
+    "apache-head-url": "apache license version 2 0 january 2004 http www apache org licenses",
+    "apache-head-urls": "apache license version 2 0 january 2004 https www apache org licenses",
+}
+
+# Sentences with a gap for a name, as their beginning and end; the first that fits counts.
+GAPS = {
+    "bsd-endorse": ("neither the name of ", " nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    "bsd-endorse-begins": ("neither the name of ", ""),
 }
 
 # Licences as ordered sentence identifiers.
 RULES = {
-    "MIT": (("mit-name",), ("mit-grant", "mit-notice", "as-is")),
-    "Apache-2.0": (("apache-name",), ("apache-header", "apache-condition"), ("apache-condition", "apache-copy"), ("apache-condition", "apache-copy-at", "apache-url")),
-    "GPL-3.0-only": (("gpl3-name",),),
+    "MIT": (("mit-name",), ("mit-under",), ("mit-grant", "mit-notice", "as-is")),
+    "Apache-2.0": (("apache-name",), ("apache-header", "apache-condition"), ("apache-condition", "apache-copy"), ("apache-condition", "apache-copy-at", "apache-url"), ("apache-head",), ("apache-head-url",), ("apache-head-urls",)),
+    "GPL-3.0-only": (("gpl3-name",), ("gpl3-head",)),
     "GPL-3.0-or-later": (("gpl3-or-later", "gpl-warranty", "gpl-copy"), ("gpl3-or-later", "gpl-warranty"), ("gpl-free", "gpl3-terms", "gpl-hope", "gpl-implied"), ("gpl-free", "gpl-terms", "gpl3-later")),
     "BSD-4-Clause": (("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse"),),
-    "BSD-3-Clause": (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"),),
+    "BSD-3-Clause": (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"), ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse-tail"), ("bsd-grant", "bsd-source", "bsd-binary", "bsd-author")),
     "BSD-2-Clause": (("bsd-grant", "bsd-source", "bsd-binary"),),
     "ISC": (("isc-grant",), ("isc-grant-and",)),
     "MPL-2.0": (("mpl2-header",),),
@@ -111,9 +135,13 @@ RULES = {
     "CC-BY-3.0": (("cc-by-3-full",),),
     "CC-BY-SA-3.0": (("cc-by-sa-3-full",),),
     "CC0-1.0": (("cc0-dedication",),),
-    "GPL-2.0-only": (("gpl-free", "gpl2-terms"),),
+    "GPL-2.0-only": (("gpl-free", "gpl2-terms"), ("gpl-free", "gpl2-version-of"), ("gpl-free", "gpl2-may"), ("gpl2-software",), ("gpl-free", "gpl-terms", "gpl2-exact"), ("gpl-free", "gpl-terms", "gpl2-only-exact"), ("gpl2-head",)),
     "GPL-2.0-or-later": (("gpl-free", "gpl-terms", "gpl2-later"),),
-    "LGPL-2.1-or-later": (("library-free", "lgpl-terms", "gpl21-later"),),
+    "LGPL-2.0-or-later": (("lgpl2-library-terms", "gpl2-later"),),
+    "LGPL-2.1-only": (("lgpl-terms", "gpl21-exact"), ("lgpl21-head",)),
+    "LGPL-2.1-or-later": (("lgpl-terms", "gpl21-later"),),
+    "LGPL-3.0-only": (("lgpl3-head",),),
+    "AGPL-3.0-only": (("agpl3-head",),),
     "LGPL-3.0-or-later": (("lgpl3-terms",), ("lgpl-terms", "gpl3-later")),
     "AGPL-3.0-or-later": (("gpl-free", "agpl3-terms"),),
     "Artistic-1.0-Perl": (("perl-terms",),),
@@ -130,7 +158,7 @@ RULES = {
 }
 
 # Licences that short tags name, besides those of the rules.
-SPDX = ("AFL-3.0", "AGPL-3.0-only", "Artistic-2.0", "BSD-3-Clause-Clear", "BUSL-1.1", "CC-BY-NC-SA-3.0", "CDDL-1.0", "CDDL-1.1", "CECILL-2.1", "CPL-1.0", "ECL-2.0", "EUPL-1.1", "EUPL-1.2", "FTL", "GFDL-1.3-or-later", "GPL-1.0-or-later", "HPND", "ICU", "IJG", "LGPL-2.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "MS-PL", "MS-RL", "MulanPSL-2.0", "NCSA", "ODbL-1.0", "OFL-1.1", "OpenSSL", "OSL-3.0", "PHP-3.01", "Python-2.0", "PSF-2.0", "Ruby", "SSPL-1.0", "UPL-1.0", "Vim", "W3C", "X11", "ZPL-2.1")
+SPDX = ("AFL-3.0", "Artistic-2.0", "BSD-3-Clause-Clear", "BUSL-1.1", "CC-BY-NC-SA-3.0", "CDDL-1.0", "CDDL-1.1", "CECILL-2.1", "CPL-1.0", "ECL-2.0", "EUPL-1.1", "EUPL-1.2", "FTL", "GFDL-1.3-or-later", "GPL-1.0-or-later", "HPND", "ICU", "IJG", "MS-PL", "MS-RL", "MulanPSL-2.0", "NCSA", "ODbL-1.0", "OFL-1.1", "OpenSSL", "OSL-3.0", "PHP-3.01", "Python-2.0", "PSF-2.0", "Ruby", "SSPL-1.0", "UPL-1.0", "Vim", "W3C", "X11", "ZPL-2.1")
 
 
 def _tagged(known: dict[str, str], rules: dict[str, tuple]) -> tuple[dict[str, str], dict[str, tuple]]:
@@ -143,6 +171,12 @@ def _tagged(known: dict[str, str], rules: dict[str, tuple]) -> tuple[dict[str, s
 
 KNOWN, RULES = _tagged(KNOWN, RULES)
 
+# Names of old tags that are now said with "only".
+OLD_TAGS = ("gpl-1.0", "gpl-2.0", "gpl-3.0", "lgpl-2.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "gfdl-1.3")
+
+#: Not named where one of these sentences stands: the text goes on to say more than the rule.
+UNLESS = {"BSD-2-Clause": ("bsd-endorse-begins", "bsd-endorse-tail", "bsd-author")}
+
 #: Named only where none of these is.
 PART_OF = {"BSD-2-Clause": ("BSD-3-Clause", "BSD-4-Clause"), "BSD-3-Clause": ("BSD-4-Clause",)}
 
@@ -169,19 +203,49 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(sentence, _OTHER, " "))
 
 
-def identifiers(text: Column, known: dict[str, str]) -> Column:
+#: A name in the expression behind a tag.
+_NAME = r"[a-z0-9]+(?:[.-][a-z0-9]+)*[+]?"
+
+
+def _openings(known: dict[str, str], gaps: dict[str, tuple[str, str]]) -> list[str]:
+    """The first two words of all known sentences: where a line begins with them, one may begin."""
+    return sorted({" ".join(s.split()[:2]) for s in [*known.values(), *(begin for begin, _ in gaps.values())]})
+
+
+def identifiers(text: Column, known: dict[str, str], gaps: dict[str, tuple[str, str]]) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
-    A sentence that is unknown as a whole is looked at line by line: what stands before a
-    licence line need not end in a full stop.
+    A sentence that is unknown as a whole is looked at from its lines: each by itself, and
+    from each that opens like a known sentence to the end, for what stands before a licence
+    need not end in a full stop.  The first such rest that is known ends the search.  Lines
+    with a tag give all licences that the expression behind it names.
     """
     table = F.create_map(*chain.from_iterable((F.lit(s), F.lit(i)) for i, s in known.items()))
-    is_known = lambda s: s.isin(*known.values())  # noqa: E731  a hash set once there are a few
-    lines = lambda raw: F.filter(F.transform(F.split(raw, "\n"), normalised), is_known)
-    each = F.transform(sentences(text), lambda s: F.struct(s.alias("raw"), normalised(s).alias("plain")))
-    found = F.flatten(F.transform(each, lambda s: F.when(is_known(s["plain"]), F.array(s["plain"])).otherwise(lines(s["raw"]))))
-    found = F.transform(found, lambda s: F.try_element_at(table, s))
-    return F.when(F.lower(text).rlike("|".join(HINTS)), found).otherwise(F.array().cast("array<string>"))
+
+    def named(s: Column) -> Column:
+        found = F.when(s.isin(*known.values()), F.try_element_at(table, s))  # a hash set once there are a few
+        for name, (begin, end) in gaps.items():
+            found = found.when(s.startswith(begin) & s.endswith(end), name)
+        return found
+
+    def tags(line: Column) -> Column:
+        names = F.regexp_extract_all(F.substring_index(line, _UNCUT, -1), F.lit(_NAME), F.lit(0))
+        modern = F.transform(names, lambda t: F.when(t.isin(*OLD_TAGS), F.concat(t, F.lit("-only"))).otherwise(F.regexp_replace(t, "[+]$", "-or-later")))
+        return F.transform(modern, lambda t: named(F.concat(F.lit("spdx license identifier "), normalised(t))))
+
+    def by_lines(raw: Column) -> Column:
+        lines = F.transform(F.split(raw, "\n"), lambda line: F.struct(line.alias("raw"), normalised(line).alias("plain")))
+        rest = lambda i: named(normalised(F.array_join(F.slice(F.transform(lines, lambda x: x["raw"]), i + 1, F.size(lines)), " ")))
+        opens = lambda x, i: (i > 0) & (i + 1 < F.size(lines)) & F.substring_index(x["plain"], " ", 2).isin(*_openings(known, gaps))
+        rests = F.transform(lines, lambda x, i: F.when(opens(x, i), F.struct(i.alias("at"), rest(i).alias("id"))))
+        first = F.get(F.filter(rests, lambda r: r["id"].isNotNull()), F.lit(0))
+        before = F.slice(lines, 1, F.coalesce(first["at"], F.size(lines)))
+        own = F.flatten(F.transform(before, lambda x: F.when(F.contains(x["raw"], F.lit(_UNCUT)), tags(x["raw"])).otherwise(F.array(named(x["plain"])))))
+        return F.concat(own, F.array(first["id"]))
+
+    each = F.transform(sentences(text), lambda s: F.struct(s.alias("raw"), named(normalised(s)).alias("id")))
+    found = F.flatten(F.transform(each, lambda s: F.when(s["id"].isNotNull(), F.array(s["id"])).otherwise(by_lines(s["raw"]))))
+    return F.when(F.lower(text).rlike("|".join(HINTS)), F.filter(found, lambda i: i.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
 def _in_order(sequence: tuple[str, ...]) -> str:
@@ -189,28 +253,46 @@ def _in_order(sequence: tuple[str, ...]) -> str:
     return "," + ",(.*,)?".join(sequence) + ","
 
 
-def scan(docs: DataFrame, known: dict[str, str] = KNOWN, rules: dict[str, tuple] = RULES, part_of: dict[str, tuple] = PART_OF) -> DataFrame:
+def _judged(rules: dict[str, tuple], part_of: dict[str, tuple], unless: dict[str, tuple]) -> dict[str, tuple[list[str], list[str]]]:
+    """By licence the patterns of which one must be found, and those of which none may be."""
+    some = {name: [_in_order(v) for v in variants] for name, variants in rules.items()}
+    return {name: (some[name], [p for larger in part_of.get(name, ()) if larger in some for p in some[larger]] + [_in_order((i,)) for i in unless.get(name, ())]) for name in rules}
+
+
+def scan(docs: DataFrame, known: dict[str, str] = KNOWN, rules: dict[str, tuple] = RULES, part_of: dict[str, tuple] = PART_OF, gaps: dict[str, tuple[str, str]] = GAPS, unless: dict[str, tuple] = UNLESS) -> DataFrame:
     """doc_id, n_known, sentence_ids, licences (both joined by commas): one row per row of ``docs``."""
-    if lost := [s for s in known.values() if not any(h in s for h in HINTS)]:
+    if lost := [s for s in [*known.values(), *(begin + end for begin, end in gaps.values() if end)] if not any(h in s for h in HINTS)]:
         raise ValueError(f"no hint in {lost}")
-    ids = docs.select(F.col("doc_id").cast("long"), identifiers(F.col("text").cast("string"), known).alias("ids"))
+    ids = docs.select(F.col("doc_id").cast("long"), identifiers(F.col("text").cast("string"), known, gaps).alias("ids"))
     joined = ids.select("doc_id", F.size(F.coalesce("ids", F.array().cast("array<string>"))).alias("n_known"), F.coalesce(F.array_join("ids", ","), F.lit("")).alias("sentence_ids"))
     chain_ = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
-    hit = {name: functools.reduce(Column.__or__, (chain_.rlike(_in_order(v)) for v in variants)) for name, variants in rules.items()}
-    named = [F.when(functools.reduce(Column.__and__, (~hit[larger] for larger in part_of.get(name, ()) if larger in hit), hit[name]), F.lit(name)) for name in rules]
+    any_ = lambda patterns: functools.reduce(Column.__or__, map(chain_.rlike, patterns), F.lit(False))
+    named = [F.when(any_(some) & ~any_(none), F.lit(name)) for name, (some, none) in _judged(rules, part_of, unless).items()]
     return joined.withColumn("licences", F.when(F.col("n_known") > 0, F.concat_ws(",", *named)).otherwise(""))
 
 
-def duckdb_sql(known: dict[str, str] = KNOWN, rules: dict[str, tuple] = RULES, part_of: dict[str, tuple] = PART_OF) -> str:
+def duckdb_sql(known: dict[str, str] = KNOWN, rules: dict[str, tuple] = RULES, part_of: dict[str, tuple] = PART_OF, gaps: dict[str, tuple[str, str]] = GAPS, unless: dict[str, tuple] = UNLESS) -> str:
     """The same scan as DuckDB SQL over ``documents``."""
     table = ", ".join(f"'{s}': '{i}'" for i, s in known.items())
     plain = lambda x: f"trim(regexp_replace({x}, '{_OTHER}', ' ', 'g'))"
-    hit = {name: "(" + " OR ".join(f"regexp_matches(c, '{_in_order(v)}')" for v in variants) + ")" for name, variants in rules.items()}
-    hits = ", ".join(f"CASE WHEN {' AND NOT '.join([hit[name], *(hit[larger] for larger in part_of.get(name, ()) if larger in hit)])} THEN '{name}' END" for name in rules)
+    in_gap = lambda x: " ".join(f"WHEN starts_with({x}, '{begin}') AND ends_with({x}, '{end}') THEN '{name}'" for name, (begin, end) in gaps.items())
+    named = lambda x: f"coalesce(m[{x}], CASE {in_gap(x)} END)"
+    openings = ", ".join(f"'{o}'" for o in _openings(known, gaps))
+    old = ", ".join(f"'{t}'" for t in OLD_TAGS)
+    modern = f"CASE WHEN t IN ({old}) THEN t || '-only' ELSE regexp_replace(t, '[+]$', '-or-later') END"
+    tags = f"list_transform(regexp_extract_all(string_split(l[i], '{_UNCUT}')[-1], '{_NAME}'), lambda t: {named(f"'spdx license identifier ' || {plain(modern)}")})"
+    some = lambda patterns: "(" + (" OR ".join(f"regexp_matches(c, '{p}')" for p in patterns) or "false") + ")"
+    hits = ", ".join(f"CASE WHEN {some(a)} AND NOT {some(b)} THEN '{name}' END" for name, (a, b) in _judged(rules, part_of, unless).items())
     return f"""
-WITH parted AS (SELECT doc_id, string_split_regex(regexp_replace(replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TAG}', '{_UNCUT}'), '{_STOP}', E'\\\\1\\n\\n', 'g'), '{_GAP}') s FROM documents),
+WITH parted AS (SELECT row_number() OVER () r, doc_id, string_split_regex(regexp_replace(replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TAG}', '{_UNCUT}'), '{_STOP}', E'\\\\1\\n\\n', 'g'), '{_GAP}') s FROM documents),
      known AS (SELECT MAP {{{table}}} m),
-     named AS (SELECT doc_id, list_filter(flatten(list_transform(s, lambda x: CASE WHEN m[{plain("x")}] IS NOT NULL THEN [m[{plain("x")}]] ELSE list_transform(string_split(x, E'\\n'), lambda y: m[{plain("y")}]) END)), lambda i: i IS NOT NULL) ids FROM parted, known),
-     joined AS (SELECT doc_id, CAST(len(ids) AS INTEGER) n_known, array_to_string(ids, ',') sentence_ids, ',' || array_to_string(ids, ',') || ',' c FROM named)
+     raws AS (SELECT r, generate_subscripts(s, 1) pos, unnest(s) raw FROM parted),
+     whole AS (SELECT r, pos, raw, string_split(raw, E'\\n') l, {named(plain("raw"))} id, m FROM raws, known),
+     lined AS (SELECT *, list_transform(l, lambda y: {plain("y")}) p FROM whole),
+     rested AS (SELECT *, CASE WHEN id IS NULL THEN list_transform(range(2, len(l)), lambda i: CASE WHEN array_to_string(string_split(p[i], ' ')[1:2], ' ') IN ({openings}) THEN {named(plain("array_to_string(l[i:], ' ')"))} END) END rests FROM lined),
+     placed AS (SELECT *, list_position(list_transform(rests, lambda x: x IS NOT NULL), true) + 1 stop FROM rested),
+     own AS (SELECT r, pos, CASE WHEN id IS NOT NULL THEN [id] ELSE list_append(flatten(list_transform(range(1, CASE WHEN stop > 1 THEN stop ELSE len(l) + 1 END), lambda i: CASE WHEN contains(l[i], '{_UNCUT}') THEN {tags} ELSE [{named("p[i]")}] END)), CASE WHEN stop > 1 THEN rests[stop - 1] END) END ids FROM placed),
+     together AS (SELECT r, list_filter(flatten(list(ids ORDER BY pos)), lambda i: i IS NOT NULL) ids FROM own GROUP BY r),
+     joined AS (SELECT doc_id, CAST(len(ids) AS INTEGER) n_known, array_to_string(ids, ',') sentence_ids, ',' || array_to_string(ids, ',') || ',' c FROM parted JOIN together USING (r))
 SELECT doc_id, n_known, sentence_ids, CASE WHEN n_known > 0 THEN concat_ws(',', {hits}) ELSE '' END licences FROM joined
 """

@@ -433,6 +433,18 @@ copies or substantial portions of the Software.
 
 """, ""),
 }
+OFFICIAL["LGPL-2.0-or-later"] = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Library General Public
+License as published by the Free Software Foundation; either
+version 2 of the License, or (at your option) any later version."""
+OFFICIAL["LGPL-2.1-only"] = """                  GNU LESSER GENERAL PUBLIC LICENSE
+                       Version 2.1, February 1999
+
+ Copyright (C) 1991, 1999 Free Software Foundation, Inc."""
+OFFICIAL["LGPL-3.0-only"] = """                   GNU LESSER GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007"""
+OFFICIAL["AGPL-3.0-only"] = """                    GNU AFFERO GENERAL PUBLIC LICENSE
+                       Version 3, 19 November 2007"""
 for _name, _said in (("CC-BY-NC-SA-4.0", "Attribution-NonCommercial-ShareAlike 4.0 International"), ("CC-BY-ND-4.0", "Attribution-NoDerivatives 4.0 International"), ("CC-BY-NC-ND-4.0", "Attribution-NonCommercial-NoDerivatives 4.0 International"), ("CC-BY-3.0", "Attribution 3.0 Unported"), ("CC-BY-SA-3.0", "Attribution-ShareAlike 3.0 Unported")):
     OFFICIAL[_name] = f"This work is licensed under a Creative Commons {_said} License."
 
@@ -467,6 +479,41 @@ def test_official_licence_texts(spark):
     assert brute.order(con.sql(licences.duckdb_sql()).fetchall()) == brute.order(found)
 
 
+_B = OFFICIAL["BSD-3-Clause"]
+# wording as it is found in the wild, with what it means
+WILD = [
+    (_B.replace("the copyright holder nor","Google Inc. nor"),"BSD-3-Clause"),
+    (_B.replace("the copyright holder nor","the University nor"),"BSD-3-Clause"),
+    (_B.replace("nor the names of its\n   contributors may be used to endorse","or anybody else may be used to endorse"),""),
+    ("/* This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License version 2 as\n * published by the Free Software Foundation.\n */","GPL-2.0-only"),
+    ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; version 2 of the License.","GPL-2.0-only"),
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Library General Public\nLicense as published by the Free Software Foundation; either\nversion 2 of the License, or (at your option) any later version.","LGPL-2.0-or-later"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.","GPL-3.0-only"),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS","Apache-2.0"),
+    (OFFICIAL["MIT"].replace("A. Holder\n\nPerm","A. Holder\nPerm"),"MIT"),
+    (OFFICIAL["MIT"].replace("Copyright (c) 2020 A. Holder\n\nPerm","Copyright (c) 2020 The Holders\nPerm"),"MIT"),
+    ("Licensed under the MIT License.","MIT"),
+    ("// SPDX-License-Identifier: Apache-2.0 OR MIT","MIT,Apache-2.0"),
+    ("/* SPDX-License-Identifier: (GPL-2.0-only OR MIT) */","MIT,GPL-2.0-only"),
+    ("# SPDX-License-Identifier: GPL-2.0","GPL-2.0-only"),
+    ("# SPDX-License-Identifier: GPL-2.0+\nfoo","GPL-2.0-or-later"),
+    ("x\n// SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0","GPL-2.0-or-later"),
+    (None,""),
+    ("",""),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n\n","Apache-2.0"),
+]
+
+
+def test_licences_in_the_wild(spark):
+    rows = [(i, text) for i, (text, _) in enumerate(WILD)] + [(len(WILD), "word. " * 60_000 + OFFICIAL["MIT"])]  # and a very long text
+    found = [tuple(r) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert {r[0]: r[3] for r in found} == {i: said for i, (_, said) in enumerate([*WILD, ("", "MIT")])}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert brute.order(con.sql(licences.duckdb_sql()).fetchall()) == brute.order(found)
+
+
 def test_licence_scan_is_native(spark, docs):
     plan = licences.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange hash" not in plan
