@@ -14,8 +14,8 @@ class and one representative stands for it, so copies are never expanded into pa
 3. ``link``: in each signature's bucket candidates are verified against a hub, then against
    another member of the hub's component.  Buckets inside one component need no more pairs,
    which is what keeps a group of thousands of near copies from being squared.  Where
-   different components still meet, all their pairs are tried, but only those become rows
-   whose bitmaps do not prove that they differ in too many tokens.
+   different components still meet, all pairs are tried whose sizes and own tokens allow a
+   link, and only those become rows whose bitmaps do not prove that they differ too much.
 
 Empty texts have no set and no links; texts of fewer than five words have one token, the
 whole sequence.  Repeated rows fall into one class; a null doc_id never is a component's
@@ -24,6 +24,7 @@ id unless all are null; an empty table gives no rows; other columns are not read
 
 from __future__ import annotations
 
+import math
 from itertools import pairwise
 
 import numpy as np
@@ -44,6 +45,8 @@ COMBINE_FROM = 16
 #: Size of the bitmap that bounds in how many tokens two sets differ.
 BITMAP_BITS = 1024
 BITMAP = [f"x{i}" for i in range(BITMAP_BITS // 64)]
+#: Ratio of the sizes that share a cell at most.
+CELL_STEP = 1.03
 
 
 def token_sets(s: scan.Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -369,18 +372,35 @@ def _of_the_hubs_component(placed: DataFrame) -> DataFrame:
     return best.select("sig", F.col("b.h.id").alias("hub"), F.col("b.h.n").alias("n_hub"), F.col("b.h.m").alias("m_hub"), F.col("b.comp").alias("hub_comp"))
 
 
+def _cell(n: F.Column) -> F.Column:
+    """Sizes in steps of ``CELL_STEP``: the cell that a size falls in."""
+    return F.floor(F.log(n.cast("double")) / math.log(CELL_STEP)).cast("int")
+
+
 def _apart(placed: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """a, b: all pairs of a bucket in different components that may still link.
 
+    A set meets only partners of a size that could link with it: no larger than itself, no
+    smaller than three quarters, and small enough that the tokens which are not its own
+    suffice.  Sizes come in cells beside the signature, and cells that a bucket lacks are
+    left out first.  So documents that share a template and little else, whose own tokens
+    rule each other out, are never compared, however many they are.
+
     Sets that link differ in no more than a seventh of their sizes' sum, and their bitmaps
     in no more bits than the sets in tokens.  Nearly all pairs that share many shingles
     without reaching 0.75 fail that test within the join and never become rows.
     """
-    left = placed.join(bitmaps, "id")
-    right = left.select("sig", *[F.col(c).alias(f"{c}_hub") for c in left.columns if c != "sig"])
+    n, m = F.col("n").cast("long"), F.col("m").cast("long")
+    low, high = F.floor((3 * n + 3) / 4), F.least(n, F.floor((7 * m - 3 * n) / 3))
+    probing = placed.where((low <= high) & (high > 0)).withColumn("cell", F.explode(F.sequence(_cell(low), _cell(high))))
+    celled = placed.withColumn("cell", _cell(n))
+    probing = probing.join(celled.select("sig", "cell").distinct(), ["sig", "cell"], "left_semi").join(bitmaps, "id")
+    held = celled.join(bitmaps, "id")
+    held = held.select("sig", "cell", *[F.col(c).alias(f"{c}_hub") for c in held.columns if c not in ("sig", "cell")])
     differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_hub"))) for x in BITMAP[1:]), F.bit_count(F.col(BITMAP[0]).bitwiseXOR(F.col(f"{BITMAP[0]}_hub"))))
-    may = (F.col("comp") != F.col("comp_hub")) & (F.col("id") < F.col("id_hub")) & _near() & (differ * 7 <= F.col("n") + F.col("n_hub"))
-    return left.join(right, "sig").where(may).select(F.col("id").alias("a"), F.col("id_hub").alias("b")).distinct()
+    smaller = (F.col("n_hub") < F.col("n")) | ((F.col("n_hub") == F.col("n")) & (F.col("id_hub") < F.col("id")))
+    may = (F.col("comp") != F.col("comp_hub")) & smaller & _near() & (differ * 7 <= F.col("n") + F.col("n_hub"))
+    return probing.join(held, ["sig", "cell"]).where(may).select(F.least("id", "id_hub").alias("a"), F.greatest("id", "id_hub").alias("b")).distinct()
 
 
 def _near() -> F.Column:
