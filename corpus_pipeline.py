@@ -54,8 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents`` and returns the last one's rows."""
+    """Applies the stages to ``documents`` and returns the last one's rows; what the others wrote is deleted at the end."""
     docs = common.documents(spark, sf_dir)
-    for name, function in STAGES:
-        docs = common.stage(function(spark, docs, sf_dir), name)
+    with common.scratch(spark):
+        for name, function in STAGES:
+            docs = common.stage(function(spark, docs, sf_dir), name, keep=(name, function) == STAGES[-1])
     return docs
