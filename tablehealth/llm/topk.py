@@ -7,11 +7,14 @@ with a tight bounding box and its smallest id.  For a query, the largest inner p
 a box allows is sum(max(q * low, q * high)); nodes are visited best bound first, and a node
 is passed over when its bound is below the k-th score so far, or equal to it with only
 larger ids.  Shards are visited in the same way: each query goes first to the shard whose
-box allows the most, and with the k-th score found there only to those whose boxes allow as
-much.
-
-Queries are rows of a table, sent in blocks to shards; no pair of rows is ever a row of a
-join.  Vectors that are null or empty or hold null or non-finite components take no
+box allows the most, and with the k-th score found there on to the others.  Queries of
+like home shards form parts, a part meets the shards that any of its queries can reach, and
+a task takes a part through a group of these shards, the most promising first, while the
+k-th scores it has so far rule out what is left.
+
+What is stored is one row for each vector, query, and pair of a part and a shard: a query's
+vector goes to groups of shards in packed blocks, and no pair of a query and a shard, or of
+two rows, is ever a row.  Vectors that are null or empty or hold null or non-finite components take no
 part; vectors are compared with those of their own length; equal scores go to the smaller
 id; repeated ids are all kept, and none is compared with rows of its own id.  Other columns are not read.
 """
@@ -30,8 +33,10 @@ from tablehealth.llm import common
 SHARD_ROWS = 8192
 LEAF_ROWS = 64
 QUERY_BLOCK = 256
-#: Queries of a shard, or of a block of boxes, in one task.
+#: Queries of a part, or of a block of boxes, in one task.
 TASK_QUERIES = 1 << 15
+#: Shards that a task takes a part through.
+TASK_SHARDS = 16
 #: Tasks of a search at most.
 MOST_TASKS = 20_000
 #: Boxes that a query is held against at a time.
@@ -39,6 +44,8 @@ BOX_BLOCK = 1 << 14
 #: Vectors that the planes are drawn from, and the values they have together at most.
 SAMPLE_ROWS, SAMPLE_VALUES = 1 << 13, 1 << 21
 SCALE = 256
+#: A score below any other.
+NO_FLOOR = -(1 << 62)
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -194,65 +201,150 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries.select(*[F.col(c).alias(f"{c}_asked") for c in queries.columns])
 
 
-def reachable(queries: DataFrame, held: DataFrame, count: int, n: int) -> DataFrame:
-    """_row, _shard, _bound: for each query, the shards whose boxes allow its _floor; without one, the best shard of each block of boxes."""
-    blocks, parts = max(1, -(-count // BOX_BLOCK)), max(1, -(-n // TASK_QUERIES))
+def _points(rows: pa.Table, column: str) -> np.ndarray:
+    column_ = rows[column].combine_chunks()
+    return column_.flatten().to_numpy(zero_copy_only=False).reshape(len(column_), -1)
+
+
+def _bounds(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """What each box allows each query; sums of doubles may fall short, so a little more."""
+    points = points.astype(np.float64)
+    bounds = np.maximum(points, 0) @ high.T + np.minimum(points, 0) @ low.T
+    return bounds + np.abs(bounds) * 1e-9 + 1
+
+
+def _against_boxes(queries: DataFrame, held: DataFrame, boxes_: int, run, kinds: str) -> DataFrame:
+    """``run(boxes, queries)`` over blocks of boxes and parts of queries (column _part)."""
+    blocks = max(1, -(-boxes_ // BOX_BLOCK))
+    parts = queries.select("_part", "_length").distinct()
+    boxed = held.withColumn("_block", F.pmod(F.xxhash64("_shard"), F.lit(blocks)).cast("int")).join(common.small(common.stage(parts, "parts")), "_length")
+    asked = _asked(queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    keys = ["_block", "_part", "_length"]
+    return boxed.groupBy(*keys).cogroup(asked.groupBy(*[f"{c}_asked" for c in keys])).applyInArrow(run, kinds)
+
+
+def homes(queries: DataFrame, held: DataFrame, boxes_: int) -> DataFrame:
+    """_row, _shard: the shard whose box allows each query the most."""
 
     def run(key, rows: pa.Table, asked: pa.Table) -> pa.Table:
         out = {"_row": [], "_shard": [], "_bound": []}
         if len(rows) and len(asked):
             low, high = (np.array(rows[c].to_pylist(), np.float64) for c in ("_low", "_high"))
-            shards, ids = rows["_shard"].to_numpy(), asked["_row_asked"].to_numpy()
-            floors = asked["_floor_asked"].to_pylist()
+            points, shards = _points(asked, "_vector_asked"), rows["_shard"].to_numpy()
             for at in range(0, len(asked), QUERY_BLOCK):
-                points = asked["_vector_asked"].slice(at, QUERY_BLOCK).combine_chunks()
-                points = points.flatten().to_numpy(zero_copy_only=False).reshape(len(points), -1).astype(np.float64)
-                bounds = np.maximum(points, 0) @ high.T + np.minimum(points, 0) @ low.T
-                bounds += np.abs(bounds) * 1e-9 + 1  # sums of doubles may fall short
-                for i, own in enumerate(bounds):
-                    floor = floors[at + i]
-                    near = np.array([own.argmax()]) if floor is None else np.flatnonzero(own >= floor)
-                    out["_row"].append(np.full(len(near), ids[at + i]))
-                    out["_shard"].append(shards[near])
-                    out["_bound"].append(own[near])
+                bounds = _bounds(points[at : at + QUERY_BLOCK], low, high)
+                best = bounds.argmax(axis=1)
+                out["_row"].append(asked["_row_asked"].to_numpy()[at : at + QUERY_BLOCK])
+                out["_shard"].append(shards[best])
+                out["_bound"].append(bounds[np.arange(len(best)), best])
         return pa.table({c: pa.array(np.concatenate(v) if v else [], pa.float64() if c == "_bound" else pa.int64()) for c, v in out.items()})
 
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    keys = ["_block", "_part", "_length"]
-    boxed = held.withColumn("_block", F.pmod(F.xxhash64("_shard"), F.lit(blocks)).cast("int")).withColumn("_part", every(parts))
-    asked = _asked(queries.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(parts)).cast("int")).withColumn("_block", every(blocks)))
-    return boxed.groupBy(*keys).cogroup(asked.groupBy(*[f"{c}_asked" for c in keys])).applyInArrow(run, "_row long, _shard long, _bound double")
+    parts = max(1, -(-queries.count() // TASK_QUERIES))
+    dealt = queries.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(parts)))
+    found = _against_boxes(dealt, held, boxes_, run, "_row long, _shard long, _bound double")
+    return found.groupBy("_row").agg(F.max_by("_shard", F.struct("_bound", "_shard")).alias("_shard"))
 
 
-def search(dealt: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score: the k best of a shard for each of its queries (asked, staged: vec_id, _row, _vector, _floor, _shard)."""
+def wanted(queries: DataFrame, held: DataFrame, boxes_: int) -> DataFrame:
+    """_part, _shard, _bound: the shards that some query of a part can reach with its _floor, but for those it comes from (_home), and how much they allow."""
 
     def run(key, rows: pa.Table, asked: pa.Table) -> pa.Table:
+        if not len(rows) or not len(asked):
+            return pa.table({"_part": pa.array([], pa.int64()), "_shard": pa.array([], pa.int64()), "_bound": pa.array([], pa.float64())})
+        low, high = (np.array(rows[c].to_pylist(), np.float64) for c in ("_low", "_high"))
+        points, shards = _points(asked, "_vector_asked"), rows["_shard"].to_numpy()
+        floors, home = asked["_floor_asked"].to_numpy(), asked["_home_asked"].to_numpy()
+        most = np.full(len(shards), -np.inf)
+        for at in range(0, len(asked), QUERY_BLOCK):
+            bounds = _bounds(points[at : at + QUERY_BLOCK], low, high)
+            out = (bounds < floors[at : at + QUERY_BLOCK, None]) | (home[at : at + QUERY_BLOCK, None] == shards)
+            most = np.maximum(most, np.where(out, -np.inf, bounds).max(axis=0))
+        near = np.isfinite(most)
+        return pa.table({"_part": pa.array(np.full(int(near.sum()), key[1].as_py())), "_shard": pa.array(shards[near]), "_bound": pa.array(most[near])})
+
+    return _against_boxes(queries, held, boxes_, run, "_part long, _shard long, _bound double")
+
+
+PACKED = "_part long, _ids binary, _homes binary, _floors binary, _vectors binary"
+
+
+def packed(queries: DataFrame) -> DataFrame:
+    """Blocks of up to ``QUERY_BLOCK`` queries of one part and length, each one row."""
+
+    def rows(batches):
+        for batch in batches:
+            part, length = batch["_part"].to_numpy(), batch["_length"].to_numpy()
+            if not len(part):
+                continue
+            edges = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (length[1:] != length[:-1])))
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)], strict=True):
+                for at in range(a, b, QUERY_BLOCK):
+                    own = batch.slice(at, min(QUERY_BLOCK, b - at))
+                    columns = [own[c].to_numpy().astype(np.int64).tobytes() for c in ("vec_id", "_home", "_floor")]
+                    values = own["_vector"].flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int64()), *[pa.array([c], pa.binary()) for c in (*columns, values)]], names=["_part", "_ids", "_homes", "_floors", "_vectors"])
+
+    ordered = queries.select("_part", "_length", "vec_id", "_home", "_floor", "_vector").repartition("_part", "_length").sortWithinPartitions("_part", "_length")
+    return ordered.mapInArrow(rows, PACKED)
+
+
+def _alike(tree: Tree, points: np.ndarray) -> np.ndarray:
+    """Queries in the tree's own kind of number, or both as longs where doubles are not exact."""
+    exact = tree.vectors.dtype == np.float64 and int(np.abs(points).max(initial=0)) * int(np.abs(tree.vectors).max(initial=0)) * points.shape[1] < 2**53
+    if not exact:
+        tree.vectors, tree.low, tree.high = (x.astype(np.int64) for x in (tree.vectors, tree.low, tree.high))
+    return points.astype(tree.vectors.dtype)
+
+
+def _found(rows: list[tuple[int, int, int]]) -> pa.Table:
+    return pa.table({c: pa.array([x[i] for x in rows], pa.int64()) for i, c in enumerate(("query_id", "vec_id", "score"))})
+
+
+def search(dealt: DataFrame, asked: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best that each query has in each group of shards.
+
+    ``asked`` (staged) has vec_id, _vector, _length, _floor, _home and _part, ``pairs``
+    (staged) the _shard s that a _part goes through with their _bound.
+    """
+
+    def run(key, rows: pa.Table, blocks: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
-        if len(rows) and len(asked):
-            tree = Tree(rows["vec_id"].to_numpy(), _matrix(rows["_vector"]))
-            ids, points, floors = asked["vec_id_asked"].to_pylist(), _matrix(asked["_vector_asked"]), asked["_floor_asked"].to_pylist()
-            if points.dtype != tree.vectors.dtype or points.dtype == np.float64 and int(np.abs(points).max()) * int(np.abs(tree.vectors).max()) * points.shape[1] >= 2**53:
-                points, tree.vectors, tree.low, tree.high = (x.astype(np.int64) for x in (points, tree.vectors, tree.low, tree.high))
-            for at in range(0, len(ids), QUERY_BLOCK):
-                bounds = tree.bounds(points[at : at + QUERY_BLOCK])
-                for i, own in enumerate(bounds):
-                    floor = floors[at + i]
-                    found = tree.search(ids[at + i], points[at + i], own.tolist(), k, -np.inf if floor is None else floor)
-                    out += [(ids[at + i], v, s) for s, v in found]
-        return pa.table({"query_id": pa.array([x[0] for x in out], pa.int64()), "vec_id": pa.array([x[1] for x in out], pa.int64()), "score": pa.array([x[2] for x in out], pa.int64())})
-
-    # a shard that very many queries ask is held as often as their blocks need, and one that none asks not at all
-    parts = asked.groupBy("_shard").agg(F.count(F.lit(1)).alias("_n")).select("_shard", F.expr(f"(_n + {TASK_QUERIES - 1}) div {TASK_QUERIES}").cast("int").alias("_parts"))
-    parts = common.small(common.stage(parts, "asked-shards"))
-    held = dealt.join(parts, "_shard").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    asked = asked.join(parts, "_shard").withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int"))
-    keys = ["_shard", "_part"]
-    # little to read and much to do: as many tasks as there are trees to search, not as their bytes fill
-    tasks = max(1, min(MOST_TASKS, 2 * (parts.agg(F.sum("_parts")).first()[0] or 1)))
-    held, asked = held.select(*keys, "vec_id", "_vector").repartition(tasks, *keys), _asked(asked.select(*keys, "vec_id", "_vector", "_floor"))
+        if not len(rows) or not len(blocks):
+            return _found(out)
+        shards, worth = rows["_shard"].to_numpy(), rows["_bound"].to_numpy()
+        order = sorted(set(zip((-worth).tolist(), shards.tolist(), strict=True)))
+        asked = [[np.frombuffer(x, np.int64) for x in (r["_ids_asked"], r["_homes_asked"], r["_floors_asked"], r["_vectors_asked"])] for r in blocks.to_pylist()]
+        best: list[list[list[tuple[int, int]]]] = [[[] for _ in ids] for ids, *_ in asked]
+        floors = [f.astype(np.float64) for _, _, f, _ in asked]
+        for _, shard in order:
+            own = rows.filter(pa.array(shards == shard))
+            tree = Tree(own["vec_id"].to_numpy(), _matrix(own["_vector"]))
+            for (ids, home, _, flat), found, floor in zip(asked, best, floors, strict=True):
+                points = flat.reshape(len(ids), -1)
+                if points.shape[1] != tree.vectors.shape[1]:
+                    continue
+                points = _alike(tree, points)
+                bounds = tree.bounds(points)
+                for i in np.flatnonzero((home != shard) & (bounds[:, 0] >= floor)).tolist():
+                    # a row of the query's own id and equal scores are told apart by the tree itself
+                    both = sorted(found[i] + tree.search(int(ids[i]), points[i], bounds[i].tolist(), k, float(floor[i])), key=lambda x: (-x[0], x[1]))[:k]
+                    found[i] = both
+                    if len(both) == k:
+                        floor[i] = max(floor[i], both[-1][0])
+        for (ids, *_), found in zip(asked, best, strict=True):
+            out += [(int(q), v, s) for q, own in zip(ids.tolist(), found, strict=True) for s, v in own]
+        return _found(out)
+
+    groups = max(1, -(-dealt.select("_shard").distinct().count() // TASK_SHARDS))
+    group = F.pmod(F.xxhash64("_shard"), F.lit(groups))
+    goes = common.small(pairs)
+    held = dealt.join(goes, "_shard").withColumn("_group", group).select("_part", "_group", "_shard", "_bound", "vec_id", "_vector")
+    blocks = packed(asked).join(common.small(common.stage(pairs.select("_part", group.alias("_group")).distinct(), "part-groups")), "_part")
+    # little to read and much to do: as many tasks as there are searches, not as their bytes fill
+    tasks = max(1, min(MOST_TASKS, 2 * pairs.select("_part", group.alias("_group")).distinct().count()))
+    keys = ["_part", "_group"]
     asked_keys = [f"{c}_asked" for c in keys]
-    return held.groupBy(*keys).cogroup(asked.repartition(tasks, *asked_keys).groupBy(*asked_keys)).applyInArrow(run, FOUND)
+    return held.repartition(tasks, *keys).groupBy(*keys).cogroup(_asked(blocks).repartition(tasks, *asked_keys).groupBy(*asked_keys)).applyInArrow(run, FOUND)
 
 
 def top_k(table: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE) -> DataFrame:
@@ -269,18 +361,27 @@ def _top_k(table: DataFrame, k: int, every: int, scale: int) -> DataFrame:
     rows = every_vector.count()
     if rows <= SHARD_ROWS:  # one shard of each length: there is no other to go on to
         whole = every_vector.withColumn("_shard", F.xxhash64("_length"))
-        return ranked(search(whole, whole.where(F.col("vec_id") % every == 0).withColumn("_floor", F.lit(None).cast("long")), k))
+        queries = whole.where(F.col("vec_id") % every == 0).withColumns({"_floor": F.lit(NO_FLOOR), "_home": F.lit(0).cast("long"), "_part": F.col("_shard")})
+        own = common.stage(queries.select("_part", "_shard").distinct().withColumn("_bound", F.lit(0.0)), "own-shards")
+        return ranked(search(whole, queries, own, k))
     dealt = common.stage(deal(every_vector, rows), "shards")
     held = common.stage(boxes(dealt), "boxes")
     queries = dealt.where(F.col("vec_id") % every == 0).drop("_shard")
-    count, n = held.count(), queries.count()
+    count = held.count()
+
+    home = common.stage(homes(queries, held, count), "homes")
+    # queries that begin at one shard are alike: they form parts, split where a shard has many
+    many = home.groupBy("_shard").agg(F.count(F.lit(1)).alias("_n")).select("_shard", F.expr(f"(_n + {TASK_QUERIES - 1}) div {TASK_QUERIES}").alias("_split"))
+    at_home = home.join(common.small(common.stage(many, "home-parts")), "_shard").withColumn("_part", F.xxhash64("_shard", F.pmod(F.xxhash64("_row"), F.col("_split"))))
+    at_home = common.stage(queries.join(at_home.select("_row", "_part", F.col("_shard").alias("_from")), "_row"), "queries")
+    begin = at_home.withColumns({"_floor": F.lit(NO_FLOOR), "_home": F.lit(0).cast("long")})  # no shard is left out yet
+    own = common.stage(at_home.select("_part", F.col("_from").alias("_shard")).distinct().withColumn("_bound", F.lit(0.0)), "home-pairs")
+    first = common.stage(search(dealt, begin, own, k), "home")
 
-    home = reachable(queries.withColumn("_floor", F.lit(None).cast("long")), held, count, n).groupBy("_row").agg(F.max_by("_shard", F.struct("_bound", "_shard")).alias("_shard"))
-    home = common.stage(queries.join(home, "_row").withColumn("_floor", F.lit(None).cast("long")), "home-queries")
-    first = common.stage(search(dealt, home, k), "home")
     floors = first.groupBy("query_id").agg(F.min("score").alias("_least"), F.count(F.lit(1)).alias("_n")).select(F.col("query_id").alias("vec_id"), F.when(F.col("_n") >= k, F.col("_least")).alias("_floor"))
-    # a query that has not found k yet goes on to every shard
-    floored = common.stage(queries.join(floors, "vec_id", "left").withColumn("_floor", F.coalesce("_floor", F.lit(-(1 << 62)))), "floors")
-    others = reachable(floored, held, count, n).select("_row", "_shard").join(home.select("_row", "_shard"), ["_row", "_shard"], "left_anti")
-    others = common.stage(floored.join(others, "_row"), "other-queries")
-    return ranked(first.unionByName(search(dealt, others, k)))
+    # a query that has not found k yet goes on to every shard; parts of neighbours now fill up to a task
+    parts = max(1, -(-at_home.count() // TASK_QUERIES))
+    floored = at_home.join(floors, "vec_id", "left").withColumn("_floor", F.coalesce("_floor", F.lit(NO_FLOOR)))
+    floored = common.stage(floored.withColumn("_part", F.pmod(F.xxhash64("_from"), F.lit(parts))).withColumnRenamed("_from", "_home"), "floors")
+    pairs = common.stage(wanted(floored, held, count), "pairs")
+    return ranked(first.unionByName(search(dealt, floored, pairs, k)))
