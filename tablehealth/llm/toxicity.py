@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     def shard(state, number: int):
         def run(table: pa.Table) -> pa.Table:
             own_z, own_n = (x.astype(np.float64) for x in state.value)
-            table = table.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+            table = table.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("features", "ascending")])  # rows of one id too stand in an order of their own
             rows = [(np.append(unpacked(x), 1 << BITS), y) for x, y in zip(table["features"].to_pylist(), table["label"].to_pylist(), strict=True)]
             order = np.random.Generator(np.random.PCG64(number)).permutation(len(rows))
             train(own_z, own_n, [rows[i] for i in order])
