@@ -51,13 +51,13 @@ _SCRATCH = threading.local()
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Tables staged within are deleted at the end, but for those staged with ``keep``."""
-    outer, _SCRATCH.paths = getattr(_SCRATCH, "paths", None), []
+    """Tables staged within are deleted at the end; those staged with ``keep`` go with the scratch around this one, if there is one."""
+    levels = _SCRATCH.levels = [*getattr(_SCRATCH, "levels", []), []]
     try:
         yield
     finally:
-        done, _SCRATCH.paths = _SCRATCH.paths, outer
-        for path in done:
+        _SCRATCH.levels = levels[:-1]
+        for path in levels[-1]:
             drop(spark, path)
 
 
@@ -71,8 +71,9 @@ def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if not keep and getattr(_SCRATCH, "paths", None) is not None:
-        _SCRATCH.paths.append(path)
+    levels = getattr(_SCRATCH, "levels", [])[: -1 if keep else None]
+    if levels:
+        levels[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -88,8 +88,8 @@ def shingles(text):
     return {tuple(words)} if words else set()
 
 
-def jaccard(docs):
-    """(doc_id, n, component) of every row; rows are told apart by position."""
+def jaccard(docs, groups=False):
+    """(doc_id, n, component) of every row, or its group's number; rows are told apart by position."""
     sets = [shingles(text) for _, text in docs]
     parent = list(range(len(docs)))
 
@@ -107,6 +107,8 @@ def jaccard(docs):
                 parent[find(i)] = find(j)
         for x in s:
             index[x].append(i)
+    if groups:
+        return [find(i) for i in range(len(docs))]
     least = {}
     for i, (doc_id, _) in enumerate(docs):
         if doc_id is not None:

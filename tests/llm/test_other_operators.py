@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import zlib
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablehealth.llm import catalogue, common, licences, mixing, topk, toxicity
+from tablehealth.llm import catalogue, common, encode, licences, mixing, topk, toxicity
 from tests.llm import brute
 
 
@@ -214,14 +215,17 @@ def test_shards_are_bounded_when_an_id_repeats(spark, monkeypatch):
 def test_queries_go_only_to_shards_within_reach(spark, monkeypatch):
     """Far groups of vectors: the k-th score of the first shard shuts the others out."""
     monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    monkeypatch.setattr(topk, "TASK_QUERIES", 8)
     rng = np.random.default_rng(8)
     rows = [(50 * i if i % 5 == 0 else 50 * i + 1, (rng.normal(size=3) * 0.1 + 10 * np.eye(3)[i % 3]).tolist()) for i in range(600)]
     asked, search = [], topk.search
-    monkeypatch.setattr(topk, "search", lambda dealt, queries, k: asked.append((queries.count(), dealt.select("_shard").distinct().count())) or search(dealt, queries, k))
+    monkeypatch.setattr(topk, "search", lambda dealt, queries, pairs, k: asked.append((queries.count(), queries.select("_part").distinct().count(), pairs.count(), dealt.select("_shard").distinct().count())) or search(dealt, queries, pairs, k))
     found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert sorted(tuple(r) for r in found) == expected_top_of_repeated(rows)
-    (home, shards), (others, _) = asked
-    assert home == 120 and shards >= 12 and others < home * (shards - 1) / 2
+    (n, _, home, shards), (again, parts, others, _) = asked
+    # what is stored: a row for each query, and one for each part and shard that meet
+    assert n == again == 120 and shards >= 12 and parts >= 3 and home <= 120
+    assert others < parts * (shards - 1)
 
 
 def test_top_k_of_one_leaf_with_copies(spark):
@@ -266,6 +270,41 @@ def test_toxicity_learns_and_holds_out(spark):
     assert len({r.score for r in found if r.doc_id in (2000, 2001)}) == 1
 
 
+def test_ftrl_equals_a_plain_one():
+    """Coordinate by coordinate, in plain Python."""
+    rng = np.random.default_rng(2)
+    rows = [(np.append(np.unique(rng.integers(0, 40, rng.integers(1, 12))), 40), int(rng.random() < 0.4)) for _ in range(400)]
+    z, n = np.zeros(41), np.zeros(41)
+    toxicity.train(z, n, rows)
+    plain_z, plain_n = [0.0] * 41, [0.0] * 41
+    for at, label in rows:
+        w = {}
+        for i in at.tolist():
+            rate = (toxicity.BETA + math.sqrt(plain_n[i])) / toxicity.ALPHA + toxicity.L2
+            l1 = 0.0 if i == 40 else toxicity.L1
+            w[i] = 0.0 if abs(plain_z[i]) <= l1 else -(plain_z[i] - math.copysign(l1, plain_z[i])) / rate
+        g = 1 / (1 + math.exp(-sum(w.values()))) - label
+        for i in w:
+            sigma = (math.sqrt(plain_n[i] + g * g) - math.sqrt(plain_n[i])) / toxicity.ALPHA
+            plain_z[i] += g - sigma * w[i]
+            plain_n[i] += g * g
+    assert z == pytest.approx(plain_z, abs=1e-9) and n == pytest.approx(plain_n, abs=1e-9)
+
+
+def test_toxicity_of_awkward_tables(spark):
+    """Rows of one id in any order give one model; columns may clash; a very long text is scored whole."""
+    rng = random.Random(5)
+    rows = [(i // 2, " ".join(rng.choice(["vileword", "good", "plain", "talk", f"w{rng.randrange(30)}"]) for _ in range(12)), "s", 1, b"x", 0.5) for i in range(300)]
+    rows.append((900, "good " * 200_000 + "vileword " * 50, "s", 1, b"x", 0.5))
+    marks = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(150)], "doc_id long, quality int, toxic int")
+    schema = "doc_id long, text string, shard string, label int, features binary, score double"
+    found = []
+    for order in (rows, rows[::-1]):
+        scored = toxicity.classify(spark.createDataFrame(order, schema).repartition(3), marks).collect()
+        found.append(sorted((r.doc_id, r.score, r.predicted, r.held_out) for r in scored))
+    assert found[0] == found[1] and len(found[0]) == 301
+
+
 def test_toxicity_without_labels(spark, docs, nothing):
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.predicted == 0 for r in toxicity.classify(docs, marks).collect())
@@ -530,19 +569,68 @@ def test_oracle_sql_agrees(spark, sf_dir):
         assert brute.order(tuple(r) for r in df.collect()) == brute.order(tuple(r[i] for i in order) for r in expected.fetchall()), name
 
 
-def test_pipeline(spark, sf_dir):
+def _words(text):
+    return [w.decode() for w in (text or "").encode().split()]
+
+
+def _check_stage(name, before, after, columns):
+    """A stage's output against plain versions over its own input."""
+    pairs = [(r.doc_id, r.text) for r in before]
+    last = lambda d: float("inf") if d is None else d
+    if name == "quality_rules":
+        base = [brute.quality(t) for _, t in pairs]
+        failed = [b[0] < 10 or 100 * b[4] > 20 * b[0] for b in base]
+        kept = brute.verdicts([(r.source, f) for r, f in zip(before, failed, strict=True)])
+        assert brute.order(map(tuple, after)) == brute.order(tuple(r) for r, k in zip(before, kept, strict=True) if k)
+    elif name == "jaccard_join":
+        groups = {}
+        for i, group in enumerate(brute.jaccard(pairs, groups=True)):
+            groups.setdefault(group, []).append((last(pairs[i][0]), i))
+        assert sorted(last(r.doc_id) for r in after) == sorted(min(g)[0] for g in groups.values())
+        assert {tuple(r) for r in after} <= {tuple(r) for r in before}
+    elif name == "substring_dedup":
+        expected = brute.order((d, sha) for d, n, gone, sha in brute.word_repeats(pairs) if n > gone)
+        assert brute.order((r.doc_id, hashlib.sha256(" ".join(_words(r.text)).encode()).hexdigest()) for r in after) == expected
+        assert all(r.n_chars == len(r.text) for r in after)
+    elif name == "source_mix":
+        size, got = {}, {}
+        for r in before:
+            size[r.source] = size.get(r.source, 0) + len(_words(r.text))
+        for r in after:
+            got[r.source] = got.get(r.source, 0) + len(_words(r.text))
+        names = sorted((s for s in size), key=lambda s: (s is None, s or ""))
+        due = brute.targets([size[s] for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))])
+        for s, target in zip(names, due, strict=True):
+            assert abs(got.get(s, 0) - target) <= max(0.05 * target, 260), (s, got.get(s, 0), target)
+    else:
+        encoder = encode.encoder(encode.vocabulary_path("byte_bpe_50k.json"))
+        assert sum(r.length for r in after) == sum(len(encoder.encode_many([t])[0]) + 1 for _, t in pairs)
+        filled = {}
+        for r in sorted(after, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == filled.get(r.sequence_id, 0)
+            filled[r.sequence_id] = r.offset + r.length
+        assert max(filled.values(), default=0) <= 1024
+    if name != "best_fit_packing":
+        assert columns[0] == columns[1]
+
+
+@pytest.mark.parametrize("table", ["given", "awkward", "empty"])
+def test_pipeline(spark, sf_dir, docs, nothing, table):
     import corpus_pipeline
 
-    docs = common.documents(spark, sf_dir)
-    columns = docs.columns
-    counts = []
+    frame = {"given": lambda: common.documents(spark, sf_dir), "awkward": lambda: docs, "empty": lambda: nothing}[table]()
     for name, function in corpus_pipeline.STAGES:
-        docs = common.stage(function(spark, docs, sf_dir), name)
-        counts.append(docs.count())
-        if name != "best_fit_packing":
-            assert docs.columns == columns
-    assert counts[0] >= counts[1] >= counts[2] > 0
-    assert docs.groupBy("sequence_id").agg({"length": "sum"}).agg({"sum(length)": "max"}).first()[0] <= 1024
+        found = common.stage(function(spark, frame, sf_dir), name)
+        _check_stage(name, frame.collect(), found.collect(), (frame.columns, found.columns))
+        frame = found
+
+
+def test_pipeline_leaves_its_result_alone_behind(spark, sf_dir, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert len(list(tmp_path.iterdir())) == 1
 
 
 def test_thin_keeps_every_row_with_a_partner_and_few_others(spark):
