@@ -51,9 +51,13 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def seconds_between(start: Column, end: Column) -> Column:
-    """Seconds with two decimals; null where either end is missing."""
-    micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
-    return F.round(micros / F.lit(1000000.0), 2)
+    """Seconds with two decimals; null where either end is missing.
+
+    Times without a zone are taken as they are: no hour comes or goes where clocks change.
+    """
+    apart = end - start
+    parts = [F.extract(F.lit(unit), apart) * seconds for unit, seconds in (("DAY", 86_400), ("HOUR", 3600), ("MINUTE", 60))]
+    return F.round((sum(parts, F.extract(F.lit("SECOND"), apart))).cast("double"), 2)
 
 
 def storage_class(access_method: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablehealth.functions import expressions as X
 from tablehealth.operators.history import union_all
+from tablehealth.operators.ranking import numbered
 from tablehealth.sources.catalog import Catalog
 from tablehealth.sources.files import keep, staging
 
@@ -107,8 +108,7 @@ def expand(edges: DataFrame, selected: DataFrame) -> DataFrame:
     """
     found = leaves(edges, selected.select("node").distinct()).join(selected.select("pos", F.col("node").alias("root")), "root")
     first = found.groupBy("node").agg(F.min(F.struct("pos", "level_no")).alias("_first"))
-    order = Window.orderBy("_first.pos", "_first.level_no", "node")
-    return first.select("node", F.row_number().over(order).cast("long").alias("position"))
+    return numbered(first, F.col("_first.pos"), F.col("_first.level_no"), F.col("node")).select("node", "position")
 
 
 def relation_edges(catalog: Catalog) -> DataFrame:

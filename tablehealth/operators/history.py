@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablehealth.functions import expressions as X
+from tablehealth.operators.ranking import numbered
 
 RESULT_ORDER = (F.desc, "skew_ratio"), (F.desc, "total_rows"), (F.asc, "schema_name"), (F.asc, "table_name")
 
@@ -16,11 +17,6 @@ def _ordered(df: DataFrame, *first) -> DataFrame:
     return df.orderBy(*first, *[way(name) for way, name in RESULT_ORDER])
 
 
-def _limited(df: DataFrame, limit: int | None) -> DataFrame:
-    """A negative or missing limit is none."""
-    return df if limit is None or limit < 0 else df.limit(limit)
-
-
 def parse_limit(text: str | None, default: int = 100) -> int:
     try:
         return int(text)
@@ -29,9 +25,15 @@ def parse_limit(text: str | None, default: int = 100) -> int:
 
 
 def ranked(results: DataFrame, limit: int | None = 500) -> DataFrame:
-    """Most severe first, then by ratio, rows and name; ``position`` shows the order."""
+    """Most severe first, then by ratio, rows and name; ``position`` shows the order.
+
+    A negative or missing limit is none.
+    """
     order = [F.asc("_rank"), *[way(name) for way, name in RESULT_ORDER]]
-    top = _limited(results.withColumn("_rank", X.severity_rank(F.col("status"))).orderBy(*order), limit)
+    marked = results.withColumn("_rank", X.severity_rank(F.col("status")))
+    if limit is None or limit < 0:
+        return numbered(marked, *order).drop("_rank")
+    top = marked.orderBy(*order).limit(limit)
     return top.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long")).drop("_rank")
 
 

@@ -126,6 +126,10 @@ class Files:
                     total, count = total + status.getLen(), count + 1
         return total, count
 
+    def modified(self, name: str) -> int:
+        """When a file or folder was last changed, in nanoseconds."""
+        return self._fs.getFileStatus(self._at(name)).getModificationTime() * 1_000_000
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
 

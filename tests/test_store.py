@@ -116,6 +116,23 @@ def test_rows_of_the_log_start_no_job(spark, store):
     assert log.stopping(job, since)  # asked of the snapshot now
 
 
+def test_a_reader_meets_a_compaction_between_listing_and_reading(spark, store, monkeypatch):
+    log, reader = jobs.JobLog(store), stores.Store(spark, store.path)
+    for i in range(3):
+        log.record(1, "running", i)
+    names = reader.files.names
+
+    def listed(folder=""):
+        found = names(folder)
+        monkeypatch.setattr(reader.files, "names", names)
+        store.compact("job_events")
+        store.vacuum(0)
+        return found
+
+    monkeypatch.setattr(reader.files, "names", listed)
+    assert sorted(r.item_id for r in reader.read("job_events").collect()) == [0, 1, 2]
+
+
 # leases
 
 
@@ -208,6 +225,25 @@ def test_the_last_accepted_event_gives_time_and_message(spark):
 # hierarchies, profiles, layouts, service
 
 
+def test_positions_without_one_task(spark):
+    from tablehealth.operators.ranking import numbered
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.lit("x").alias("position_")).repartition(7)
+    found = numbered(df, F.desc("k"))
+    assert found.count() == 5000 and found.where("k + position <> 5000").isEmpty()
+    assert numbered(df.where("false"), F.col("k")).isEmpty()
+
+
+def test_durations_where_clocks_change(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    from tablehealth.functions import expressions as X
+
+    rows = [("2024-03-31 01:00:00", "2024-03-31 04:00:00.125"), ("2024-10-27 01:00:00", "2024-10-28 01:00:00"), ("2024-01-02 00:00:00", "2024-01-01 23:59:00"), (None, "2024-01-01 00:00:00")]
+    df = own.createDataFrame(rows, "a string, b string").select(F.col("a").cast("timestamp_ntz").alias("a"), F.col("b").cast("timestamp_ntz").alias("b"))
+    assert [r[0] for r in df.select(X.seconds_between(F.col("a"), F.col("b"))).collect()] == [10800.13, 86400.0, -60.0, None]
+
+
 def test_deep_and_shared_hierarchies(spark):
     chain = spark.range(2500).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("parent"), F.concat(F.lit("n"), (F.col("id") + 1).cast("string")).alias("child"))
     roots = spark.createDataFrame([("n0",), ("n2400",), ("alone",)], "node string")
