@@ -129,6 +129,30 @@ def targets(sizes, weights, most_times=3):
         capped |= over
 
 
+def mixed(sources, placed, phi, unit, most_times=3):
+    """Words taken of each row: slot by slot, each point's source, the next of its blocks, and the rows that lie in it.
+
+    ``sources``: number to (size, blocks, low, high); ``placed``: (row, source, first word, words).
+    """
+    due = max((s[3] for s in sources.values()), default=0)
+    used, rank = collections.Counter(), collections.Counter()
+    for j in range(-(-due // unit)):
+        point = min(int(((j * phi) % (1 << 64) >> 11) * 2.0**-53 * due), due - 1)
+        source = next(k for k, (_, _, low, high) in sources.items() if low <= point < high)
+        epoch, block = divmod(rank[source], sources[source][1])
+        rank[source] += 1
+        if epoch < most_times:
+            used[source, block] += 1
+    taken = collections.Counter()
+    for row, source, first, words in placed:
+        size, blocks = sources[source][:2]
+        for (s, block), times in used.items():
+            if s == source:
+                begin, end = block * size // blocks, (block + 1) * size // blocks
+                taken[row] += times * max(0, min(end, first + words) - max(begin, first))
+    return taken
+
+
 def best_fit(lengths, most, open_bins):
     """Bin and offset of each length in the given order, by looking at every open bin."""
     bins, out, opened = [], [], 0

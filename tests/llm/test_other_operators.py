@@ -90,6 +90,21 @@ def test_mix_meets_targets_and_limits(docs, edges):
     assert brute.order(map(tuple, again)) == brute.order(map(tuple, found))
 
 
+def test_taken_words_equal_a_walk_over_all_slots(docs):
+    """Slot by slot and block by block in plain Python, from the sources and the documents' places in them."""
+    with common.scratch(docs.sparkSession):
+        sized, placed, sources = mixing.prepare(docs)
+        rows = {r["_row"]: (r["doc_id"], r["_doc"], r["_key"]) for r in sized.collect()}
+        places = [(r["_row"], r["_source"], r["_at"], r["size"]) for r in placed.collect()]
+        known = {r["_source"]: (r["source_size"], r["blocks"], r["_low"], r["_high"]) for r in sources.collect() if r["blocks"]}
+    for source, (size, *_) in known.items():  # documents lie side by side in their source
+        own = sorted((at, n) for _, s, at, n in places if s == source)
+        assert [at for at, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) == size
+    words = brute.mixed(known, places, int(mixing._PHI), mixing.DUE_UNIT)
+    expected = brute.order((*identity, words[row]) for row, identity in rows.items())
+    assert brute.order((r["doc_id"], r["_doc"], r["_key"], r["taken"]) for r in mixing.taken(docs).collect()) == expected
+
+
 @pytest.mark.parametrize(("small", "target"), [(20, 60), (40, 120), (130, 390)])
 def test_small_source_beside_large_ones_gets_its_target(spark, small, target):
     rows = [(i, " ".join(["w"] * 500), s) for s in ("b", "c") for i in range(40)] + [(99, " ".join(["v"] * small), "a")]
