@@ -35,7 +35,7 @@ LEAF_ROWS = 64
 QUERY_BLOCK = 256
 #: Queries of a part, or of a block of boxes, in one task.
 TASK_QUERIES = 1 << 15
-#: Shards that a task takes a part through.
+#: Shards that a task takes a part through at most, on average.
 TASK_SHARDS = 16
 #: Tasks of a search at most.
 MOST_TASKS = 20_000
@@ -335,7 +335,10 @@ def search(dealt: DataFrame, asked: DataFrame, pairs: DataFrame, k: int) -> Data
             out += [(int(q), v, s) for q, own in zip(ids.tolist(), found, strict=True) for s, v in own]
         return _found(out)
 
-    groups = max(1, -(-dealt.select("_shard").distinct().count() // TASK_SHARDS))
+    parts, shards = pairs.select("_part").distinct().count(), pairs.select("_shard").distinct().count()
+    # few parts go through smaller groups, so that every core has a search to do
+    cores = dealt.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-shards // TASK_SHARDS), min(shards, -(-2 * cores // max(1, parts))))
     group = F.pmod(F.xxhash64("_shard"), F.lit(groups))
     goes = common.small(pairs)
     held = dealt.join(goes, "_shard").withColumn("_group", group).select("_part", "_group", "_shard", "_bound", "vec_id", "_vector")
