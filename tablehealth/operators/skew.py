@@ -106,3 +106,13 @@ def analyze_many(tables: dict[str, tuple], failed: dict[str, str] | None = None)
 def top_segments(counts: DataFrame, most: int = 1000) -> DataFrame:
     """The fullest segments, at most so many, by count and then id: what a reply can carry."""
     return counts.orderBy(F.desc("row_count"), F.asc("segment_id")).limit(most)
+
+
+def with_segments(df: DataFrame, segment: Column, segments: int | None = None) -> DataFrame:
+    """The statistics of ``analyze`` with all segments nested in order: for declared or few segments.
+
+    Where their number is unknown, store ``segment_counts`` and show ``top_segments``.
+    """
+    counts = segment_counts(df, segment, segments)
+    nested = counts.agg(F.array_sort(F.collect_list(F.struct("segment_id", "row_count"))).alias("segments"))
+    return statistics(counts).join(nested, F.lit(True))
