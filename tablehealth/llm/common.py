@@ -108,16 +108,22 @@ def thin(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     A broadcast bitmap of 32 bits or more a key, up to ``FILTER_BYTES``, never leaves out a
     row with a partner.  Keys so many that they would fill half of it go without one.
     """
+    return parted(df, keys, on)[0]
+
+
+def parted(df: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` as the rows that ``thin`` leaves and those that surely have no partner; none of the latter without a bitmap."""
     many = keys.count()
     bits = 1 << min(max(15, (32 * many).bit_length()), (8 * FILTER_BYTES).bit_length() - 1)
     if 2 * many > bits:
-        return df
+        return df, None
     bit = F.xxhash64(*on).bitwiseAND(bits - 1)
     page, place = F.floor(bit / (1 << 15)), bit.bitwiseAND((1 << 15) - 1)
     dealt = keys.select(page.alias("_page"), place.alias("_place")).repartition("_page")
     bitmaps = dealt.groupBy("_page").agg(F.bitmap_construct_agg("_place").alias("_bits"))
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
-    return df.join(F.broadcast(bitmaps), (page == F.col("_page")) & (F.getbit(byte, place.bitwiseAND(7).cast("int")) == 1), "left_semi")
+    hit = (page == F.col("_page")) & (F.getbit(byte, place.bitwiseAND(7).cast("int")) == 1)
+    return df.join(F.broadcast(bitmaps), hit, "left_semi"), df.join(F.broadcast(bitmaps), hit, "left_anti")
 
 
 #: In the place of a null doc_id: larger than any other.

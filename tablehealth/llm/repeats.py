@@ -320,5 +320,9 @@ def attach(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Rows with their ``row_id`` and their cuts beside them: _starts and _ends (null: none)."""
     runs, n = found.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0)), F.count(F.lit(1))).first()
     found = found.select(*common.ROW, F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
-    found = F.broadcast(found) if runs * 16 + n * common.row_bytes(found) <= common.broadcast_limit(docs.sparkSession) else found
-    return docs.join(found, common.ROW, "left")
+    if runs * 16 + n * common.row_bytes(found) <= common.broadcast_limit(docs.sparkSession):
+        return docs.join(F.broadcast(found), common.ROW, "left")
+    # texts without cuts stay where they are
+    cut, whole = common.parted(docs, found, common.ROW)
+    joined = cut.join(found, common.ROW, "left")
+    return joined if whole is None else joined.unionByName(whole.withColumns({c: F.lit(None).cast("array<long>") for c in ("_starts", "_ends")}))
