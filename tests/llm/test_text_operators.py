@@ -144,6 +144,12 @@ def test_empty_tables(nothing):
     assert jaccard.join(nothing).count() == 0
 
 
+def test_cuts_meet_their_texts_by_shuffle_too(spark, docs, pairs, monkeypatch):
+    monkeypatch.setattr("tablehealth.llm.common.broadcast_limit", lambda spark: 0)
+    assert rows(substring_dedup.digest(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.order(brute.word_repeats(pairs))
+    assert rows(byte_dedup.digest(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.order(brute.byte_repeats(pairs))
+
+
 def test_pipeline_filters_on_empty_tables(nothing):
     for keep in (quality.keep, jaccard.keep_first, substring_dedup.remove):
         out = keep(nothing)
