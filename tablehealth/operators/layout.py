@@ -155,10 +155,15 @@ def compact(spark: SparkSession, table: str, file_bytes: int = FILE_BYTES) -> di
                 return _outcome(table, began, True, "SUCCESS", "Nothing to rewrite", partitions=0, files_before=0, files_after=0)
             sizes = catalog.file_sizes(spark.table(table))
             folder = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1), "^file:/+", "file:/")
-            parts = {f: max(1, -(-sum(n for name, n in sizes.items() if name.rpartition("/")[0] == f) // file_bytes)) for f in wanted}
+            held = dict.fromkeys(wanted, 0)
+            for name, n in sizes.items():
+                if (f := name.rpartition("/")[0]) in held:
+                    held[f] += n
+            parts = {f: max(1, -(-n // file_bytes)) for f, n in held.items()}
+            # the names leave out other folders' files before they are opened; the numbers come by a join, as there may be very many
             rows = spark.table(table).withColumn("_folder", folder).where(F.col("_folder").isin([_as_metadata(f) for f in wanted]))
-            files = F.create_map(*[x for f, n in parts.items() for x in (F.lit(_as_metadata(f)), F.lit(n))])
-            numbered = rows.withColumn("_file", F.floor(F.rand(7) * F.try_element_at(files, F.col("_folder"))))
+            due = spark.createDataFrame([(_as_metadata(f), n) for f, n in parts.items()], "_folder string, _files int")
+            numbered = rows.join(due, "_folder").withColumn("_file", F.floor(F.rand(7) * F.col("_files"))).drop("_files")
             with staging(spark, "compact") as stage:
                 staged = stage(numbered)
                 if lease.lost:

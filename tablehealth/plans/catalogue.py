@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablehealth.functions import expressions as X
-from tablehealth.operators import hierarchy, history, jobs, layout, machine, profile, recommend, skew
+from tablehealth.operators import hierarchy, history, jobs, layout, machine, profile, ranking, recommend, skew
 from tablehealth.plans import derived
 from tablehealth.sources import catalog, files, segments
 from tablehealth.sources import store as stores
@@ -218,7 +218,7 @@ def latest_results(spark, sf_dir):
 @query(f"""WITH {derived.cte("results")} SELECT id, schema_name, table_name, CAST(row_number() OVER (ORDER BY {_ORDER}) AS BIGINT) AS position FROM results WHERE job_id = 5""")
 def results_of_job(spark, sf_dir):
     order = [way(c) for way, c in history.RESULT_ORDER]
-    return history.of_job(derived.frame(spark, sf_dir, "results"), 5).select("id", "schema_name", "table_name", F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"))
+    return ranking.numbered(history.of_job(derived.frame(spark, sf_dir, "results"), 5), *order).select("id", "schema_name", "table_name", "position")
 
 
 @query(f"""WITH {derived.cte("results", "segments")} SELECT s.skew_result_id, r.schema_name, r.table_name, s.segment_id, s.row_count, r.status, r.skew_ratio, r.total_rows FROM segments s JOIN results r ON r.id = s.skew_result_id""")
