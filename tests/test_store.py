@@ -254,6 +254,38 @@ def test_deep_and_shared_hierarchies(spark):
     assert hierarchy.walk(diamond.where("false"), spark.createDataFrame([("a",)], "node string")).count() == 1
 
 
+def test_thinned_hierarchies_lose_nothing(spark, monkeypatch):
+    """Chains, stars, trees and shared nodes, thinned to a few edges first, against a plain walk."""
+    random = __import__("random").Random(3)
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(300)] + [(f"c{i}", f"side{i}") for i in range(0, 300, 3)]
+    shared = [(f"s{i}", f"s{j}") for i in range(40) for j in range(i + 1, min(i + 4, 40)) if random.random() < 0.5]
+    tree = [(f"t{random.randrange(i)}", f"t{i}") for i in range(1, 200)]
+    edges = [("top", "c0"), ("top", "s0"), ("top", "t0"), ("c300", "s1")] + chain + shared + tree
+    tops = ["top", "c150", "s3", "side9", "nowhere", "t1"]
+    below = {}
+    for p, c in edges:
+        below.setdefault(p, []).append(c)
+    expected = set()
+    for top in tops:
+        level, nodes = 0, {top}
+        while nodes:
+            expected |= {(top, n, level) for n in nodes}
+            level, nodes = level + 1, {c for n in nodes for c in below.get(n, [])}
+    rounds = []
+    plain = hierarchy._doubled
+    monkeypatch.setattr(hierarchy, "_doubled", lambda found, left, gone, stage: rounds.append((left.count(), len(gone))) or plain(found, left, gone, stage))
+    frame, roots = spark.createDataFrame(edges + edges[:9], "parent string, child string"), spark.createDataFrame([(t,) for t in tops], "node string")
+    found = hierarchy.walk(frame, roots, small=100)
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == expected
+    assert rounds[0][0] < len(set(edges)) / 2 and rounds[0][1] > 1  # and little was left to double
+    assert dict(found.dtypes)["level_no"] == "int"
+    ring = [(f"r{i:02}", f"r{(i + 1) % 60:02}") for i in range(60)] + [("in", "r07"), ("r30", "out"), ("out", "end")]
+    with pytest.raises(hierarchy.CycleError) as error:
+        hierarchy.walk(spark.createDataFrame(ring, "parent string, child string"), spark.createDataFrame([("in",)], "node string"), small=4)
+    assert error.value.nodes == [f"r{i:02}" for i in range(20)]
+
+
 def test_sketches_reject_and_exact_checks_decide(spark):
     n = 20_000
     df = spark.range(n).select("id", (F.col("id") % 19_000).alias("near"), F.when(F.col("id") > 5, F.col("id")).alias("gap"), F.lit("x").alias("one"), F.col("id").cast("string").alias("text"))
