@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 import uuid
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from tablehealth.sources.files import Leases, shared_path, staging
 
 #: A table is cut into so many bytes a file or bucket where no number is given, and into one of each at least.
 FILE_BYTES = 128 << 20
+#: Largest list of folders that is sent to every executor.
+BROADCAST_BYTES = 16 << 20
 # Fixed values.
 MAINTENANCE = ("analyze", "full", "freeze", "full_analyze", "freeze_analyze")
 
@@ -162,15 +165,18 @@ def compact(spark: SparkSession, table: str, file_bytes: int = FILE_BYTES) -> di
             parts = {f: max(1, -(-n // file_bytes)) for f, n in held.items()}
             # the names leave out other folders' files before they are opened; the numbers come by a join, as there may be very many
             rows = spark.table(table).withColumn("_folder", folder).where(F.col("_folder").isin([_as_metadata(f) for f in wanted]))
-            due = spark.createDataFrame([(_as_metadata(f), n) for f, n in parts.items()], "_folder string, _files int")
-            numbered = rows.join(due, "_folder").withColumn("_file", F.floor(F.rand(7) * F.col("_files"))).drop("_files")
+            firsts = [0, *accumulate(parts.values())]  # each new file has a number of its own
+            due = spark.createDataFrame([(_as_metadata(f), n, first) for (f, n), first in zip(parts.items(), firsts)], "_due string, _files int, _first int")
+            # one row a folder and counted already; shuffled by folder, a task would hold the largest partition
+            due = F.broadcast(due) if sum(len(f) + 64 for f in parts) <= BROADCAST_BYTES else due
+            numbered = rows.join(due, F.col("_folder") == F.col("_due")).withColumn("_file", (F.col("_first") + F.floor(F.rand(7) * F.col("_files"))).cast("int")).drop("_folder", "_due", "_files", "_first")
             with staging(spark, "compact") as stage:
                 staged = stage(numbered)
                 if lease.lost:
                     raise RuntimeError("The claim on the table ran out")
                 if staged.isEmpty():
                     raise RuntimeError("The small files could not be told by their names")
-                _replace_partitions(staged, _claim(spark, table))
+                _replace_partitions(staged, _claim(spark, table), firsts[-1])
             spark.catalog.refreshTable(table)
             after = catalog.file_sizes(spark.table(table))
             count = lambda found: sum(name.rpartition("/")[0] in wanted for name in found)
@@ -184,17 +190,18 @@ def _as_metadata(folder: str) -> str:
     return re.sub("^file:/+", "file:/", folder)
 
 
-def _replace_partitions(staged: DataFrame, table: str) -> None:
-    """Overwrite the partitions that ``staged`` has rows of, and no others.
+def _replace_partitions(staged: DataFrame, table: str, files: int) -> None:
+    """Overwrite the partitions that ``staged`` has rows of, and no others, by a task for each of so many ``files``.
 
     In a session of its own, so that the caller's settings stay as they are.
     """
     own = staged.sparkSession.newSession()
     own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    # a task meets one partition, so its rows need not be sorted by partition first
+    own.conf.set("spark.sql.maxConcurrentOutputFileWriters", "1")
     folder = staged.inputFiles()[0].rpartition("/")[0]
     rows = own.read.schema(staged.schema).parquet(folder)
-    parts = rows.select("_folder", "_file").distinct().count()
-    rows.repartition(parts, "_folder", "_file").select(*own.table(table).columns).write.mode("overwrite").insertInto(table)
+    rows.repartitionById(files, F.col("_file")).select(*own.table(table).columns).write.mode("overwrite").insertInto(table)
 
 
 def reorganize(spark: SparkSession, table: str) -> dict:

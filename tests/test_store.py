@@ -256,10 +256,10 @@ def test_deep_and_shared_hierarchies(spark):
 
 def test_thinned_hierarchies_lose_nothing(spark, monkeypatch):
     """Chains, stars, trees and shared nodes, thinned to a few edges first, against a plain walk."""
-    random = __import__("random").Random(3)
+    draw = random.Random(3)
     chain = [(f"c{i}", f"c{i + 1}") for i in range(300)] + [(f"c{i}", f"side{i}") for i in range(0, 300, 3)]
-    shared = [(f"s{i}", f"s{j}") for i in range(40) for j in range(i + 1, min(i + 4, 40)) if random.random() < 0.5]
-    tree = [(f"t{random.randrange(i)}", f"t{i}") for i in range(1, 200)]
+    shared = [(f"s{i}", f"s{j}") for i in range(40) for j in range(i + 1, min(i + 4, 40)) if draw.random() < 0.5]
+    tree = [(f"t{draw.randrange(i)}", f"t{i}") for i in range(1, 200)]
     edges = [("top", "c0"), ("top", "s0"), ("top", "t0"), ("c300", "s1")] + chain + shared + tree
     tops = ["top", "c150", "s3", "side9", "nowhere", "t1"]
     below = {}
@@ -329,6 +329,36 @@ def test_only_partitions_with_small_files_are_rewritten(spark):
     assert not layout.compact(spark, "partly.plain")["ok"] and spark.table("partly.plain").count() == 5
 
 
+def test_each_merged_file_has_its_own_task(spark):
+    """As many files as the bytes fill: none of two that met in one task, and no sort of a whole partition."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS partly")
+    rows = spark.range(60_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"), (F.col("id") % 3).alias("p"))
+    rows.repartition(20).write.partitionBy("p").saveAsTable("partly.even")
+    before = catalog.file_sizes(spark.table("partly.even"))
+    wanted = sum(before.values()) // 24
+    held = {}
+    for name, size in before.items():
+        held[name.rpartition("/")[0]] = held.get(name.rpartition("/")[0], 0) + size
+    done = layout.compact(spark, "partly.even", wanted)
+    assert done["ok"] and done["files_after"] == sum(-(-n // wanted) for n in held.values()) > 20, done
+    assert max(catalog.file_sizes(spark.table("partly.even")).values()) < 1.5 * wanted
+    assert spark.table("partly.even").exceptAll(rows.select("id", "text", "p")).isEmpty() and spark.table("partly.even").count() == 60_000
+
+
+def test_compaction_of_orders_with_several_whole_files(spark, monkeypatch):
+    """The partition that stays is cut into files too large to be merged."""
+    sf_dir = "/root/testdata/sf0.01"
+    monkeypatch.setattr(layout, "FILE_BYTES", 32 << 10)
+    monkeypatch.setattr(layout.compact, "__defaults__", (32 << 10,))
+    spark.sql("CREATE DATABASE IF NOT EXISTS partly")
+    monkeypatch.setattr(catalogue, "_scratch", lambda spark: "partly.orders")
+    found = tuple(catalogue.queries()["layout_compact"](spark, sf_dir).first())
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    assert found == tuple(orders.agg(F.count("*"), F.sum("o_orderkey"), F.count_distinct("o_orderstatus") - 1).first())
+    assert sum("o_orderstatus=P/" in f for f in catalog.file_sizes(spark.table("partly.orders"))) > 1
+    assert spark.table("partly.orders").select(*orders.columns).exceptAll(orders).isEmpty()
+
+
 def test_one_recommendation_scans_one_table(spark, tmp_path, monkeypatch):
     spark.sql("CREATE DATABASE IF NOT EXISTS advice")
     for name in ("a", "b"):
